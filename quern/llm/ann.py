@@ -129,25 +129,44 @@ def build_index(rows: DataFrame, model: Codebooks) -> DataFrame:
     return rows.mapInPandas(coded, "id long, codes binary, norm float")
 
 
+def distinct_vectors(rows: DataFrame, members: int) -> DataFrame:
+    """id, v and ids: one row per different vector, with the `members` least ids that have it.
+
+    Only the least ids of a vector leave a task, so one shared by a third of all rows is few
+    rows a task; members beyond k + 1 can never be among a query's k nearest.
+    """
+    mark = (F.xxhash64("v"), F.hash("v"))
+    marked = rows.select("id", mark[0].alias("h1"), mark[1].alias("h2"))
+    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
+    firsts = marked.withColumn("place", place).filter(F.col("place") <= members).groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    firsts = firsts.withColumn("first", F.get("ids", F.lit(0)))
+    held = rows.withColumns({"g1": mark[0], "g2": mark[1]}).join(firsts, (F.col("id") == F.col("first")) & (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")))
+    return held.select("id", "v", "ids")
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = RERANK, books: int = BOOKS) -> DataFrame:
     """The k nearest rows by cosine found for each row that is_query (a Column) selects.
 
     Returns query_id, rank, vec_id and score, ties to the smaller id; a query is not its own
-    candidate, and with at most `rerank` candidates the answer is exact.  Null, empty, zero and
-    non-finite vectors, and null ids, take no part.  Rows of one id are each candidates and
-    the id is listed once, with its best score; a query id given twice asks with one of its
-    vectors, the greatest.  Vectors of another length than the training sample's first fail.
-    Queries meet codes in blocks of bounded size; only each block's best go on.
+    candidate, and with at most `rerank` different vectors the answer is exact.  Null, empty,
+    zero and non-finite vectors, and null ids, take no part.  Rows of one id are each
+    candidates and the id is listed once, with its best score; a query id given twice asks
+    with one of its vectors, the greatest.  Vectors of another length than the training
+    sample's first fail.  Equal vectors are coded once; queries meet codes in blocks of
+    bounded size, and only each block's best go on.
     """
-    rows = saved(usable(vectors, vec_id, embedding), "vectors")
-    queries = rows.filter(is_query(F.col("id"))).groupBy("id").agg(F.max("v").alias("v"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(TRAIN_VECTORS).collect()
+    every = usable(vectors, vec_id, embedding)
+    every = every.groupBy("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).agg(F.first("v").alias("v"))
+    every = saved(every.select("id", "v"), "vectors")
+    queries = every.filter(is_query(F.col("id"))).groupBy("id").agg(F.max("v").alias("v"))
+    rows = saved(distinct_vectors(every, k + 1), "distinct")
+    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(TRAIN_VECTORS).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return vectors.sparkSession.createDataFrame([], schema)
     x = _unit(np.array([r.v for r in sample], dtype=np.float64)).astype(np.float32)
     model = fit_codebooks(x, books, min(WORDS, max(2, len(x) // 8)))
-    index = saved(build_index(rows, model), "codes")
+    index = saved(build_index(rows.select("id", "v"), model), "codes")
     n_codes, n_queries = index.count(), queries.count()
     code_blocks, query_blocks = -(-n_codes // CODE_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
     code_blocks = max(code_blocks, min(16, -(-n_codes // 4096)))
@@ -172,7 +191,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
             parts.append(pd.DataFrame({"query_id": query, "id": ids[best], "about": about[best].astype(np.float64)}))
         return pd.concat(parts)
 
-    near = asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb")).applyInPandas(scored, "query_id long, id long, about double").filter("query_id != id")
+    near = asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb")).applyInPandas(scored, "query_id long, id long, about double")
     near = near.groupBy("query_id", "id").agg(F.max("about").alias("about"))
     first = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
     near = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rerank).select("query_id", "id")
@@ -182,6 +201,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series((_unit(_matrix(a)) * _unit(_matrix(b))).sum(1) if len(a) else [], dtype=float)
 
-    exact = pairs.select("query_id", F.col("id").alias("vec_id"), cosine("q", "v").alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    exact = pairs.select("query_id", "ids", cosine("q", "v").alias("score")).select("query_id", F.explode("ids").alias("vec_id"), "score")
+    exact = exact.filter("query_id != vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -187,14 +187,18 @@ def fit(texts: list[str], labels: list[int]) -> LineModel:
     return LineModel(mean, scale, w, move, max(a, 1e-3), b)
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "label", documents: int = TRAIN_DOCUMENTS) -> LineModel:
-    """Fit on at most `documents` labelled rows, those of the least text hash.
+def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "label", documents: int = TRAIN_DOCUMENTS) -> LineModel:
+    """Fit on the texts of at most `documents` labelled ids, those of the least id hash.
 
-    That bound, TRAIN_LINES and TRAIN_CHARS hold for fitting only; scoring reads all of
-    every text.  Rows without a label take no part, null texts count as empty.
+    labels has an id and a 0/1 label a row.  The ids of the sample are few and broadcast, so
+    no text is shuffled.  That bound, TRAIN_LINES and TRAIN_CHARS hold for fitting only;
+    scoring reads all of every text.  Null texts count as empty; ids with both labels teach
+    both; without labels or with one kind of them every document gets the same score.
     """
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, TRAIN_CHARS).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(text).alias("h"))
-    rows = rows.orderBy("h", "t", "y").limit(documents).collect()
+    chosen = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y")).distinct()
+    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "y").limit(documents)
+    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select("__id", "y", F.substring(F.coalesce(F.col(text), F.lit("")), 1, TRAIN_CHARS).alias("t"))
+    rows = rows.orderBy(F.xxhash64("__id"), "__id", "y", "t").limit(documents).collect()
     return fit([r.t for r in rows], [r.y for r in rows])
 
 

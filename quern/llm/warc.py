@@ -95,7 +95,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_b
 
         def close(parts: list[bytes]) -> pd.DataFrame:
             name, data = f"{uuid.uuid4().hex}.warc.zst", b"".join(parts)
-            with system.open_output_stream(f"{top}/{name}.open") as f:
+            with system.open_output_stream(f"{top}/{name}.open", compression=None) as f:
                 f.write(data)
             system.move(f"{top}/{name}.open", f"{top}/{name}")
             return pd.DataFrame({"path": [f"{folder}/{name}"], "records": [len(parts) - 1], "bytes": [len(data)]})
@@ -153,7 +153,7 @@ def read_archives(listing: DataFrame) -> DataFrame:
             for path in batch["path"]:
                 folder, _, name = path.rpartition("/")
                 system, top = _files(folder)
-                with system.open_input_stream(f"{top}/{name}") as f:
+                with system.open_input_stream(f"{top}/{name}", compression=None) as f:
                     data = f.read()
                 rows = []
                 for record in map(parse_record, read_frames(data)):
