@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +73,68 @@ def small_join(big: DataFrame, small: DataFrame, on: str, rows: int, how: str =
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     dealt = big.withColumn("__deal", F.pmod(F.xxhash64(*big.columns), F.lit(16)).cast("int"))
     return dealt.join(salted, dealt[on].eqNullSafe(F.col(key)) & (F.col("__deal") == F.col("__salt")), how).drop(key, "__salt", "__deal")
+
+
+#: Bits a key set has at least and at most; in runs of so many bytes they travel.
+LEAST_BITS, MOST_BITS, BIT_RUN = 1 << 18, 1 << 27, 1 << 14
+
+
+def _bit_of(keys: np.ndarray, n_bits: int) -> np.ndarray:
+    x = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) % np.uint64(n_bits)
+
+
+def gathered_bits(frame: DataFrame, key: str) -> np.ndarray:
+    """A bit set of a long column: has_bit() is true for each key, and for few others.
+
+    About 16 bits a key, up to MOST_BITS (16 MB): beyond that more others pass, which costs
+    work but never changes results where callers join on the key afterwards.
+    """
+    n_bits = LEAST_BITS
+    n = frame.count()
+    while n_bits < min(16 * n, MOST_BITS):
+        n_bits *= 2
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(n_bits, dtype=bool)
+        for batch in batches:
+            bits[_bit_of(batch["key"].to_numpy(dtype=np.int64), n_bits)] = True
+        runs = np.packbits(bits).reshape(-1, BIT_RUN)
+        full = np.flatnonzero(runs.any(1))
+        yield pd.DataFrame({"run": full, "bits": [runs[i].tobytes() for i in full]})
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in group["bits"]])
+        return pd.DataFrame({"run": [int(group["run"].iloc[0])], "bits": [total.tobytes()]})
+
+    marked = frame.select(F.col(key).cast("long").alias("key")).filter("key IS NOT NULL").mapInPandas(mark, "run long, bits binary")
+    out = np.zeros((n_bits // 8 // BIT_RUN, BIT_RUN), dtype=np.uint8)
+    for r in marked.groupBy("run").applyInPandas(merge, "run long, bits binary").collect():
+        out[r.run] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _bit_of(keys, 8 * len(bits))
+    return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def components(links: DataFrame) -> DataFrame:
+    """key and comp (least key of its component) of every end of the links (a, b).
+
+    Large-star and small-star steps in turn: each hangs a node's neighbours on the least of
+    them, until every component is one star.  Steps are written tables, so a lost executor
+    costs one step.  Links never reach the driver; only counts do.
+    """
+    edges = links.filter("a != b").select(F.greatest("a", "b").alias("up"), F.least("a", "b").alias("low")).distinct()
+    edges = saved(edges, "edges")
+    while True:
+        nested = edges.join(edges.select(F.col("up").alias("low")).distinct(), "low", "left_semi").limit(1).count()
+        if not nested and edges.count() == edges.select("up").distinct().count():
+            return edges.select(F.col("up").alias("key"), F.col("low").alias("comp")).union(edges.select("low", "low").distinct())
+        both = edges.union(edges.select("low", "up"))
+        least = both.groupBy("up").agg(F.least(F.min("low"), F.col("up")).alias("least"))
+        large = saved(both.join(least, "up").filter("low > up").select(F.col("low").alias("up"), F.col("least").alias("low")).distinct(), "edges")
+        least = large.groupBy("up").agg(F.min("low").alias("least"))
+        small = large.join(least, "up").filter("low != least").select(F.col("low").alias("up"), F.col("least").alias("low"))
+        edges = saved(small.union(least.select("up", F.col("least").alias("low"))).distinct(), "edges")
