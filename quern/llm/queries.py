@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, line_crf, line_dedup, mixing, ngram_join, packing, quality_rules, url_rules, warc
+from quern.llm import ann, line_crf, line_dedup, mixing, ngram_join, packing, pii, quality_rules, url_rules, warc
 
 #: Host and path rules of the URL query: (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -43,6 +43,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op5_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS == 0
 
