@@ -96,10 +96,11 @@ def gathered_bits(frame: DataFrame, key: str) -> np.ndarray:
         n_bits *= 2
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(n_bits, dtype=bool)
+        bits = np.zeros(n_bits // 8, dtype=np.uint8)
         for batch in batches:
-            bits[_bit_of(batch["key"].to_numpy(dtype=np.int64), n_bits)] = True
-        runs = np.packbits(bits).reshape(-1, BIT_RUN)
+            at = _bit_of(batch["key"].to_numpy(dtype=np.int64), n_bits)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)))
+        runs = bits.reshape(-1, BIT_RUN)
         full = np.flatnonzero(runs.any(1))
         yield pd.DataFrame({"run": full, "bits": [runs[i].tobytes() for i in full]})
 
