@@ -130,7 +130,7 @@ keyed AS (
 shared AS (
   SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
 marked AS (SELECT k.*, coalesce(k.doc_id <> s.keeper, false) AS gone FROM keyed k LEFT JOIN shared s USING (key))
-SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(CASE WHEN gone THEN 1 END)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
         "op7_ngram_product": f"""
