@@ -24,7 +24,7 @@ BOOKS, WORDS, BEAM, ROUNDS = 12, 256, 8, 3
 #: Candidates a query ranks again on whole vectors.
 RERANK = 300
 #: Queries and codes in one scored block.
-QUERY_BLOCK, CODE_BLOCK = 2048, 65_536
+QUERY_BLOCK, CODE_BLOCK = 128, 1 << 18
 
 
 @dataclass
@@ -117,16 +117,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def build_index(rows: DataFrame, model: Codebooks) -> DataFrame:
-    """id, codes and the coded vector's squared norm for every usable row."""
+    """Every usable row coded, many to a row: n, ids, codes and the coded vectors' squared
+    norms as packed arrays, so that blocks of codes are a few values."""
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 codes = model.encode(_unit(_matrix(batch["v"])))
-                norm = (model.decode(codes) ** 2).sum(1)
-                yield pd.DataFrame({"id": batch["id"], "codes": [c.tobytes() for c in codes], "norm": norm.astype(np.float32)})
+                norm = (model.decode(codes) ** 2).sum(1).astype("<f4")
+                yield pd.DataFrame({"n": [len(batch)], "ids": [batch["id"].to_numpy(dtype="<i8").tobytes()], "codes": [codes.tobytes()], "norms": [norm.tobytes()]})
 
-    return rows.mapInPandas(coded, "id long, codes binary, norm float")
+    return rows.mapInPandas(coded, "n long, ids binary, codes binary, norms binary")
 
 
 def distinct_vectors(rows: DataFrame, members: int) -> DataFrame:
@@ -167,25 +168,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     x = _unit(np.array([r.v for r in sample], dtype=np.float64)).astype(np.float32)
     model = fit_codebooks(x, books, min(WORDS, max(2, len(x) // 8)))
     index = saved(build_index(rows.select("id", "v"), model), "codes")
-    n_codes, n_queries = index.count(), queries.count()
-    code_blocks, query_blocks = -(-n_codes // CODE_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
-    code_blocks = max(code_blocks, min(16, -(-n_codes // 4096)))
+    n_codes, n_queries = index.agg(F.sum("n")).first()[0], queries.count()
+    code_blocks, query_blocks = max(1, -(-n_codes // CODE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     asked = queries.select(F.col("id"), "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
-    held = index.withColumn("cb", F.pmod(F.xxhash64("id", "codes"), F.lit(code_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    held = index.withColumn("cb", F.pmod(F.xxhash64("ids"), F.lit(code_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "about": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
             return empty
-        ids = right["id"].to_numpy()
-        codes = np.frombuffer(b"".join(right["codes"]), dtype=np.uint8).reshape(len(right), -1)
-        norm = np.sqrt(np.maximum(right["norm"].to_numpy(), 1e-12))
+        ids = np.frombuffer(b"".join(right["ids"]), dtype="<i8")
+        codes = np.ascontiguousarray(np.frombuffer(b"".join(right["codes"]), dtype=np.uint8).reshape(len(ids), -1).T)
+        norm = np.sqrt(np.maximum(np.frombuffer(b"".join(right["norms"]), dtype="<f4"), 1e-12))
         parts, keep = [], min(rerank + 1, len(ids))
         for query, vector in zip(left["id"], left["v"], strict=True):
             table = model.words @ _unit(np.asarray(vector, dtype=np.float64)[None])[0].astype(np.float32)
-            about = table[0][codes[:, 0]].copy()
-            for i in range(1, codes.shape[1]):
-                about += table[i][codes[:, i]]
+            about = table[0][codes[0]]
+            for i in range(1, len(codes)):
+                about += table[i][codes[i]]
             about /= norm
             best = np.argpartition(-about, keep - 1)[:keep]
             parts.append(pd.DataFrame({"query_id": query, "id": ids[best], "about": about[best].astype(np.float64)}))
