@@ -65,13 +65,13 @@ def metric_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def last_match(spark: SparkSession, path: str, pattern: str, group: int = 1) -> DataFrame:
     """value: the last match of a pattern in each whole file; null if there is none."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.try_element_at(F.regexp_extract_all("value", F.lit(pattern), F.lit(group)), F.lit(-1)).alias("value"))
 
 
 def query_windows(spark: SparkSession, path: str) -> DataFrame:
     """window, i, query of a file that maps window names to their queries."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     kind = "map<string, struct<description: string, queries: array<string>>>"
     return text.select(F.explode(F.from_json("value", kind)).alias("window", "w")).select("window", F.posexplode("w.queries").alias("i", "query"))
 
@@ -85,7 +85,7 @@ def lock_md5(lock: DataFrame, path: str) -> DataFrame:
 
 def report_rows(spark: SparkSession, path: str, row: str) -> DataFrame:
     """Rows of an evaluation report, bare or as {meta, aggregate, rows}."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     bare = F.from_json("value", f"array<struct<{row}>>")
     full = F.from_json("value", f"struct<rows: array<struct<{row}>>>")["rows"]
     return text.select(F.inline(F.when(F.ltrim(F.col("value")).startswith("["), bare).otherwise(full)))

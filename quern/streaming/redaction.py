@@ -20,16 +20,22 @@ class Redactor:
     """Redaction of one request's text as it arrives, by the rules of functions.pii.
 
     The last HOLD_BACK characters stay until the end; a span that straddles the place moves
-    it to the span's start.  Values longer than that can be seen in part, as in any bounded
-    look-back.
+    it to the span's start.  As many characters already released are remembered, so that a
+    number cut in two is still judged by what stood before it.  Values longer than HOLD_BACK
+    can be seen in part, as in any bounded look-back.
     """
 
-    def __init__(self, buffer: str = ""):
-        self.buffer = buffer
+    def __init__(self, buffer: str = "", before: str = ""):
+        self.buffer, self.before = buffer, before
+
+    def _found(self) -> list[tuple[str, int, int]]:
+        n = len(self.before)
+        return [(e, start - n, end - n) for e, start, end in _spans(self.before + self.buffer) if start >= n]
 
     def _release(self, upto: int) -> tuple[str, list[str]]:
+        found = [s for s in self._found() if s[2] <= upto]
         head, self.buffer = self.buffer[:upto], self.buffer[upto:]
-        found = _spans(head)
+        self.before = (self.before + head)[-HOLD_BACK:]
         out, at = [], 0
         for entity, start, end in found:
             out += [head[at:start], f"[{entity}]"]
@@ -40,7 +46,7 @@ class Redactor:
         self.buffer += piece
         cut = len(self.buffer) - HOLD_BACK
         if cut > 0:
-            cut = next((s for _, s, e in _spans(self.buffer) if s < cut < e), cut)
+            cut = next((s for _, s, e in self._found() if s < cut < e), cut)
         return self._release(cut) if cut > 0 else ("", [])
 
     def flush(self) -> tuple[str, list[str]]:
@@ -77,13 +83,13 @@ def _spans(text: str) -> list[tuple[str, int, int]]:
 def redact_stream(pieces: DataFrame) -> DataFrame:
     """Redacted text per piece of a stream (request_id, seq, piece, is_last).
 
-    State per request is its held-back text.  Pieces are put in order of seq within a
+    State per request is its held-back text and what came just before.  Pieces are put in order of seq within a
     micro-batch; across batches they must arrive in order.  is_last releases the rest and
     ends the request.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        redactor = Redactor(state.get[0] if state.exists else "")
+        redactor = Redactor(*state.get) if state.exists else Redactor()
         batch = pd.concat(list(frames)).sort_values("seq")
         rows = []
         for seq, piece, last in zip(batch["seq"], batch["piece"], batch["is_last"], strict=True):
@@ -95,10 +101,10 @@ def redact_stream(pieces: DataFrame) -> DataFrame:
         if rows and rows[-1][-1]:
             state.remove()
         else:
-            state.update((redactor.buffer,))
+            state.update((redactor.buffer, redactor.before))
         yield pd.DataFrame(rows, columns=["request_id", "seq", "text", "entities", "is_last"])
 
-    return pieces.groupBy("request_id").applyInPandasWithState(step, _OUT, "buffer string", "append", GroupStateTimeout.NoTimeout)
+    return pieces.groupBy("request_id").applyInPandasWithState(step, _OUT, "buffer string, before string", "append", GroupStateTimeout.NoTimeout)
 
 
 def events(redacted: DataFrame) -> DataFrame:
