@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved
+from quern.llm.common import least_hashed, saved
 
 #: Vectors the codebooks are fitted on at most (those of least id hash); all rows are coded.
 TRAIN_VECTORS = 8000
@@ -161,7 +161,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     every = saved(every.select("id", "v"), "vectors")
     queries = every.filter(is_query(F.col("id"))).groupBy("id").agg(F.max("v").alias("v"))
     rows = saved(distinct_vectors(every, k + 1), "distinct")
-    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(TRAIN_VECTORS).collect()
+    sample = least_hashed(rows.select("id", "v"), TRAIN_VECTORS, "id").collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return vectors.sparkSession.createDataFrame([], schema)

@@ -18,8 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents the model may be fitted on, and lines read of each while fitting.
-TRAIN_DOCUMENTS, TRAIN_LINES, TRAIN_CHARS = 4000, 60, 20_000
+from quern.llm.common import least_hashed
+
+#: Labelled documents the model is fitted on at most, and lines of one training chain (longer
+#: documents are several); longer texts than TRAIN_CHARS are not in the sample.
+TRAIN_DOCUMENTS, TRAIN_LINES, TRAIN_CHARS = 4000, 60, 1_000_000
 STEPS, RATE, WEIGHT_DECAY = 250, 0.05, 1e-3
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"[#*$%&|<>=^~\\{}\[\]]")
@@ -54,10 +57,9 @@ def with_neighbours(own: np.ndarray, document: np.ndarray) -> np.ndarray:
     return np.hstack([own, before, after, np.broadcast_to(document, (len(own), len(document)))])
 
 
-def document_matrix(text: str, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def document_matrix(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(features, lengths) of the lines; one empty line for an empty text."""
     lines = text.split("\n")
-    lines = lines[:limit] if limit else lines
     lengths = np.array([len(x) for x in lines], dtype=float)
     size = np.array([math.log1p(lengths.sum()) / 10, math.log1p(len(lines)) / 5, 1.0])
     return with_neighbours(line_features(lines), size), lengths
@@ -124,22 +126,24 @@ def fit(texts: list[str], labels: list[int]) -> LineModel:
     if len(set(labels)) < 2:
         share = (sum(labels) + 1) / (len(labels) + 2)
         return LineModel(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.0, math.log(share / (1 - share)))
-    built = [document_matrix(t, TRAIN_LINES) for t in texts]
-    order = sorted(range(len(built)), key=lambda i: -len(built[i][1]))
-    built, y = [built[i] for i in order], np.array([labels[i] for i in order])
+    built, label = [document_matrix(t) for t in texts], np.array(labels)
     rows = np.vstack([b[0] for b in built])
     mean, scale = rows.mean(0), rows.std(0)
     mean[-1], scale[scale < 1e-9] = 0.0, 1.0
     scale[-1] = 1.0
-    lengths = np.array([len(b[1]) for b in built])
-    n, longest = len(built), int(lengths[0])
-    x = np.zeros((n, longest, rows.shape[1]))
-    for i, (f, _) in enumerate(built):
-        x[i, : len(f)] = (f - mean) / scale
+    chains = [(d, at) for d, b in enumerate(built) for at in range(0, len(b[1]), TRAIN_LINES)]
+    chains.sort(key=lambda c: -min(TRAIN_LINES, len(built[c[0]][1]) - c[1]))
+    lengths = np.array([min(TRAIN_LINES, len(built[d][1]) - at) for d, at in chains])
+    n, longest = len(chains), int(lengths[0])
+    x = np.zeros((n, longest, rows.shape[1]), dtype=np.float32)
+    for i, (d, at) in enumerate(chains):
+        x[i, : lengths[i]] = (built[d][0][at : at + TRAIN_LINES] - mean) / scale
     mask = np.arange(longest)[None] < lengths[:, None]
     alive = mask.sum(0)
-    per_doc = (1 / lengths)[:, None]
-    balance = np.where(y == 1, n / (2 * max(1, (y == 1).sum())), n / (2 * max(1, (y == 0).sum())))[:, None] ** 0.5
+    y = label[[d for d, _ in chains]]
+    per_doc = (1 / np.array([len(built[d][1]) for d, _ in chains]))[:, None]
+    share = len(built) / 2 / np.maximum(1, np.bincount(label, minlength=2))
+    balance = share[y][:, None] ** 0.5
     w, move = np.zeros(x.shape[2]), np.zeros((2, 2))
     m1, m2, t1, t2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(move), np.zeros_like(move)
     for step in range(1, STEPS + 1):
@@ -160,13 +164,13 @@ def fit(texts: list[str], labels: list[int]) -> LineModel:
         logz = _log_sum(ahead[:, 0, 0] + back[:, 0, 0], ahead[:, 0, 1] + back[:, 0, 1])[:, None]
         good = np.exp(ahead[:, :, 1] + back[:, :, 1] - logz) * mask
         weight = per_doc * balance * mask
-        slope_w = np.einsum("ij,ijk->k", (y[:, None] - good) * weight, x) / n - WEIGHT_DECAY * w
+        slope_w = np.tensordot((y[:, None] - good) * weight, x, axes=2) / len(built) - WEIGHT_DECAY * w
         slope_t = np.zeros((2, 2))
         pair = mask[:, 1:] * per_doc * balance
         for a in (0, 1):
             for b in (0, 1):
                 joint = np.exp(np.minimum(0, ahead[:, :-1, a] + move[a, b] + b * emit[:, 1:] + back[:, 1:, b] - logz))
-                slope_t[a, b] = (((y[:, None] == a) & (a == b)) * pair - joint * pair).sum() / n
+                slope_t[a, b] = (((y[:, None] == a) & (a == b)) * pair - joint * pair).sum() / len(built)
         slope_t -= 0.1 * move
         for value, slope, f1, f2 in ((w, slope_w, m1, m2), (move, slope_t, t1, t2)):
             f1 *= 0.9
@@ -175,7 +179,7 @@ def fit(texts: list[str], labels: list[int]) -> LineModel:
             f2 += 0.01 * slope**2
             value += RATE * (f1 / (1 - 0.9**step)) / (np.sqrt(f2 / (1 - 0.99**step)) + 1e-8)
     model = LineModel(mean, scale, w, move, 1.0, 0.0)
-    z = np.array([model.aggregate(f, size) for f, size in built])
+    z, y = np.array([model.aggregate(f, size) for f, size in built]), label
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -191,13 +195,13 @@ def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     """Fit on the texts of at most `documents` labelled ids, those of the least id hash.
 
     labels has an id and a 0/1 label a row.  The ids of the sample are few and broadcast, so
-    no text is shuffled.  That bound, TRAIN_LINES and TRAIN_CHARS hold for fitting only;
-    scoring reads all of every text.  Null texts count as empty; ids with both labels teach
+    no text is shuffled.  Texts of more than TRAIN_CHARS are not in the sample; all others
+    teach whole, and scoring reads all of every text.  Null texts count as empty; ids with both labels teach
     both; without labels or with one kind of them every document gets the same score.
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "y").limit(documents)
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select("__id", "y", F.substring(F.coalesce(F.col(text), F.lit("")), 1, TRAIN_CHARS).alias("t"))
+    chosen = least_hashed(chosen, documents, "__id", "y")
+    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select("__id", "y", F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.length("t") <= TRAIN_CHARS)
     rows = rows.orderBy(F.xxhash64("__id"), "__id", "y", "t").limit(documents).collect()
     return fit([r.t for r in rows], [r.y for r in rows])
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved, shared_folder
+from quern.llm.common import least_hashed, saved, shared_folder
 
 #: Magic number of the skippable frame that carries a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -41,17 +41,18 @@ def classified(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     return out.withColumn("refers_to", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))).drop("first_id")
 
 
-def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
+def train_dictionary(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> bytes:
     """A dictionary from at most SAMPLE_RECORDS payloads, each to SAMPLE_BYTES.
 
-    The sample is the records with the least digests: bounded whatever the table holds.  The
-    dictionary only changes how small archives are, never what they hold.  Empty when there
-    is too little to train on.
+    The sample is bounded whatever the table holds, and its records are those of least hash.
+    The dictionary only changes how small archives are, never what they hold.  Empty when
+    there is too little to train on.
     """
     import zstandard
 
-    sample = pages.filter(F.length(html) > 0).select(F.sha2(F.col(html), 256).alias("d"), F.substring(html, 1, SAMPLE_BYTES).alias("t"))
-    texts = [(_record("response", "https://example.com/", "0", hashlib.sha256(r.t.encode()).hexdigest(), len(r.t), None, r.t.encode())) for r in sample.orderBy("d").limit(SAMPLE_RECORDS).collect()]
+    whole = pages.filter(F.length(html) > 0).select(F.col(page_id).alias("id"), F.sha2(F.col(html), 256).alias("d"), F.substring(html, 1, SAMPLE_BYTES).alias("t"))
+    sample = least_hashed(whole, SAMPLE_RECORDS, "id", "d").collect()
+    texts = [(_record("response", "https://example.com/", "0", hashlib.sha256(r.t.encode()).hexdigest(), len(r.t), None, r.t.encode())) for r in sample]
     if len(texts) < 8:
         return b""
     try:
