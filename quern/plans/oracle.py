@@ -283,5 +283,39 @@ SELECT lang, n_chars AS value FROM r WHERE i = greatest(0, floor(0.95::DOUBLE *
         "index_counts": "SELECT source AS doc_id, count(*) AS points FROM documents GROUP BY source",
         "disjointness": "SELECT count(*) AS n_common FROM documents WHERE text IN (SELECT text FROM benchmark)",
     }
+    first = "first AS (SELECT doc_id AS n, coalesce(text, '') AS text, n_chars AS page, source AS book FROM documents WHERE n_chars % 3 <> 0), second AS (SELECT doc_id AS n, coalesce(text, '') AS text FROM documents WHERE n_chars % 5 <> 0)"
+    num = lambda x, na: f"CASE WHEN n_chars % {na} > 1 THEN ({x})::DOUBLE END"
+    out |= {
+        "split_positions": """WITH w AS (SELECT user_id AS page, floor(value)::BIGINT AS lo, least(500, floor(value + 2))::BIGINT AS hi FROM events),
+used AS (SELECT DISTINCT page, unnest(range(lo, hi + 1)) AS bin FROM w), free AS (
+  SELECT page, bin FROM (SELECT DISTINCT page FROM w) CROSS JOIN (SELECT unnest(range(75, 426)) AS bin) EXCEPT SELECT page, bin FROM used),
+runs AS (SELECT page, bin - row_number() OVER (PARTITION BY page ORDER BY bin) AS run, bin FROM free),
+sized AS (SELECT page, min(bin) AS first, count(*) AS len FROM runs GROUP BY page, run),
+best AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY len DESC, first) AS i FROM sized)
+SELECT p.page, coalesce(first + len / 2, 250.0::DOUBLE) AS split_x FROM (SELECT DISTINCT page FROM w) p LEFT JOIN best b ON b.page = p.page AND b.i = 1""",
+        "row_clusters": """WITH RECURSIVE w AS (SELECT user_id AS page, value AS top FROM events),
+a AS (SELECT page, min(top) AS anchor, 1 AS i FROM w GROUP BY page
+      UNION ALL SELECT a.page, min(w.top), any_value(a.i) + 1 FROM a JOIN w ON w.page = a.page AND abs(w.top - a.anchor) > 3 AND w.top > a.anchor GROUP BY a.page)
+SELECT a.page, max(i)::INTEGER AS n_rows, (SELECT count(*) FROM w WHERE w.page = a.page)::INTEGER AS n_words FROM a GROUP BY a.page""",
+        "merge_records": f"WITH {first} SELECT n::INTEGER AS article_number, book, md5(f.text) AS ar, md5(s.text) AS en, false AS is_repealed, page::INTEGER AS source_page, 'Law, Article ' || n AS citation FROM first f JOIN second s USING (n)",
+        "merge_errors": f"""WITH {first}, e AS (SELECT n, 'missing-english' AS error FROM first WHERE n NOT IN (SELECT n FROM second) UNION ALL SELECT n, 'missing-arabic' FROM second WHERE n NOT IN (SELECT n FROM first))
+SELECT n::INTEGER AS article_number, error, n NOT IN (SELECT doc_id FROM labels) AS blocking FROM e""",
+        "fill_repealed": f"""WITH {first}, place AS (SELECT unnest(range(doc_id, doc_id + 4)) AS n, doc_id FROM labels WHERE toxic = 1), one AS (SELECT n, min(doc_id) AS d FROM place WHERE n NOT IN (SELECT n FROM first) GROUP BY n)
+SELECT n::INTEGER AS article_number, md5(text) AS md5 FROM first UNION ALL SELECT n::INTEGER, md5('notice ' || d) FROM one""",
+        "patched_articles": f"""WITH {first}, r AS (SELECT n, book, f.text AS ar, s.text AS en, page FROM first f JOIN second s USING (n)), p AS (SELECT doc_id AS n, CASE WHEN quality = 1 THEN 'patched' END AS ar, toxic = 1 AS rep FROM labels)
+SELECT r.n::INTEGER AS article_number, r.book, md5(coalesce(p.ar, r.ar)) AS ar, md5(r.en) AS en, coalesce(p.rep, false) AS is_repealed, r.page::INTEGER AS source_page, CASE WHEN p.n IS NOT NULL THEN 'manually_patched' ELSE '' END AS flags FROM r LEFT JOIN p USING (n)
+UNION ALL SELECT p.n::INTEGER, coalesce(b.book, a.book, ''), md5(coalesce(p.ar, '')), md5(''), p.rep, coalesce(b.page, a.page, 0)::INTEGER, 'manually_patched'
+FROM p LEFT JOIN r b ON b.n = p.n - 1 LEFT JOIN r a ON a.n = p.n + 1 WHERE p.n NOT IN (SELECT n FROM r)""",
+        "alert_lines": """SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || CASE WHEN event_type = 'error' THEN 'FIRING' ELSE 'RESOLVED' END || ' ' || CASE WHEN value > 100 THEN 'critical' ELSE '-' END || ' ' || event_type
+       || CASE WHEN user_id % 3 = 0 THEN ' window=' || user_id ELSE '' END || ': ' || CASE WHEN user_id % 2 = 0 THEN coalesce(props, '') ELSE '' END AS line FROM events""",
+        "grouped_alerts": """WITH h AS (SELECT event_type AS alertname, date_trunc('hour', ts)::TIMESTAMP AS ts, CASE WHEN avg(value) > 50 THEN 'firing' ELSE 'resolved' END AS status FROM events GROUP BY 1, 2),
+g AS (SELECT *, epoch(ts) - epoch(lag(ts) OVER w) AS gap, lag(status) OVER w AS was FROM h WINDOW w AS (PARTITION BY alertname ORDER BY ts))
+SELECT alertname, ts, status, gap IS NULL OR (was IS DISTINCT FROM status AND gap >= 60) OR gap >= CASE WHEN alertname = 'error' THEN 3600 ELSE 14400 END AS notify FROM g""",
+        "load_summary": f"""WITH x AS (SELECT coalesce({num("n_chars", 11)}, 0)::BIGINT AS requests, coalesce({num("n_chars % 10", 13)}, 0)::BIGINT AS failures, {num("n_chars / 4", 7)} AS rps, coalesce({num("n_chars", 3)}, 0) / 1000 AS p50_s,
+       coalesce({num("n_chars * 2", 5)}, 0) / 1000 AS p95_s, coalesce({num("n_chars * 3", 5)}, 0) / 1000 AS p99_s, coalesce({num("n_chars * 4", 9)}, 0) / 1000 AS max_s FROM documents WHERE lang = 'en')
+SELECT *, round(CASE WHEN requests > 0 THEN failures / requests END, 6) AS failure_rate FROM x""",
+        "drift_gauges": f"""WITH o AS ({out["off_corpus_share"]}), {_UNIT}, n AS (SELECT w, count(*) AS n FROM windows GROUP BY w)
+SELECT "window", 'off_corpus_share' AS gauge, off_corpus_share AS value FROM o UNION ALL SELECT "window", 'off_corpus_limit', round(low_similarity_limit / n, 6) FROM o JOIN n ON o."window" = n.w""",
+    }
     out["knn_top8_arrow"] = out["knn_top8"]
     return out

@@ -619,5 +619,113 @@ def disjointness(spark, d):
     return t(spark, d, "documents").join(items, "text", "left_semi").agg(F.count("*").alias("n_common"))
 
 
+# --- pages, merges, alerts, streams --------------------------------------------------------
+
+
+def _words(spark, d) -> DataFrame:
+    """Events as positioned words: a user is a page."""
+    e = t(spark, d, "events")
+    return e.select(F.col("user_id").alias("page"), F.col("event_id").alias("pos"), F.col("value").alias("x0"), (F.col("value") + 2).alias("x1"), F.col("value").alias("top"), F.lit(500.0).alias("width"))
+
+
+@query
+def split_positions(spark, d):
+    return parsing.split_positions(_words(spark, d))
+
+
+@query
+def row_clusters(spark, d):
+    pages = _words(spark, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("top", "pos"))).alias("ws"))
+    return pages.select("page", (F.array_max(parsing.cluster_rows(F.col("ws"))) + 1).alias("n_rows"), F.size("ws").alias("n_words"))
+
+
+def _streams(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = t(spark, d, "documents").select(F.lit("d").alias("doc"), F.col("doc_id").cast("int").alias("article_number"), F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").cast("int").alias("page"), F.col("source").alias("book"), F.lit("c").alias("chapter"), F.lit("s").alias("section"), F.lit("t").alias("topic"))
+    return docs.filter("page % 3 != 0"), docs.filter("page % 5 != 0").select("doc", "article_number", "text")
+
+
+@query
+def merge_records(spark, d):
+    records, _ = parsing.merge_languages(*_streams(spark, d), ["doc"], "Law")
+    return records.select("article_number", "book", F.md5("text_ar").alias("ar"), F.md5("text_en").alias("en"), "is_repealed", "source_page", "citation")
+
+
+@query
+def merge_errors(spark, d):
+    """One-sided articles; those that a patch supplies no longer block."""
+    first, second = _streams(spark, d)
+    _, errors = parsing.merge_languages(first, second, ["doc"], "Law")
+    patches = t(spark, d, "labels").select(F.lit("d").alias("doc"), F.col("doc_id").cast("int").alias("article_number"))
+    return parsing.open_errors(errors, patches, ["doc"]).select("article_number", "error", "blocking")
+
+
+@query
+def fill_repealed(spark, d):
+    """Toxic documents are notices for their own number and the three after it."""
+    first, _ = _streams(spark, d)
+    notices = t(spark, d, "labels").filter("toxic = 1").select(F.lit("d").alias("doc"), F.col("doc_id").alias("line_no"), F.col("doc_id").cast("int").alias("lo"), (F.col("doc_id") + 3).cast("int").alias("hi"), F.concat(F.lit("notice "), F.col("doc_id").cast("string")).alias("text"))
+    return parsing.fill_repealed(first, notices, ["doc"], ["text"]).select("article_number", F.md5("text").alias("md5"))
+
+
+@query
+def patched_articles(spark, d):
+    """Labelled numbers are patched: texts where quality is 1, repeal where toxic."""
+    records, _ = parsing.merge_languages(*_streams(spark, d), ["doc"], "Law")
+    patches = t(spark, d, "labels").select(F.lit("d").alias("doc"), F.col("doc_id").cast("int").alias("article_number"), F.when(F.col("quality") == 1, "patched").alias("text_ar"), F.lit(None).cast("string").alias("text_en"), F.when(F.col("toxic") == 1, True).alias("is_repealed"))
+    out = parsing.patch_articles(records, patches, ["doc"], "Law")
+    return out.select("article_number", "book", F.md5("text_ar").alias("ar"), F.md5("text_en").alias("en"), "is_repealed", "source_page", F.array_join("flags", ",").alias("flags"))
+
+
+@query
+def alert_lines(spark, d):
+    e = t(spark, d, "events")
+    label = lambda k, v, on: F.when(on, F.map_from_arrays(F.array(F.lit(k)), F.array(v))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    labels = F.map_concat(label("alertname", F.col("event_type"), F.lit(True)), label("severity", F.lit("critical"), F.col("value") > 100), label("window", F.col("user_id").cast("string"), F.col("user_id") % 3 == 0))
+    line = T.alert_line(F.when(F.col("event_type") == "error", "firing").otherwise("resolved"), labels, label("summary", F.col("props"), F.col("user_id") % 2 == 0), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return e.select("event_id", line.alias("line"))
+
+
+@query
+def grouped_alerts(spark, d):
+    """Hourly alerts per event type, firing while the mean value is above 50."""
+    hourly = t(spark, d, "events").groupBy(F.col("event_type").alias("alertname"), F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("x"))
+    rows = hourly.withColumns({"severity": F.when(F.col("alertname") == "error", "critical").otherwise("warning"), "status": F.when(F.col("x") > 50, "firing").otherwise("resolved")})
+    return ops.grouped_alerts(rows).select("alertname", "ts", "status", "notify")
+
+
+@query
+def load_summary(spark, d):
+    """Statistics rows from documents, texts as a file would hold them."""
+    n = F.col("n_chars")
+    text = lambda c, na: F.when(n % na == 0, "N/A").when(n % na == 1, "").otherwise(c.cast("string"))
+    rows = t(spark, d, "documents").select(F.when(F.col("lang") == "en", "/ask").otherwise("/health").alias("Name"), text(n, 11).alias("Request Count"), text(n % 10, 13).alias("Failure Count"), text(n / 4, 7).alias("Requests/s"), text(n, 3).alias("50%"), text(n * 2, 5).alias("95%"), text(n * 3, 5).alias("99%"), text(n * 4, 9).alias("Max Response Time"))
+    out = ops.load_summary(rows)
+    return out.withColumn("failure_rate", _r(F.col("failure_rate")))
+
+
+@query
+def drift_gauges(spark, d):
+    n = _windows(spark, d).groupBy("window").agg(F.count("*").alias("n_queries"))
+    return ops.drift_gauges(off_corpus_share(spark, d).join(n, "window")).withColumn("value", _r(F.col("value")))
+
+
+@query
+def stream_redact(spark, d):
+    """Conversations as streams of pieces, redacted with held-back text; no SQL for it."""
+    import tempfile
+    import uuid
+
+    from quern.streaming.redaction import redact_stream
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
+    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    talk = t(spark, d, "conversations")
+    stream = spark.readStream.schema(talk.schema).parquet(f"{d}/conversations.parque[t]")
+    pieces = stream.select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("seq"), F.concat(F.coalesce("text", F.lit("")), F.lit(" ")).alias("piece"), F.lit(False).alias("is_last"))
+    run = redact_stream(pieces).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("request_id string, seq long, text string, entities array<string>, is_last boolean").parquet(f"{at}/out").select("request_id", "seq", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
