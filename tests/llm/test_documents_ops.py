@@ -213,3 +213,21 @@ def test_quality_rules_equal_brute_force(spark, docs):
 def test_kept_digest_of_an_empty_document(spark):
     row = line_dedup.dedup_lines(spark.createDataFrame([(1, None)], "doc_id long, text string")).select(F.sha2("kept_text", 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"").hexdigest()
+
+
+def test_least_hashed_is_bounded_and_repeatable(spark):
+    from quern.llm.common import least_hashed
+
+    rows = spark.range(20_000).selectExpr("id", "id % 3 AS x").repartition(5)
+    once = [r.id for r in least_hashed(rows, 100, "id").collect()]
+    assert len(set(once)) == 100 and once == [r.id for r in least_hashed(rows.repartition(2), 100, "id").collect()]
+    assert least_hashed(rows.limit(7), 100, "id").count() == 7 and least_hashed(rows.limit(0), 5, "id").count() == 0
+
+
+def test_bits_hold_their_keys(spark):
+    from quern.llm.common import gathered_bits, has_bit
+
+    bits = gathered_bits(spark.range(0, 3000, 3), "id")
+    keys = np.arange(30_000)
+    found = has_bit(bits, keys)
+    assert found[0:3000:3].all() and found.sum() < 1000 + 300
