@@ -170,8 +170,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     index = saved(build_index(rows.select("id", "v"), model), "codes")
     n_codes, n_queries = index.agg(F.sum("n")).first()[0], queries.count()
     code_blocks, query_blocks = max(1, -(-n_codes // CODE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    asked = queries.select(F.col("id"), "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
-    held = index.withColumn("cb", F.pmod(F.xxhash64("ids"), F.lit(code_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    asked = queries.select(F.col("id"), "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
+    held = index.withColumn("cb", F.pmod(F.xxhash64("ids"), F.lit(code_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "about": pd.Series(dtype="float64")})
