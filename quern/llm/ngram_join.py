@@ -146,12 +146,36 @@ def repeat_places(grams: np.ndarray, ranges: int, n_bits: int) -> tuple[np.ndarr
     return at, at * (n_bits // ranges) + (low.astype(np.uint64) * np.uint64(_STEP) >> np.uint64(24)).astype(np.int64) % (n_bits // ranges)
 
 
-def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, n_grams: int) -> tuple[np.ndarray, int]:
+def copy_marks(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the documents that repeat another's row, and bits of the firsts among these.
+
+    rows: doc_id and key.  A document is marked by its id and key.  A row's first document
+    may share a bit with copies by chance; all that do are in the second set, so what hits
+    the first set and not the second is a copy for certain.
+    """
+    marked = lambda doc_id: F.col(doc_id).bitwiseXOR(F.col("key")).alias("mark")
+    firsts = saved(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")), "firsts")
+    copies = gathered_bits(rows.join(firsts.filter("held > 1"), "key").filter("doc_id != rep").select(marked("doc_id")), "mark")
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[has_bit(copies, batch["mark"].to_numpy(dtype=np.int64))]
+
+    return copies, gathered_bits(saved(firsts.filter("rep IS NOT NULL").select(marked("rep")).mapInPandas(hits, "mark long"), "hits"), "mark")
+
+
+def surely_copy(copies: np.ndarray, firsts: np.ndarray, doc_id: int, key: int) -> bool:
+    mark = np.array([doc_id ^ key], dtype=np.int64)
+    return bool(has_bit(copies, mark)[0] and not has_bit(firsts, mark)[0])
+
+
+def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, firsts: np.ndarray, n_grams: int) -> tuple[np.ndarray, int]:
     """Bits of the n-grams that two different rows hold, and the number of ranges.
 
     Tasks send the upper half of every hash, in sorted runs by range; a range finds what
-    comes twice.  A bit set by chance only makes an n-gram look more common than it is.
-    `copies` marks documents that repeat another's row, which are left out.
+    comes twice.  A bit set by chance, or a copy that is sent too, only makes an n-gram look
+    more common than it is.  What copy_marks() makes certain to be copies is left out, so
+    every row is sent at least once.
     """
     ranges = n_bits = 1 << 4
     while ranges * RANGE_GRAMS < n_grams:
@@ -173,9 +197,12 @@ def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, n_grams: i
         parts, held = [], 0
         for batch in batches:
             batch = batch[batch["doc_id"].notna()]
-            for t in batch["text"][~has_bit(copies, batch["doc_id"].to_numpy(dtype=np.int64))]:
-                parts.append(gram_hashes(t, size))
-                held += len(parts[-1])
+            for i, t in zip(batch["doc_id"].astype("int64"), batch["text"], strict=True):
+                grams = gram_hashes(t, size)
+                if not len(grams) or surely_copy(copies, firsts, i, row_key(grams)):
+                    continue
+                parts.append(grams)
+                held += len(grams)
                 if held > FLUSH_GRAMS:
                     yield runs(parts)
                     parts, held = [], 0
@@ -371,10 +398,9 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = _texts(docs, text, doc_id)
     scanned = saved(rows_and_cells(texts, words_per_gram), "rows")
     rows = scanned.filter("kind = 0 AND key IS NOT NULL")
-    copied = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")).filter("held > 1")
-    copies = gathered_bits(rows.join(copied, "key").filter("doc_id != rep").select("doc_id"), "doc_id")
+    copies, firsts = copy_marks(rows)
     n_grams = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    repeats, ranges = repeated_columns(texts, words_per_gram, copies, n_grams)
+    repeats, ranges = repeated_columns(texts, words_per_gram, copies, firsts, n_grams)
     lead = leading_block(texts, words_per_gram, percent, total_cells(scanned), repeats, ranges)
     block = saved(lead.distinct(), "block")
     keys = block.join(block.groupBy("col").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("col"), "col").select("key").distinct()

@@ -125,6 +125,21 @@ def test_ngram_join_equals_brute_force(spark, seed):
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_ngram_join_counts_every_row_beside_many_copies(spark):
+    """Near pairs that share their n-grams with nobody else, 4,000 copies, and an id held twice."""
+    rng = random.Random(7)
+    rows = [(i, "the same text in every one of these rows") for i in range(4000)]
+    for i in range(4000, 12_000, 2):
+        words = [f"{rng.getrandbits(48):x}" for _ in range(24)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words, "end"]))]
+    words = [f"{rng.getrandbits(48):x}" for _ in range(24)]
+    rows += [(3, " ".join(words)), (20_000, " ".join([*words, "end"]))]
+    got = ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    comp = {r.doc_id: r.component_id for r in got if r.doc_id > 3}
+    lost = [i for i in range(4000, 12_000, 2) if comp[i] != i or comp[i + 1] != i]
+    assert lost == [] and comp[20_000] == 3
+
+
 def test_ngram_join_of_no_rows(spark):
     assert ngram_join.near_components(empty(spark)).count() == 0
 
