@@ -711,7 +711,8 @@ def drift_gauges(spark, d):
 
 @query
 def stream_redact(spark, d):
-    """Conversations as streams of pieces, redacted with held-back text; no SQL for it."""
+    """Conversations as streams of pieces, redacted with held-back text that a conversation's
+    greatest turn releases; no SQL for it."""
     import tempfile
     import uuid
 
@@ -721,7 +722,9 @@ def stream_redact(spark, d):
     at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     talk = t(spark, d, "conversations")
     stream = spark.readStream.schema(talk.schema).parquet(f"{d}/conversations.parque[t]")
-    pieces = stream.select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("seq"), F.concat(F.coalesce("text", F.lit("")), F.lit(" ")).alias("piece"), F.lit(False).alias("is_last"))
+    ends = talk.groupBy(F.col("conv_id").alias("__id")).agg(F.max("turn").alias("__end"))
+    stream = stream.join(ends, F.col("conv_id").eqNullSafe(F.col("__id")), "left")
+    pieces = stream.select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("seq"), F.concat(F.coalesce("text", F.lit("")), F.lit(" ")).alias("piece"), F.col("turn").eqNullSafe(F.col("__end")).alias("is_last"))
     run = redact_stream(pieces).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("request_id string, seq long, text string, entities array<string>, is_last boolean").parquet(f"{at}/out").select("request_id", "seq", "text")
