@@ -119,15 +119,18 @@ def discover(seen: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_KNO
     in a kind is the score of its known identifiers of the kind over the number of all its
     identifiers and one; an identifier's score is one less the chance that all its counted
     patterns are wrong.  Both sides count different identifiers, so copies weigh nothing.
+    What a round finds counts in the next one's patterns, whatever seeds these began with.
+    Unknown occurrences of seeds are judged like others.
     """
     edges = saved(seen.groupBy("pattern", "key").agg(F.max("kind").alias("kind")), "edges")
-    totals = edges.groupBy("pattern").agg(F.count("*").alias("held"), F.count("kind").alias("seeds")).filter((F.col("seeds") >= least_known) & (F.col("held") > 0))
+    # no score is above 1, so a pattern of fewer identifiers never has the mass
+    totals = edges.groupBy("pattern").agg(F.count("*").alias("held")).filter(F.col("held") >= least_known)
     edges = saved(edges.join(totals, "pattern"), "graph")
     known = edges.filter("kind IS NOT NULL").groupBy("key").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score"))
-    unseen = edges.filter("kind IS NULL").join(known.select("key"), "key", "left_anti").select("pattern", "key")
+    unseen = edges.filter("kind IS NULL").select("pattern", "key")
     found = None
     for _ in range(rounds):
-        pool = known if found is None else known.unionByName(found)
+        pool = known if found is None else known.unionByName(found.join(known.select("key"), "key", "left_anti"))
         scored = edges.select("pattern", "key", "held").join(pool, "key").groupBy("pattern", "kind", "held").agg(F.sum("score").alias("mass"))
         strong = scored.withColumn("trust", F.col("mass") / (F.col("held") + 1)).filter((F.col("mass") >= least_known) & (F.col("trust") >= least_confidence))
         votes = unseen.join(strong.select("pattern", "kind", "trust"), "pattern").groupBy("key", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))

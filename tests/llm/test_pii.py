@@ -63,6 +63,15 @@ def test_confident_patterns_find_unseen_identifiers(spark):
     assert got[None].spans == "phone:7:19"
 
 
+def test_identifiers_found_in_a_round_admit_further_patterns(spark):
+    """Pattern b has three seeds and many that pattern a finds; one stands only in b."""
+    seen = [(f"s{i}", "phone", "a") for i in range(60)] + [(f"f{i}", None, p) for i in range(12) for p in "ab"]
+    seen += [(f"t{i}", "phone", "b") for i in range(3)] + [("only", None, "b")]
+    frame = spark.createDataFrame(seen, "key string, kind string, pattern string")
+    got = {r.key: r.kind for r in pii.discover(frame, least_confidence=0.7).collect()}
+    assert got == {f"f{i}": "phone" for i in range(12)} | {"only": "phone"}
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_data(docs).count() == 0
