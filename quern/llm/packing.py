@@ -21,38 +21,40 @@ BLOCK_PIECES = 40_000
 #: Fixed value: the splitting pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Beyond these characters two regex engines may know different Unicode tables.
-_UNSURE = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
+UNSURE = "[^\x00-\u024f\u2010-\u2027\u20ac]"
 
 
 @cache
 def _encoders(path: str):
-    """The tokenizer of the file, and a faster engine over the same vocabulary and merges."""
+    """The tokenizer of the file, a faster engine over the same vocabulary and merges, and a
+    pattern of the texts that only the former may read."""
     import tiktoken
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     special = {t.content for t in exact.get_added_tokens_decoder().values()}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in exact.get_vocab().items() if token not in special}
-    return exact, tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    unsure = re.compile("|".join([UNSURE, *map(re.escape, sorted(special - {""}))]))
+    return exact, tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), unsure
 
 
 class Encoder:
     """Ids of whole texts as the tokenizer file defines them.
 
     Texts of Latin letters and common signs take the faster engine, which gives the same ids
-    there; all others go through the file's own library.
+    there; all others, and those that spell one of the vocabulary's added tokens (which then
+    is that token), go through the file's own library.
     """
 
     def __init__(self, path: str):
-        self.exact, self.fast = _encoders(path)
+        self.exact, self.fast, self.unsure = _encoders(path)
 
     def __call__(self, text: str) -> array:
-        if _UNSURE.search(text):
+        if self.unsure.search(text):
             return array("I", self.exact.encode(text, add_special_tokens=False).ids)
         return array("I", self.fast.encode_ordinary(text))
 
