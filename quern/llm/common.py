@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -20,9 +22,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named by spark.checkpoint.dir.  Where it is unset, one machine by itself gets
+    a folder of its own; a cluster gets an error, since its executors share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -36,13 +41,14 @@ def saved(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by saved(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables made by saved(), once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -88,6 +94,31 @@ def small_join(big: DataFrame, small: DataFrame, on: str, rows: int, how: str =
     return dealt.join(salted, dealt[on].eqNullSafe(F.col(key)) & (F.col("__deal") == F.col("__salt")), how).drop(key, "__salt", "__deal")
 
 
+#: Rows of one key from which a join treats the key as hot, at least.
+HOT_ROWS = 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, total: int, spread: list[str]) -> DataFrame:
+    """Left join of big with small, whose rows are unique in `on`, by plain equality.
+
+    `weight` is the column of small that says how many rows of big a key has at most, and
+    `total` is at least their sum.  Keys above the larger of HOT_ROWS and total over
+    BROADCAST_ROWS are hot: there are at most BROADCAST_ROWS of them, whatever the table, so
+    they are broadcast, and their rows of big go on dealt by the columns `spread` (which
+    null keys, meeting nothing, do too).  All other keys have few rows and meet by shuffle.
+    """
+    least = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
+    added = [c for c in small.columns if c not in on]
+    hot = small.filter(F.col(weight) >= least).select(*(F.col(c).alias(f"__hot_{c}") for c in small.columns))
+    met = lambda mark: reduce(and_, (F.col(c) == F.col(f"__{mark}_{c}") for c in on))
+    dealt = big.join(F.broadcast(hot), met("hot"), "left")
+    apart = F.col(f"__hot_{weight}").isNotNull() | reduce(or_, (F.col(c).isNull() for c in on))
+    dealt = dealt.withColumn("__salt", F.when(apart, F.xxhash64(*spread)).otherwise(F.lit(0).cast("long")))
+    rest = small.filter(F.col(weight) < least).select(F.lit(0).cast("long").alias("__rest"), *(F.col(c).alias(f"__rest_{c}") for c in small.columns))
+    joined = dealt.join(rest, met("rest") & (F.col("__salt") == F.col("__rest")), "left")
+    return joined.select(*big.columns, *(F.coalesce(f"__hot_{c}", f"__rest_{c}").alias(c) for c in added))
+
+
 #: Bits a key set has at least and at most; in runs of so many bytes they travel.
 LEAST_BITS, MOST_BITS, BIT_RUN = 1 << 18, 1 << 27, 1 << 14
 

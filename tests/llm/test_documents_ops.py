@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import line_dedup, mixing, ngram_join, packing, quality_rules
+from quern.llm import common, line_dedup, mixing, ngram_join, packing, quality_rules
 from quern.llm.common import components
 from quern.llm.queries import tokenizer_path
 
@@ -75,7 +75,10 @@ def test_mix_comes_near_its_targets(spark, docs):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
-def test_line_dedup_equals_brute_force(spark, docs):
+@pytest.mark.parametrize("hot_rows", [1, 5, 1000])
+def test_line_dedup_equals_brute_force(spark, docs, hot_rows, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+
     def key(line):
         return re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate({i: i + 32 for i in range(65, 91)})
 
@@ -94,6 +97,23 @@ def test_line_dedup_equals_brute_force(spark, docs):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_three_documents_and_clashing_columns(spark):
+    rows = [(3, "twice held line\nthrice held line"), (1, "thrice held line"), (2, "Thrice held line \ntwice held line"), (2, "thrice held line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 AS n_lines", "8 AS n_dropped", "'x' AS kept_text")
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(docs, min_docs=3).collect())
+    assert got == [(1, 1, 0, "thrice held line"), (2, 1, 1, ""), (2, 2, 1, "twice held line"), (3, 2, 1, "twice held line")]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 4, 1000])
+def test_hot_join_is_a_left_join(spark, hot_rows, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    big = spark.createDataFrame([(i, None if i % 11 == 0 else i % 7 % 4, i % 2) for i in range(200)], "id int, a int, b int")
+    small = spark.createDataFrame([(a, b, a * 10 + b, 200 if a == 1 else 2) for a in range(3) for b in range(2)], "a int, b int, v int, n int")
+    got = sorted(common.hot_join(big, small, ["a", "b"], "n", 450, ["id"]).select("id", F.coalesce("v", F.lit(-1)).alias("v")).collect())
+    want = sorted(big.join(small, ["a", "b"], "left").select("id", F.coalesce("v", F.lit(-1)).alias("v")).collect())
+    assert got == want
+
+
 def shingles(text):
     w = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -155,7 +175,6 @@ def test_packing_is_a_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(tokenizer_path())
-    exact.encode_special_tokens = True
     got = packing.pack_documents(docs, tokenizer_path(), keep_ids=True).collect()
     want = sorted(tuple(exact.encode(r[1] or "", add_special_tokens=False).ids) + (2,) for r in corpus())
     pieces = sorted((r.doc_id if r.doc_id is not None else -1, r.ids_crc32, r.piece) for r in got)
@@ -182,6 +201,28 @@ def test_packing_is_a_round_trip(spark, docs):
     assert packing.pack_documents(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer_as_loaded():
+    """Texts that spell an added token in whole, in part and in a row, among others."""
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    rng = random.Random(11)
+    bits = [*"abc", *(t.content for t in exact.get_added_tokens_decoder().values()), "<|endoftext", "|>", " ", "\n", "word", " 12", "'s", "é", "—", "日本", "😀", "\u0130", "\x00"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 12)))
+        assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids, text
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+def test_packing_of_text_ids_and_a_very_long_text(spark):
+    rows = [("a", "word " * 400_000), ("b", None), (None, "x"), ("b", "y y")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id string, text string"), tokenizer_path()).collect()
+    long = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == "a")
+    assert [p for p, _, _ in long] == list(range(len(long))) and all(n == 1024 for _, _, n in long[1:])
+    assert all(a + n == b for (_, a, n), (_, b, _) in zip(long, long[1:], strict=False))
+    assert sorted(r.length for r in got if r.doc_id == "b") == [1, 3] and sum(r.doc_id is None for r in got) == 1
+
+
 def test_best_two_fit_swaps_the_smallest_for_a_tighter_pair():
     lengths = [60, 25, 21, 18]
     bins = packing.best_two_fit(lengths, 100)
