@@ -1,9 +1,12 @@
 """WARC round trips, URL rules, nearest neighbours and the line model."""
 
 import hashlib
+import itertools
 import random
+import time
 
 import numpy as np
+import pytest
 
 from quern.llm import ann, line_crf, url_rules, warc
 from quern.llm.queries import URL_RULES, op1_additive_ann, op6_line_crf
@@ -73,6 +76,62 @@ def test_url_rules_and_mined_ones(spark):
     assert got[n - 3].verdict == "block" and got[n - 1].verdict == "allow" and got[1].verdict == "allow"
 
 
+def plain_rules(rows, least_support, least_urls, least_confidence):
+    """All token sets, counted one by one; (tokens, label) to confidence, of rules without a part as confident."""
+    rows = [(frozenset(t), v) for t, v in rows if v is not None]
+    least = max(least_urls, least_support * len(rows))
+    every = {frozenset(c) for t, _ in rows for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k)}
+    found = {}
+    for s in every:
+        labels = [v for t, v in rows if s <= t]
+        for v in set(labels):
+            if labels.count(v) >= least and labels.count(v) >= least_confidence * len(labels):
+                found[s, v] = labels.count(v) / len(labels)
+    return {k: c for k, c in found.items() if not any(o[1] == k[1] and o[0] < k[0] and d >= c for o, d in found.items())}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mined_rules_and_matches_equal_plain_counting(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(150):
+        tokens = rng.sample("abcdefg", rng.randint(0, 5))
+        tokens += ["c2", "c3"] if "c" in tokens else []
+        rows.append((tokens, rng.choice(["allow", "block", "block", None]) if rng.random() < 0.3 else "allow" if "a" in tokens and "b" in tokens else "block"))
+    rows += [(["z", "a"], "allow")] * 6 + [([], "block"), (None, "allow")]
+    frame = spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(3)
+    rules = url_rules.mine_rules(frame, least_support=0.02, least_confidence=0.75)
+    want = plain_rules([(t or [], v) for t, v in rows], 0.02, 5, 0.75)
+    picked = {(frozenset(pick), r.label): r.confidence for r in rules for pick in itertools.product(*r.sets)}
+    assert picked.keys() == want.keys() and all(abs(picked[k] - want[k]) < 1e-12 for k in want)
+    asked = spark.createDataFrame([(rng.sample([*"abcdefgz", "c2", "c3", "new"], rng.randint(0, 6)),) for _ in range(200)] + [(None,)], "tokens array<string>")
+    for r in url_rules.matched(asked, rules).collect():
+        fits = [c for (s, _), c in want.items() if s <= set(r.tokens or ())]
+        assert (r.mined_rule is None) == (not fits)
+        if fits:
+            first = next(x for x in rules if x.text() == r.mined_rule)
+            assert first.confidence == max(fits) and r.mined_verdict == first.label
+        else:
+            assert r.mined_verdict == "allow"
+
+
+def test_mining_of_a_long_repeated_url_ends(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(words, "block")] * 20 + [(words[:40], "block")] * 20
+    rows += [(random.Random(i).sample(words, 3), "allow" if i % 3 else "block") for i in range(400)]
+    began = time.perf_counter()
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert time.perf_counter() - began < 60
+    got = url_rules.matched(spark.createDataFrame([(words,)], "tokens array<string>"), rules).first()
+    assert got.mined_verdict == "block"
+
+
+def test_few_labelled_urls_teach_nothing(spark):
+    frame = spark.createDataFrame([(["a"], "block")] * 4, "tokens array<string>, verdict string")
+    assert url_rules.mine_rules(frame) == [] and url_rules.mine_rules(frame.limit(0)) == []
+    assert [r.label for r in url_rules.mine_rules(frame.union(frame))] == ["block"]
+
+
 def test_nearest_finds_what_brute_force_finds(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))
