@@ -74,7 +74,7 @@ def least_hashed(frame: DataFrame, k: int, *cols: str) -> DataFrame:
     """
     n = frame.count()
     h = F.shiftrightunsigned(F.xxhash64(*cols), 1)
-    if n > 4 * k:
+    if n > 2 * (2 * k + 100):
         frame = frame.filter(h < int((1 << 63) * (2 * k + 100) / n))
     return frame.orderBy(h, *cols).limit(k)
 

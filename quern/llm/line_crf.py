@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import least_hashed
+from quern.llm.common import dropped, least_hashed, saved
 
-#: Labelled documents the model is fitted on at most, and lines of one training chain (longer
-#: documents are several); longer texts than TRAIN_CHARS are not in the sample.
-TRAIN_DOCUMENTS, TRAIN_LINES, TRAIN_CHARS = 4000, 60, 1_000_000
+#: The sample the model is fitted on: documents at most, and the load (characters, and
+#: LINE_LOAD for each line) with which it ends, the document that passes it included.
+TRAIN_DOCUMENTS, TRAIN_LOAD, LINE_LOAD = 4000, 32_000_000, 64
+#: Lines of one stretch.  Chains are whole documents; their stretches advance side by side.
+STRETCH = 64
 STEPS, RATE, WEIGHT_DECAY = 250, 0.05, 1e-3
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"[#*$%&|<>=^~\\{}\[\]]")
@@ -113,65 +115,129 @@ class LineModel:
         return 1 / (1 + math.exp(-np.clip(self.slope * self.aggregate(*document_matrix(text or "")) + self.offset, -40, 40)))
 
 
-def _log_sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.logaddexp(x, y)
+@dataclass
+class Chains:
+    """Chains of lines cut into stretches, laid out so that all stretches advance together.
+
+    Lines are ordered by place in their stretch, and by stretch, the longest first, within a
+    place.  What enters a stretch is worked out from the 2 x 2 transfers of the stretches
+    before it, so the sums are those of whole chains.
+    """
+
+    order: np.ndarray  # line of each slot
+    chain: np.ndarray  # chain of each slot
+    before: np.ndarray  # slot of the line before in the chain, -1 for a chain's first
+    alive: np.ndarray  # stretches that have a line at each place
+    edge: np.ndarray  # first slot of each place, and the number of slots
+    last: np.ndarray  # last slot of each stretch
+    ends: np.ndarray  # last stretch of each chain
+    joined: np.ndarray  # stretches of the chains that have several
+    turns: list[tuple[np.ndarray, np.ndarray]]  # among these by place in the chain: (stretches, those before them)
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, stretch: int = STRETCH) -> Chains:
+        cuts = -(-sizes // stretch)
+        chain = np.repeat(np.arange(len(sizes)), cuts)
+        turn = np.arange(len(chain)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        n = np.minimum(stretch, sizes[chain] - turn * stretch)
+        start = (np.cumsum(sizes) - sizes)[chain] + turn * stretch
+        rank = np.argsort(-n, kind="stable")
+        place = np.argsort(rank, kind="stable")
+        alive = np.array([int((n > t).sum()) for t in range(int(n.max()))])
+        order = np.concatenate([start[rank[:k]] + t for t, k in enumerate(alive)])
+        slot = np.argsort(order, kind="stable")
+        first = np.zeros(len(order), dtype=bool)
+        first[np.cumsum(sizes) - sizes] = True
+        before = np.where(first[order], -1, slot[np.maximum(order - 1, 0)])
+        joined = np.sort(place[cuts[chain] > 1])
+        at = lambda k, back: np.searchsorted(joined, place[np.flatnonzero((turn == k) & (cuts[chain] > 1)) - back])
+        turns = [(at(k, 0), at(k, 1) if k else at(k, 0)) for k in range(int(cuts.max()))] if len(joined) else []
+        return cls(order, np.concatenate([chain[rank[:k]] for k in alive]), before, alive, np.concatenate([[0], np.cumsum(alive)]), slot[(start + n - 1)[rank]], place[np.cumsum(cuts) - 1], joined, turns)
+
+    def sums(self, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ahead, back, total): log sums over the labels of the lines up to each slot, and
+        of those after it, by its label; and over all labels of each chain.
+
+        emit: log potential of good over bad by slot; move[a, b]: of label b after a.
+        """
+        ahead, back = np.zeros((len(emit), 2)), np.zeros((len(emit), 2))
+        ahead[: self.alive[0], 1] = emit[: self.alive[0]]
+        if len(self.joined):
+            heads = ahead[self.joined]
+            begin = self.turns[0][0]
+            transfer = heads[:, None, :] + move
+            transfer[begin] -= move
+            mine = np.searchsorted(self.joined, self.alive)
+            for t in range(1, len(self.alive)):
+                k = mine[t]
+                transfer[:k] = np.logaddexp(transfer[:k, :, :1] + move[0], transfer[:k, :, 1:] + move[1])
+                transfer[:k, :, 1] += emit[self.edge[t] + self.joined[:k], None]
+            end, after = transfer[:, 0].copy(), np.zeros_like(heads)
+            for here, prior in self.turns[1:]:
+                heads[here] += np.logaddexp(end[prior, :1] + move[0], end[prior, 1:] + move[1])
+                end[here] = np.logaddexp(end[prior, :1] + transfer[here, 0], end[prior, 1:] + transfer[here, 1])
+            for here, prior in self.turns[:0:-1]:
+                after[prior] = np.logaddexp(transfer[here, :, 0] + after[here, :1], transfer[here, :, 1] + after[here, 1:])
+            ahead[self.joined], back[self.last[self.joined]] = heads, after
+        for t in range(1, len(self.alive)):
+            k, at = self.alive[t], self.edge[t]
+            p = ahead[self.edge[t - 1] : self.edge[t - 1] + k]
+            ahead[at : at + k] = np.logaddexp(p[:, :1] + move[0], p[:, 1:] + move[1])
+            ahead[at : at + k, 1] += emit[at : at + k]
+        for t in range(len(self.alive) - 2, -1, -1):
+            k, at = self.alive[t + 1], self.edge[t + 1]
+            g = back[at : at + k].copy()
+            g[:, 1] += emit[at : at + k]
+            back[self.edge[t] : self.edge[t] + k] = np.logaddexp(move[:, 0] + g[:, :1], move[:, 1] + g[:, 1:])
+        end = ahead[self.last[self.ends]]
+        return ahead, back, np.logaddexp(end[:, 0], end[:, 1])
+
+
+def slopes(chains: Chains, x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sum over chains of weight times the log likelihood of all lines having the chain's label
+    (weight and y by chain, x by slot), and its slopes by w and by move."""
+    emit = x @ w
+    ahead, back, total = chains.sums(emit, move)
+    of = chains.chain
+    good = np.exp(ahead[:, 1] + back[:, 1] - total[of])
+    slope_w = ((y[of] - good) * weight[of]) @ x
+    linked = np.flatnonzero(chains.before >= 0)
+    prior, c = chains.before[linked], of[linked]
+    slope_t = np.zeros((2, 2))
+    for a in (0, 1):
+        for b in (0, 1):
+            joint = np.exp(ahead[prior, a] + move[a, b] + b * emit[linked] + back[linked, b] - total[c])
+            slope_t[a, b] = (((y[c] == a) & (a == b)) * weight[c]).sum() - (joint * weight[c]).sum()
+    held = np.bincount(of, weights=emit, minlength=len(y)) * y + np.bincount(c, weights=move[y[c], y[c]], minlength=len(y))
+    return float(((held - total) * weight).sum()), slope_w, slope_t
 
 
 def fit(texts: list[str], labels: list[int]) -> LineModel:
     """Maximise the conditional likelihood of the lines' labels, each line having its document's.
 
-    Documents weigh alike whatever their number of lines.  All chains advance together.
+    Documents weigh alike whatever their number of lines, and a document is one chain.
     """
     width = 3 * N_FEATURES + 3
     if len(set(labels)) < 2:
         share = (sum(labels) + 1) / (len(labels) + 2)
         return LineModel(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.0, math.log(share / (1 - share)))
     built, label = [document_matrix(t) for t in texts], np.array(labels)
+    sizes = np.array([len(b[1]) for b in built])
+    chains = Chains.of(sizes)
     rows = np.vstack([b[0] for b in built])
     mean, scale = rows.mean(0), rows.std(0)
     mean[-1], scale[scale < 1e-9] = 0.0, 1.0
     scale[-1] = 1.0
-    chains = [(d, at) for d, b in enumerate(built) for at in range(0, len(b[1]), TRAIN_LINES)]
-    chains.sort(key=lambda c: -min(TRAIN_LINES, len(built[c[0]][1]) - c[1]))
-    lengths = np.array([min(TRAIN_LINES, len(built[d][1]) - at) for d, at in chains])
-    n, longest = len(chains), int(lengths[0])
-    x = np.zeros((n, longest, rows.shape[1]), dtype=np.float32)
-    for i, (d, at) in enumerate(chains):
-        x[i, : lengths[i]] = (built[d][0][at : at + TRAIN_LINES] - mean) / scale
-    mask = np.arange(longest)[None] < lengths[:, None]
-    alive = mask.sum(0)
-    y = label[[d for d, _ in chains]]
-    per_doc = (1 / np.array([len(built[d][1]) for d, _ in chains]))[:, None]
+    x = ((rows - mean) / scale).astype(np.float32)[chains.order]
+    del rows
     share = len(built) / 2 / np.maximum(1, np.bincount(label, minlength=2))
-    balance = share[y][:, None] ** 0.5
-    w, move = np.zeros(x.shape[2]), np.zeros((2, 2))
+    weight = share[label] ** 0.5 / sizes / len(built)
+    w, move = np.zeros(width), np.zeros((2, 2))
     m1, m2, t1, t2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(move), np.zeros_like(move)
     for step in range(1, STEPS + 1):
-        emit = x @ w
-        ahead = np.zeros((n, longest, 2))
-        ahead[:, 0, 1] = emit[:, 0]
-        for t in range(1, longest):
-            k = alive[t]
-            p = ahead[:k, t - 1]
-            ahead[:k, t, 0] = _log_sum(p[:, 0] + move[0, 0], p[:, 1] + move[1, 0])
-            ahead[:k, t, 1] = _log_sum(p[:, 0] + move[0, 1], p[:, 1] + move[1, 1]) + emit[:k, t]
-        back = np.zeros((n, longest, 2))
-        for t in range(longest - 2, -1, -1):
-            k = alive[t + 1]
-            g = back[:k, t + 1] + np.stack([np.zeros(k), emit[:k, t + 1]], 1)
-            back[:k, t, 0] = _log_sum(move[0, 0] + g[:, 0], move[0, 1] + g[:, 1])
-            back[:k, t, 1] = _log_sum(move[1, 0] + g[:, 0], move[1, 1] + g[:, 1])
-        logz = _log_sum(ahead[:, 0, 0] + back[:, 0, 0], ahead[:, 0, 1] + back[:, 0, 1])[:, None]
-        good = np.exp(ahead[:, :, 1] + back[:, :, 1] - logz) * mask
-        weight = per_doc * balance * mask
-        slope_w = np.tensordot((y[:, None] - good) * weight, x, axes=2) / len(built) - WEIGHT_DECAY * w
-        slope_t = np.zeros((2, 2))
-        pair = mask[:, 1:] * per_doc * balance
-        for a in (0, 1):
-            for b in (0, 1):
-                joint = np.exp(np.minimum(0, ahead[:, :-1, a] + move[a, b] + b * emit[:, 1:] + back[:, 1:, b] - logz))
-                slope_t[a, b] = (((y[:, None] == a) & (a == b)) * pair - joint * pair).sum() / len(built)
-        slope_t -= 0.1 * move
+        _, slope_w, slope_t = slopes(chains, x, label, weight, w, move)
+        slope_w = slope_w - WEIGHT_DECAY * w
+        slope_t = slope_t - 0.1 * move
         for value, slope, f1, f2 in ((w, slope_w, m1, m2), (move, slope_t, t1, t2)):
             f1 *= 0.9
             f1 += 0.1 * slope
@@ -191,19 +257,27 @@ def fit(texts: list[str], labels: list[int]) -> LineModel:
     return LineModel(mean, scale, w, move, max(a, 1e-3), b)
 
 
-def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "label", documents: int = TRAIN_DOCUMENTS) -> LineModel:
-    """Fit on the texts of at most `documents` labelled ids, those of the least id hash.
+def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "label", documents: int = TRAIN_DOCUMENTS, load: int = TRAIN_LOAD) -> LineModel:
+    """Fit on whole texts of at most `documents` labelled ids, those of the least id hash.
 
     labels has an id and a 0/1 label a row.  The ids of the sample are few and broadcast, so
-    no text is shuffled.  Texts of more than TRAIN_CHARS are not in the sample; all others
-    teach whole, and scoring reads all of every text.  Null texts count as empty; ids with both labels teach
-    both; without labels or with one kind of them every document gets the same score.
+    no text is shuffled but the sample's.  By hash of id and text the sample goes on until
+    its load passes `load`, so that is what the driver holds, and one text.  Null texts count
+    as empty; ids with both labels teach both; rows equal in id, label and text teach once;
+    without labels or with one kind of them every document gets the same score.
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y")).distinct()
     chosen = least_hashed(chosen, documents, "__id", "y")
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select("__id", "y", F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.length("t") <= TRAIN_CHARS)
-    rows = rows.orderBy(F.xxhash64("__id"), "__id", "y", "t").limit(documents).collect()
-    return fit([r.t for r in rows], [r.y for r in rows])
+    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select("__id", "y", F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = rows.withColumn("h", F.xxhash64("__id", "t")).groupBy("h", "__id", "y").agg(F.first("t").alias("t"))
+    rows = saved(rows, "labelled")
+    line_feeds = F.length("t") - F.length(F.replace("t", F.lit("\n")))
+    ordered = rows.select("h", "__id", "y", (F.length("t") + LINE_LOAD * (1 + line_feeds)).alias("load")).orderBy("h", "__id", "y").limit(documents).collect()
+    before = np.cumsum([0] + [r.load for r in ordered])[: len(ordered)]
+    taken = [r for r, sum_before in zip(ordered, before, strict=True) if sum_before < load]
+    found = rows.filter(F.col("h") <= taken[-1].h).select("h", "__id", "y", "t").orderBy("h", "__id", "y").limit(len(taken)).collect() if taken else []
+    dropped(rows)
+    return fit([r.t for r in found], [r.y for r in found])
 
 
 def score_documents(docs: DataFrame, model: LineModel, text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -190,6 +190,73 @@ def test_marginals_equal_enumeration():
     assert np.allclose(line_crf.marginals(emit, move), p / z)
 
 
+def plain_likelihood(x, sizes, y, weight, w, move):
+    """The weighted log likelihood, one chain and one line at a time."""
+    total, at = 0.0, 0
+    for n, label, share in zip(sizes, y, weight, strict=True):
+        emit = x[at : at + n] @ w
+        sums = np.array([0.0, emit[0]])
+        held = label * emit.sum() + (n - 1) * move[label, label]
+        for e in emit[1:]:
+            sums = np.array([np.logaddexp(sums[0] + move[0, b], sums[1] + move[1, b]) + b * e for b in (0, 1)])
+        total += share * (held - np.logaddexp(*sums))
+        at += n
+    return total
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 64])
+def test_slopes_of_the_line_model_equal_differences(stretch):
+    """Chains shorter and longer than a stretch, one of them of many stretches."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([5, 1, 64, 7, 200, 3, 64, 6])
+    chains = line_crf.Chains.of(sizes, stretch)
+    x, y, weight = rng.normal(size=(sizes.sum(), 4)), rng.integers(0, 2, len(sizes)), rng.random(len(sizes))
+    w, move = rng.normal(size=4), rng.normal(size=(2, 2))
+    value, by_w, by_move = line_crf.slopes(chains, x[chains.order], y, weight, w, move)
+    plain = lambda w, move: plain_likelihood(x, sizes, y, weight, w, move)
+    assert abs(value - plain(w, move)) < 1e-8
+    for i in range(4):
+        d = np.eye(4)[i] * 1e-5
+        assert abs(by_w[i] - (plain(w + d, move) - plain(w - d, move)) / 2e-5) < 1e-4
+    for i in range(4):
+        d = np.eye(4)[i].reshape(2, 2) * 1e-5
+        assert abs(by_move.flat[i] - (plain(w, move + d) - plain(w, move - d)) / 2e-5) < 1e-4
+    ahead, back, total = chains.sums(x[chains.order] @ w, move)
+    assert np.allclose(np.logaddexp(*(ahead + back).T), total[chains.chain])
+
+
+def test_scores_are_length_weighted_marginals(spark):
+    """The whole of a very long text is scored, as line by line."""
+    docs = spark.createDataFrame([(i, f"good line number {i} of a text.\nand another one." if i % 2 else "## $$ !!\n** %%") for i in range(40)], "doc_id long, text string")
+    model = line_crf.train_on(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS label"))
+    text = "\n".join(["a good line of a text."] * 3000 + ["## $$ !!"] * 9000)
+    features, lengths = line_crf.document_matrix(text)
+    emit = ((features - model.mean) / model.scale) @ model.weights
+    ahead, back, total = line_crf.Chains.of(np.array([12_000])).sums(emit, model.move)
+    p = np.exp(ahead[:, 1] + back[:, 1] - total[0])
+    share = np.clip((p * (lengths + 1)).sum() / (lengths + 1).sum(), 1e-6, 1 - 1e-6)
+    want = 1 / (1 + np.exp(-np.clip(model.slope * np.log(share / (1 - share)) + model.offset, -40, 40)))
+    assert abs(model.score(text) - want) < 1e-6
+    tied = line_crf.score_documents(docs.limit(6).union(docs.limit(6)), model).collect()
+    assert all(len({r.score for r in tied if r.doc_id == i}) == 1 for i in {r.doc_id for r in tied})
+    assert all((r.predicted == 1) == (r.score >= 0.3) == (r.doc_id % 2 == 1) for r in tied)
+
+
+def test_the_sample_ends_with_its_load(spark, monkeypatch):
+    """Long texts are sampled like others; repeated rows teach once."""
+    seen = []
+    monkeypatch.setattr(line_crf, "fit", lambda texts, labels: seen.append((texts, labels)))
+    docs = spark.createDataFrame([(i, "x" * 2_000_000 if i < 3 else "y\n" * 50) for i in range(30)] * 2, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS label")
+    line_crf.train_on(docs, labels)
+    line_crf.train_on(docs, labels, load=20_000)
+    line_crf.train_on(docs, labels, documents=4)
+    assert len(seen[0][0]) == 30 and sum(len(t) > 1000 for t in seen[0][0]) == 3
+    loads = [len(t) + line_crf.LINE_LOAD * (1 + t.count("\n")) for t in seen[1][0]]
+    assert 1 <= len(loads) < 30 and sum(loads[:-1]) < 20_000 and seen[1][0] == seen[0][0][: len(loads)]
+    assert len(seen[2][0]) == 4
+
+
 def test_held_out_quality(spark):
     d = "/root/testdata/sf0.1"
     scored = op6_line_crf(spark, d)
