@@ -23,8 +23,10 @@ TRAIN_VECTORS = 8000
 BOOKS, WORDS, BEAM, ROUNDS = 12, 256, 8, 3
 #: Candidates a query ranks again on whole vectors.
 RERANK = 300
-#: Queries and codes in one scored block.
-QUERY_BLOCK, CODE_BLOCK = 128, 1 << 18
+#: Queries and codes in one scored block at most, and blocks of queries at least.
+QUERY_BLOCK, CODE_BLOCK, LEAST_BLOCKS = 4096, 1 << 18, 16
+#: Bytes of query vectors up to which they are broadcast for the rerank.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass
@@ -101,9 +103,8 @@ def fit_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds:
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """id, v: vectors of finite components and a norm above zero; all others take no part."""
-    v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col(vec_id).alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+    return vectors.select(F.col(vec_id).alias("id"), F.col(embedding).alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -152,13 +153,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     candidate, and with at most `rerank` different vectors the answer is exact.  Null, empty,
     zero and non-finite vectors, and null ids, take no part.  Rows of one id are each
     candidates and the id is listed once, with its best score; a query id given twice asks
-    with one of its vectors, the greatest.  Vectors of another length than the training
-    sample's first fail.  Equal vectors are coded once; queries meet codes in blocks of
-    bounded size, and only each block's best go on.
+    with one of its vectors, the greatest.  Vectors of another length than the commonest
+    (the greatest of equally common ones) take no part.  Equal vectors are coded once;
+    queries meet codes in blocks of bounded size, and only each block's best go on.
     """
     every = usable(vectors, vec_id, embedding)
     every = every.groupBy("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).agg(F.first("v").alias("v"))
     every = saved(every.select("id", "v"), "vectors")
+    common = every.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    every = every.filter(F.size("v") == (common.d if common else 0))
     queries = every.filter(is_query(F.col("id"))).groupBy("id").agg(F.max("v").alias("v"))
     rows = saved(distinct_vectors(every, k + 1), "distinct")
     sample = least_hashed(rows.select("id", "v"), TRAIN_VECTORS, "id").collect()
@@ -169,7 +172,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     model = fit_codebooks(x, books, min(WORDS, max(2, len(x) // 8)))
     index = saved(build_index(rows.select("id", "v"), model), "codes")
     n_codes, n_queries = index.agg(F.sum("n")).first()[0], queries.count()
-    code_blocks, query_blocks = max(1, -(-n_codes // CODE_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    code_blocks, query_blocks = max(1, -(-n_codes // CODE_BLOCK)), max(1, min(n_queries, LEAST_BLOCKS), -(-n_queries // QUERY_BLOCK))
     asked = queries.select(F.col("id"), "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
     held = index.withColumn("cb", F.pmod(F.xxhash64("ids"), F.lit(code_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
@@ -195,7 +198,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     near = near.groupBy("query_id", "id").agg(F.max("about").alias("about"))
     first = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
     near = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rerank).select("query_id", "id")
-    pairs = near.join(rows, "id").join(queries.withColumnsRenamed({"id": "query_id", "v": "q"}), "query_id")
+    asking = queries.withColumnsRenamed({"id": "query_id", "v": "q"})
+    if n_queries * common.d * 8 <= BROADCAST_BYTES:
+        asking = F.broadcast(asking)
+    pairs = near.join(rows, "id").join(asking, "query_id")
 
     @F.pandas_udf("double")
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:

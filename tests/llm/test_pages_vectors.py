@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quern.llm import ann, line_crf, url_rules, warc
@@ -138,8 +139,8 @@ def test_nearest_finds_what_brute_force_finds(spark):
     x = centres[rng.integers(0, 20, 1500)] + 0.6 * rng.normal(size=(1500, 16))
     x[200:500] = x[150]  # a common vector
     rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
-    rows += [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] + [1.0] * 15), (2003, [float("inf")] + [1.0] * 15), (2004, [None] + [1.0] * 15), (None, [1.0] * 16), (3, rows[3][1])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    rows += [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] + [1.0] * 15), (2003, [float("inf")] + [1.0] * 15), (2004, [None] + [1.0] * 15), (None, [1.0] * 16), (3, rows[3][1]), (2050, [1.0] * 15), (2100, [1.0] * 17), (2005, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS id", "'x' AS v", "2 AS rank").repartition(4)
     got = ann.nearest(vectors, lambda v: v % 50 == 0, rerank=60).collect()
     m = np.array([np.float32(r[1]) for r in rows[:1500]], dtype=np.float64)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -157,6 +158,25 @@ def test_nearest_finds_what_brute_force_finds(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_recall_where_the_rerank_list_is_a_small_share(spark, monkeypatch, broadcast):
+    """20,000 vectors of 32 dimensions in loose clusters; 300 are ranked again: 1.5 %."""
+    monkeypatch.setattr(ann, "BROADCAST_BYTES", broadcast)
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(50, 32))[rng.integers(0, 50, 20_000)] + 0.7 * rng.normal(size=(20_000, 32))).astype(np.float32)
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": [v.tolist() for v in x]}), "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(vectors, lambda v: v % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    m = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 20_000, 50):
+        s = m @ m[q]
+        s[q] = -2
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 400 and hit / 2000 >= 0.9
+
+
 def test_few_vectors_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], kind), lambda v: v % 50 == 0).count() == 0
@@ -164,8 +184,9 @@ def test_few_vectors_and_none(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 2), (0, 2, 1)]
 
 
-def test_recall_on_the_driver_vectors(spark):
-    d = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_on_the_driver_vectors(spark, sf):
+    d = f"/root/testdata/sf{sf}"
     got = op1_additive_ann(spark, d).collect()
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
