@@ -10,65 +10,94 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import least_hashed, saved, shared_folder
+from quern.llm.common import hot_join, least_hashed, saved, shared_folder
 
 #: Magic number of the skippable frame that carries a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 16 << 20
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
+SAMPLE_RECORDS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
 LEVEL = 3
+#: Date of records whose pages come without one.
+DATE = "2024-01-01T00:00:00Z"
 
 
 def classified(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload, digest and refers_to (the response a revisit points at).
+    """page_id, url, payload, digest, size and refers_to (the response a revisit points at).
 
     The smallest id per digest is combined on the map side, so a payload that a third of all
-    pages share costs one row per task; pages meet their digest's id in a join that Spark
-    can split.  Only digests and ids are shuffled for that, and payloads once.
+    pages share costs one row per task; digests of many pages are broadcast, others meet
+    their pages by hash.  Only digests and ids are shuffled for that, and payloads once.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     base = base.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
     least = base.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    least = least.filter("n > 1").select("digest", "first_id")
-    out = base.join(least, "digest", "left")
-    return out.withColumn("refers_to", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))).drop("first_id")
+    least = saved(least.filter("n > 1"), "digests")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = hot_join(base, least, ["digest"], "n", total, ["page_id", "url"])
+    return out.withColumn("refers_to", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))).drop("first_id", "n")
 
 
-def train_dictionary(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> bytes:
-    """A dictionary from at most SAMPLE_RECORDS payloads, each to SAMPLE_BYTES.
+def sampled_slices(pages: DataFrame, html: str = "html") -> list[str]:
+    """Slices of at most SAMPLE_RECORDS different payloads.
 
-    The sample is bounded whatever the table holds, and its records are those of least hash.
-    The dictionary only changes how small archives are, never what they hold.  Empty when
-    there is too little to train on.
+    The sample is bounded whatever the table holds: payloads of least hash, copies counting
+    once as in the archives, and of each at most SAMPLE_CHARS characters from a place that
+    its hash sets.
+    """
+    place = F.pmod(F.shiftright(F.xxhash64(html), 8), F.greatest(F.length(html) - SAMPLE_CHARS + 1, F.lit(1)).cast("long")) + 1
+    whole = pages.filter(F.length(html) > 0).select(F.xxhash64(html).alias("h"), F.substring(F.col(html), place.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
+    return [r.t for r in least_hashed(whole.groupBy("h").agg(F.first("t").alias("t")), SAMPLE_RECORDS, "h").collect()]
+
+
+def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
+    """A dictionary from a bounded sample.  Where records are too few or too alike to train on,
+    the slices themselves are the dictionary.  It only changes how small archives are, never
+    what they hold.  Empty when no page has text.
     """
     import zstandard
 
-    whole = pages.filter(F.length(html) > 0).select(F.col(page_id).alias("id"), F.sha2(F.col(html), 256).alias("d"), F.substring(html, 1, SAMPLE_BYTES).alias("t"))
-    sample = least_hashed(whole, SAMPLE_RECORDS, "id", "d").collect()
-    texts = [(_record("response", "https://example.com/", "0", hashlib.sha256(r.t.encode()).hexdigest(), len(r.t), None, r.t.encode())) for r in sample]
-    if len(texts) < 8:
-        return b""
+    slices = sampled_slices(pages, html)
+    texts = [_record("response", "https://example.com/", "0", hashlib.sha256(t.encode()).hexdigest(), len(t), None, t.encode()) for t in slices]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(texts)[-DICTIONARY_BYTES:]
+
+
+def _urn(page: str | None) -> str:
+    return "urn:page-unknown" if page is None else "urn:page:" + quote(page, safe="")
+
 
+def _page(urn: str | None) -> str | None:
+    name = (urn or "").strip("<>")
+    return unquote(name.removeprefix("urn:page:")) if name.startswith("urn:page:") else None
 
-def _record(kind: str, url: str, page: str, digest: str, size: int, refers: str | None, body: bytes) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha256:{digest}", f"Payload-Bytes: {size}"]
+
+def _block(head: list[str], body: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def _record(kind: str, url: str | None, page: str | None, digest: str, size: int, refers: str | None, payload: bytes, date: str = DATE) -> bytes:
+    """A response with its HTTP head and payload, or a revisit with the head alone."""
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{_urn(page)}>", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head.append(f"Content-Length: {len(body)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        head += [f"WARC-Refers-To: <{_urn(refers)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    return _block(head, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload)
+
+
+def _information(name: str, date: str) -> bytes:
+    body = b"software: quern\r\nformat: WARC File Format 1.1\r\n"
+    return _block(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], body)
 
 
 def _files(folder: str):
@@ -78,10 +107,11 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
     """Write records (see classified) as archives under folder; returns path, records, bytes.
 
-    An archive appears under its name only when whole: a lost or repeated task leaves at
+    After the dictionary's frame an archive has a warcinfo record, which is not counted, and
+    then the records, each a frame of its own.  An archive appears under its name only when whole: a lost or repeated task leaves at
     worst an unlisted file.  Readers take the listed ones.
     """
 
@@ -95,27 +125,28 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_b
         lead = struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
 
         def close(parts: list[bytes]) -> pd.DataFrame:
-            name, data = f"{uuid.uuid4().hex}.warc.zst", b"".join(parts)
+            name = f"{uuid.uuid4().hex}.warc.zst"
+            data = b"".join([lead, squeeze.compress(_information(name, date)), *parts])
             with system.open_output_stream(f"{top}/{name}.open", compression=None) as f:
                 f.write(data)
             system.move(f"{top}/{name}.open", f"{top}/{name}")
-            return pd.DataFrame({"path": [f"{folder}/{name}"], "records": [len(parts) - 1], "bytes": [len(data)]})
+            return pd.DataFrame({"path": [f"{folder}/{name}"], "records": [len(parts)], "bytes": [len(data)]})
 
-        parts, held = [lead], len(lead)
+        parts, held = [], len(lead)
         for batch in batches:
-            for page, url, payload, digest, size, refers in zip(*(batch[c] for c in ("page_id", "url", "payload", "digest", "size", "refers_to")), strict=True):
-                again = None if pd.isna(refers) else str(int(refers))
-                frame = squeeze.compress(_record("revisit" if again else "response", url, "" if pd.isna(page) else str(int(page)), digest, int(size), again, b"" if again else payload))
+            for page, url, payload, digest, size, refers in zip(*(batch[c] for c in columns), strict=True):
+                frame = squeeze.compress(_record("response" if refers is None else "revisit", url, page, digest, int(size), refers, payload if refers is None else b"", date))
                 parts.append(frame)
                 held += len(frame)
                 if held >= archive_bytes:
                     yield close(parts)
-                    parts, held = [lead], len(lead)
-        if len(parts) > 1:
+                    parts, held = [], len(lead)
+        if parts:
             yield close(parts)
 
     columns = ("page_id", "url", "payload", "digest", "size", "refers_to")
-    return records.select(*columns).mapInPandas(write, "path string, records long, bytes long")
+    text = records.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return text.select(*columns).mapInPandas(write, "path string, records long, bytes long")
 
 
 def read_frames(data: bytes, step: int = 32 << 10) -> Iterator[bytes]:
@@ -146,8 +177,8 @@ def parse_record(record: bytes) -> dict:
     return {k.lower(): v for k, v in fields.items()} | {"body": body[: int(fields["Content-Length"])]}
 
 
-def read_archives(listing: DataFrame) -> DataFrame:
-    """One row per record of the listed archives, digests recomputed from response bodies."""
+def read_archives(listing: DataFrame, id_type: str = "long") -> DataFrame:
+    """One row per response or revisit of the listed archives, digests recomputed from payloads."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -158,24 +189,23 @@ def read_archives(listing: DataFrame) -> DataFrame:
                     data = f.read()
                 rows = []
                 for record in map(parse_record, read_frames(data)):
-                    page = record["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")
-                    refers = record.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-                    digest, size = record["warc-payload-digest"].removeprefix("sha256:"), int(record["payload-bytes"])
-                    if record["warc-type"] == "response":
-                        found = hashlib.sha256(record["body"]).hexdigest()
-                        if found != digest or size != len(record["body"]):
-                            raise ValueError(f"record {page} in {path} does not match its digest")
-                    rows.append((int(page) if page else None, size, digest, record["warc-type"], int(refers) if refers else None, record.get("warc-target-uri")))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    if record["warc-type"] == "warcinfo":
+                        continue
+                    http, _, payload = record["body"].partition(b"\r\n\r\n")
+                    digest, size = record["warc-payload-digest"].removeprefix("sha256:"), int(http.rpartition(b"Content-Length: ")[2])
+                    if record["warc-type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or size != len(payload)):
+                        raise ValueError(f"record {record['warc-record-id']} in {path} does not match its digest")
+                    rows.append((_page(record["warc-record-id"]), size, digest, record["warc-type"], _page(record.get("warc-refers-to")), record.get("warc-target-uri")))
+                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    return listing.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    found = listing.mapInPandas(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Write pages to archives in folder (the shared one by default): (listing, records read back).
 
-    Null html is an empty payload; null urls have no target line; a null page_id never leads
+    Ids are numbers or text, and come back as they were.  Null html is an empty payload; null urls have no target line; a null page_id never leads
     nor revisits; rows that repeat an id are records of their own, and those that repeat the
     least id of a payload are all responses.  No pages: no archives.
     """
@@ -183,4 +213,4 @@ def archive_pages(spark: SparkSession, pages: DataFrame, folder: str | None = No
     dictionary = train_dictionary(pages)
     listing = saved(write_archives(classified(pages), folder, dictionary), "archives")
     spread = listing.repartition(max(1, min(4096, listing.count())))
-    return listing, read_archives(spread)
+    return listing, read_archives(spread, pages.schema["page_id"].dataType.simpleString())

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quern.llm import ann, line_crf, url_rules, warc
+from quern.llm import ann, common, line_crf, url_rules, warc
 from quern.llm.queries import URL_RULES, op1_additive_ann, op6_line_crf
 
 
@@ -36,6 +36,30 @@ def test_archives_give_back_what_went_in(spark):
     with system.open_input_stream(f"{top}/{path.rpartition('/')[2]}", compression=None) as f:
         data = f.read()
     assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_FRAME and int.from_bytes(data[4:8], "little") > 0
+    kinds = [r["warc-type"] for r in map(warc.parse_record, warc.read_frames(data))]
+    assert kinds[0] == "warcinfo" and set(kinds[1:]) <= {"response", "revisit"}
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1000])
+def test_archives_of_text_ids_a_long_payload_and_few_records(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    long = "".join(f"<p>{i}</p>" for i in range(700_000))
+    rows = [("b>c d\n", "u", long), ("a", "v", "x" * 200), ("z", "w", "x" * 200), ("", "t", long), (None, None, "x" * 200)]
+    listing, back = warc.archive_pages(spark, spark.createDataFrame(rows, "page_id string, url string, html string"))
+    got = {r.page_id: r for r in back.collect()}
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {"b>c d\n": ("revisit", ""), "a": ("response", None), "z": ("revisit", "a"), "": ("response", None), None: ("response", None)}
+    assert got[""].payload_digest == hashlib.sha256(long.encode()).hexdigest() and got["b>c d\n"].payload_bytes == len(long)
+    path = listing.first().path
+    assert int.from_bytes(open(path.removeprefix("file:").replace("//", "/"), "rb").read(8)[4:], "little") > 0
+
+
+def test_the_dictionary_samples_all_of_a_payload_and_copies_once(spark):
+    rows = [(i, "u", "a" * 40_000 + f"<footer>{i}" + "the common end of all pages " * 900) for i in range(40)] + [(100 + i, "u", "copied") for i in range(40)]
+    slices = warc.sampled_slices(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert len(slices) == 41 and slices.count("copied") == 1 and all(len(t) <= warc.SAMPLE_CHARS for t in slices)
+    assert any("common end" in t for t in slices) and any(t.startswith("aaaa") for t in slices)
+    assert warc.train_dictionary(spark.createDataFrame(rows[:1], "page_id long, url string, html string")) != b""
+    assert warc.train_dictionary(spark.createDataFrame([(1, "u", None)], "page_id long, url string, html string")) == b""
 
 
 def test_no_pages(spark):
