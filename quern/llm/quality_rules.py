@@ -57,20 +57,28 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> int:
 def suffix_repeats(ids: np.ndarray, least: int) -> tuple[int, int]:
     """(words covered by repeats of `least` words or more, longest repeat).
 
-    Ranks by the first 1, 2, 4, ... words are kept, so that common prefixes of neighbours
-    in the suffix array add up from the longest power down.  Each suffix's longest repeat
+    Ranks by the first 1, 2, 4, ... words are kept, four bytes a word each and no more of
+    them than the longest repeat has doublings, so that common prefixes of neighbours in the
+    suffix array add up from the longest power down.  Each suffix's longest repeat
     is the larger of its two neighbouring values; spans of repeats that are not maximal lie
     within spans of those that are, so the union over suffixes is that of the maximal ones.
     """
     n = len(ids)
     _, rank = np.unique(ids, return_inverse=True)
-    levels, width = [rank.astype(np.int64)], 1
+    kind = np.int32 if n < 1 << 31 else np.int64
+    levels, width = [rank.astype(kind)], 1
     while width < n and levels[-1].max() < n - 1:
-        key = levels[-1] * (n + 1)
-        key[:-width] += levels[-1][width:] + 1
-        _, rank = np.unique(key, return_inverse=True)
-        levels.append(rank.astype(np.int64))
+        key = levels[-1].astype(np.int64)
+        key *= n + 1
+        key[:-width] += levels[-1][width:]
+        key[:-width] += 1
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rank = np.empty(n, dtype=kind)
+        rank[order] = np.cumsum(np.diff(key, prepend=key[0]) != 0, dtype=kind)
+        levels.append(rank)
         width *= 2
+    del rank
     order = np.argsort(levels[-1], kind="stable")
     a, b, common = order[:-1].copy(), order[1:].copy(), np.zeros(n - 1, dtype=np.int64)
     for power in range(len(levels) - 1, -1, -1):
@@ -114,7 +122,8 @@ def quality_rules(docs: DataFrame, text: str = "text", most_covered: float = MOS
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words,
     longest_repeat, base_failed and kept to every row of docs.
 
-    Null and empty text have no words and fail the base rule.  Texts are measured whole,
+    longest_repeat is 0 where no repeat has LEAST_REPEAT words.  Null and empty text have no
+    words and fail the base rule.  Texts are measured whole,
     one at a time, within a scan; nothing is shuffled.  Columns of docs that clash with the
     added names are replaced.
     """
