@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from quern.llm import pii
+import pytest
+
+from quern.llm import common, pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -67,11 +69,98 @@ def test_identifiers_found_in_a_round_admit_further_patterns(spark):
     """Pattern b has three seeds and many that pattern a finds; one stands only in b."""
     seen = [(f"s{i}", "phone", "a") for i in range(60)] + [(f"f{i}", None, p) for i in range(12) for p in "ab"]
     seen += [(f"t{i}", "phone", "b") for i in range(3)] + [("only", None, "b")]
-    frame = spark.createDataFrame(seen, "key string, kind string, pattern string")
+    frame = spark.createDataFrame([(*s, ["phone"]) for s in seen], "key string, kind string, pattern string, may array<string>")
     got = {r.key: r.kind for r in pii.discover(frame, least_confidence=0.7).collect()}
     assert got == {f"f{i}": "phone" for i in range(12)} | {"only": "phone"}
 
 
+def plain_discovery(seen, rounds, least_known, least_confidence):
+    """The scores of patterns and identifiers, one edge at a time."""
+    edges = {}
+    for key, kind, pattern, may in seen:
+        old = edges.get((pattern, key), (None, set()))
+        edges[pattern, key] = (max(filter(None, (old[0], kind)), default=None), old[1] | set(may))
+    held = {}
+    for pattern, _ in edges:
+        held[pattern] = held.get(pattern, 0) + 1
+    graph = {e: v for e, v in edges.items() if held[e[0]] >= least_known}
+    known = {}
+    for (_, key), (kind, _) in graph.items():
+        if kind:
+            known[key] = max(known.get(key, ""), kind)
+    found = {}
+    for _ in range(rounds):
+        pool = {k: v for k, v in found.items() if k not in known} | {k: (kind, 1.0) for k, kind in known.items()}
+        mass = {}
+        for pattern, key in graph:
+            if key in pool:
+                kind, score = pool[key]
+                mass[pattern, kind] = mass.get((pattern, kind), 0) + score
+        trust = {}
+        for (pattern, kind), m in mass.items():
+            against = sum(v for (p, _), v in mass.items() if p == pattern) + 1
+            against += sum(pii.UNKNOWN if kind in may else 1 for (p, key), (_, may) in graph.items() if p == pattern and key not in pool)
+            if m >= least_known and m / against >= least_confidence:
+                trust[pattern, kind] = m / against
+        doubt = {}
+        for (pattern, key), (kind, may) in graph.items():
+            for (p, k), t in trust.items():
+                if kind is None and p == pattern and k in may:
+                    doubt[key, k] = doubt.get((key, k), 1.0) * (1 - t)
+        found = {}
+        for (key, kind), d in doubt.items():
+            if (1 - d, kind) > (found[key][1], found[key][0]) if key in found else True:
+                found[key] = (kind, 1 - d)
+        found = {k: v for k, v in found.items() if v[1] >= least_confidence}
+    return {k: v[0] for k, v in found.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_discovery_equals_plain_scoring(spark, seed, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10 if seed % 2 else 1000)
+    rng = random.Random(seed)
+    seen = []
+    for _ in range(600):
+        pattern = rng.choice("aaabcdefgh")
+        kind = {"a": "phone", "b": "phone", "c": "card", "d": "email"}.get(pattern, rng.choice(["phone", "card", "ip"]))
+        key = f"{kind}{rng.randint(0, 40)}" if rng.random() < 0.9 else f"x{rng.randint(0, 5)}"
+        seen.append((key, kind if rng.random() < 0.75 else None, pattern, [kind] if rng.random() < 0.8 else ["phone", "card"]))
+    frame = spark.createDataFrame(seen, "key string, kind string, pattern string, may array<string>")
+    for known, confidence in ((4, 0.8), (3, 0.6)):
+        got = {r.key: r.kind for r in pii.discover(frame, least_known=known, least_confidence=confidence).collect()}
+        assert got == plain_discovery(seen, pii.ROUNDS, known, confidence)
+
+
+def test_planted_identifiers_are_found_among_the_driver_documents(spark):
+    """Unseen forms planted in whole documents of a table: all are found, nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    plain = {r.doc_id: r.spans for r in pii.span_digest(pii.personal_data(spark.createDataFrame(docs))).collect()}
+    rng, rows, want = random.Random(8), [], {}
+    for r in docs:
+        i, text, n = r.doc_id, r.text or "", rng.randrange(10**6)
+        seeds = [f"Reach us by phone: +1 415 {n:07d} today", f"Send mail to: user{n}@mail.example.org soon", f"Server address = 10.{n % 250}.{n // 250 % 250}.7 up"]
+        unseen = [("phone", f"415 {n:07d}", "Reach us by phone: {} today"), ("email", f"user{n} (at) mail [dot] org", "Send mail to: {} soon"), ("ip", f"10[.]{n % 250}[.]{100 + n % 99}[.]7", "Server address = {} up")]
+        other = [f"Order number: {n:09d} was sent", f"Build 2024 {n:06d} passed on", f"Part no. {n:08d}"]
+        extra = ""
+        if i % 8 in (0, 3, 4):
+            extra = "\n" + seeds[i // 8 % 3]
+        elif i % 8 == 1:
+            kind, value, frame = unseen[i // 8 % 3]
+            extra = "\n" + frame.format(value)
+            start = len(text) + len(extra) - len(frame.format(value)) + frame.index("{")
+            want[i] = f"{kind}:{start}:{start + len(value)}"
+        elif i % 8 == 2:
+            extra = "\n" + other[i // 8 % 3]
+        rows.append((i, text + extra))
+    got = {r.doc_id: r for r in pii.span_digest(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    base = {r.doc_id: brute(dict(rows)[r.doc_id]) for r in docs}
+    added = {i: set(filter(None, r.spans.split(","))) - set(filter(None, base[i].split(","))) for i, r in got.items()}
+    right = sum(len(added[i] & {w}) for i, w in want.items())
+    print("planted", len(want), "found", right, "added in all", sum(map(len, added.values())), "without planting", sum(plain[i] != brute(t) for i, t in docs))
+    assert len(want) > 100 and right == len(want)
+    assert sum(map(len, added.values())) == right
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_data(docs).count() == 0
