@@ -38,7 +38,9 @@ def saved(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = [path]
+    return out
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -46,8 +48,8 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         spark = df.sparkSession
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
+        for name in getattr(df, "saved_at", None) or {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
 
 
@@ -94,8 +96,9 @@ def small_join(big: DataFrame, small: DataFrame, on: str, rows: int, how: str =
     return dealt.join(salted, dealt[on].eqNullSafe(F.col(key)) & (F.col("__deal") == F.col("__salt")), how).drop(key, "__salt", "__deal")
 
 
-#: Rows of one key from which a join treats the key as hot, at least.
-HOT_ROWS = 1000
+#: Rows of one key from which a join treats the key as hot, at least; and rows of a whole
+#: table up to which one task may have them all, whatever their keys.
+HOT_ROWS, ONE_TASK_ROWS = 1000, 50_000
 
 
 def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, total: int, spread: list[str]) -> DataFrame:
@@ -105,8 +108,12 @@ def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, total
     `total` is at least their sum.  Keys above the larger of HOT_ROWS and total over
     BROADCAST_ROWS are hot: there are at most BROADCAST_ROWS of them, whatever the table, so
     they are broadcast, and their rows of big go on dealt by the columns `spread` (which
-    null keys, meeting nothing, do too).  All other keys have few rows and meet by shuffle.
+    null keys, meeting nothing, do too).  All other keys have few rows and meet by shuffle,
+    as all do where total is no more than ONE_TASK_ROWS.
     """
+    if total <= ONE_TASK_ROWS:
+        key = {c: f"__key_{c}" for c in on}
+        return big.join(small.withColumnsRenamed(key), reduce(and_, (F.col(c) == F.col(k) for c, k in key.items())), "left").drop(*key.values())
     least = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
     added = [c for c in small.columns if c not in on]
     hot = small.filter(F.col(weight) >= least).select(*(F.col(c).alias(f"__hot_{c}") for c in small.columns))
@@ -169,17 +176,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each hangs a node's neighbours on the least of
     them, until every component is one star.  Steps are written tables, so a lost executor
-    costs one step.  Links never reach the driver; only counts do.
+    costs one step; centres of large stars are joined as hot keys.  Links never reach the
+    driver; only counts do.
     """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("up"), F.least("a", "b").alias("low")).distinct()
     edges = saved(edges, "edges")
     while True:
+        n = edges.count()
         nested = edges.join(edges.select(F.col("up").alias("low")).distinct(), "low", "left_semi").limit(1).count()
-        if not nested and edges.count() == edges.select("up").distinct().count():
+        if not nested and n == edges.select("up").distinct().count():
             return edges.select(F.col("up").alias("key"), F.col("low").alias("comp")).union(edges.select("low", "low").distinct())
         both = edges.union(edges.select("low", "up"))
-        least = both.groupBy("up").agg(F.least(F.min("low"), F.col("up")).alias("least"))
-        large = saved(both.join(least, "up").filter("low > up").select(F.col("low").alias("up"), F.col("least").alias("low")).distinct(), "edges")
-        least = large.groupBy("up").agg(F.min("low").alias("least"))
-        small = large.join(least, "up").filter("low != least").select(F.col("low").alias("up"), F.col("least").alias("low"))
-        edges = saved(small.union(least.select("up", F.col("least").alias("low"))).distinct(), "edges")
+        least = both.groupBy("up").agg(F.least(F.min("low"), F.col("up")).alias("least"), F.count("*").alias("met"))
+        large = saved(hot_join(both, least, ["up"], "met", 2 * n, ["low"]).filter("low > up").select(F.col("low").alias("up"), F.col("least").alias("low")).distinct(), "edges")
+        least = large.groupBy("up").agg(F.min("low").alias("least"), F.count("*").alias("met"))
+        small = hot_join(large, least, ["up"], "met", large.count(), ["low"]).filter("low != least").select(F.col("low").alias("up"), F.col("least").alias("low"))
+        last, edges = edges, saved(small.union(least.select("up", F.col("least").alias("low"))).distinct(), "edges")
+        dropped(last, large)

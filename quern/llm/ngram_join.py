@@ -20,6 +20,7 @@ between components, which is all that components depend on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, gathered_bits, has_bit, saved
+from quern.llm.common import components, dropped, gathered_bits, has_bit, hot_join, saved
 
 #: Cells in which n-grams are counted, and how many of them travel in one row.
 CELLS, CELL_ROW = 1 << 16, 1 << 12
@@ -97,11 +98,12 @@ def least_overlap(n, percent: int):
 
 
 def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """Documents with a mark, by which scans know them again: the hash of id and text."""
+    return docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("mark"))
 
 
 def rows_and_cells(texts: DataFrame, size: int) -> DataFrame:
-    """kind 0: doc_id, n and key of every document; kind 1: counts of a run of cells (n: its
+    """kind 0: id, mark, n and key of every document; kind 1: counts of a run of cells (n: its
     number), of the different rows that the task met."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,12 +118,12 @@ def rows_and_cells(texts: DataFrame, size: int) -> DataFrame:
                 if key is not None and key not in met:
                     met.add(key)
                     cells += np.bincount(cell(grams), minlength=CELLS)
-            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "n": n, "key": pd.array(keys, dtype="Int64"), "counts": None})
+            yield pd.DataFrame({"kind": 0, "id": batch["id"], "mark": batch["mark"], "n": n, "key": pd.array(keys, dtype="Int64"), "counts": None})
         if met:
             runs = cells.reshape(-1, CELL_ROW)
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(runs), dtype="Int64"), "n": range(len(runs)), "key": pd.array([None] * len(runs), dtype="Int64"), "counts": [r.astype("<i8").tobytes() for r in runs]})
+            yield pd.DataFrame({"kind": 1, "id": None, "mark": 0, "n": range(len(runs)), "key": pd.array([None] * len(runs), dtype="Int64"), "counts": [r.astype("<i8").tobytes() for r in runs]})
 
-    return texts.mapInPandas(scan, "kind int, doc_id long, n long, key long, counts binary")
+    return texts.mapInPandas(scan, "kind int, id string, mark long, n long, key long, counts binary")
 
 
 def total_cells(scanned: DataFrame) -> np.ndarray:
@@ -146,27 +148,31 @@ def repeat_places(grams: np.ndarray, ranges: int, n_bits: int) -> tuple[np.ndarr
     return at, at * (n_bits // ranges) + (low.astype(np.uint64) * np.uint64(_STEP) >> np.uint64(24)).astype(np.int64) % (n_bits // ranges)
 
 
-def copy_marks(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def first_of_rows(rows: DataFrame) -> DataFrame:
+    """key, first and least (the least mark and id of the documents that have the row) and
+    held (how many have it)."""
+    return saved(rows.groupBy("key").agg(F.min("mark").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("held")), "firsts")
+
+
+def copy_marks(rows: DataFrame, firsts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Bits of the documents that repeat another's row, and bits of the firsts among these.
 
-    rows: doc_id and key.  A document is marked by its id and key.  A row's first document
-    may share a bit with copies by chance; all that do are in the second set, so what hits
-    the first set and not the second is a copy for certain.
+    A row's first document may share a bit with copies by chance; all that do are in the
+    second set, so what hits the first set and not the second is a copy for certain.
     """
-    marked = lambda doc_id: F.col(doc_id).bitwiseXOR(F.col("key")).alias("mark")
-    firsts = saved(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")), "firsts")
-    copies = gathered_bits(rows.join(firsts.filter("held > 1"), "key").filter("doc_id != rep").select(marked("doc_id")), "mark")
+    repeated = firsts.filter("held > 1").select("key", "first", "held")
+    total = repeated.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    copies = gathered_bits(saved(hot_join(rows.select("mark", "key"), repeated, ["key"], "held", total, ["mark"]).filter("mark != first").select("mark"), "copies"), "mark")
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch[has_bit(copies, batch["mark"].to_numpy(dtype=np.int64))]
 
-    return copies, gathered_bits(saved(firsts.filter("rep IS NOT NULL").select(marked("rep")).mapInPandas(hits, "mark long"), "hits"), "mark")
+    return copies, gathered_bits(saved(firsts.select(F.col("first").alias("mark")).mapInPandas(hits, "mark long"), "hits"), "mark")
 
 
-def surely_copy(copies: np.ndarray, firsts: np.ndarray, doc_id: int, key: int) -> bool:
-    mark = np.array([doc_id ^ key], dtype=np.int64)
-    return bool(has_bit(copies, mark)[0] and not has_bit(firsts, mark)[0])
+def surely_copies(copies: np.ndarray, firsts: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return has_bit(copies, marks) & ~has_bit(firsts, marks)
 
 
 def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, firsts: np.ndarray, n_grams: int) -> tuple[np.ndarray, int]:
@@ -196,10 +202,9 @@ def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, firsts: np
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
         for batch in batches:
-            batch = batch[batch["doc_id"].notna()]
-            for i, t in zip(batch["doc_id"].astype("int64"), batch["text"], strict=True):
+            for t in batch["text"][~surely_copies(copies, firsts, batch["mark"].to_numpy(dtype=np.int64))]:
                 grams = gram_hashes(t, size)
-                if not len(grams) or surely_copy(copies, firsts, i, row_key(grams)):
+                if not len(grams):
                     continue
                 parts.append(grams)
                 held += len(grams)
@@ -217,7 +222,7 @@ def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, firsts: np
         bits[(again * np.uint64(_STEP) >> np.uint64(24)).astype(np.int64) % share] = True
         return pd.DataFrame({"range": [int(group["range"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
 
-    found = texts.mapInPandas(scan, "range long, lows binary").groupBy("range").applyInPandas(twice, "range long, bits binary")
+    found = texts.select("mark", "text").mapInPandas(scan, "range long, lows binary").groupBy("range").applyInPandas(twice, "range long, bits binary")
     out = np.zeros((ranges, n_bits // ranges // 8), dtype=np.uint8)
     for r in found.toLocalIterator():
         out[r.range] = np.frombuffer(r.bits, dtype=np.uint8)
@@ -253,7 +258,7 @@ def leading_block(texts: DataFrame, size: int, percent: int, cells: np.ndarray,
             if cols:
                 yield pd.DataFrame({"col": np.concatenate(cols), "key": np.concatenate(keys), "n": np.concatenate(sizes)})
 
-    return texts.mapInPandas(scan, "col long, key long, n long")
+    return texts.select("text").mapInPandas(scan, "col long, key long, n long")
 
 
 def may_reach(percent: int, n: Column | None = None, m: Column | None = None, shared: Column | None = None) -> Column:
@@ -269,25 +274,31 @@ def may_reach(percent: int, n: Column | None = None, m: Column | None = None, sh
     return close & (shared + F.least(tail, n, m) >= need)
 
 
-def whole_rows(texts: DataFrame, scanned: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+def whole_rows(texts: DataFrame, firsts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     """key, n and all columns of the rows named in keys, of one document each.
 
     Which documents these are goes to the scan as bits of fixed size, so other texts are not
     shuffled; the join drops what shares a bit by chance.
     """
-    reps = saved(scanned.filter("kind = 0").join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("rep")), "reps")
-    bits = gathered_bits(reps, "rep")
+    firsts = saved(firsts.join(keys, "key").select("key", "first"), "reps")
+    bits = gathered_bits(firsts, "first")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = set()
         for batch in batches:
-            batch = batch[batch["doc_id"].notna()]
-            batch = batch[has_bit(bits, batch["doc_id"].to_numpy(dtype=np.int64))]
-            if len(batch):
-                grams = [gram_hashes(t, size) for t in batch["text"]]
-                yield pd.DataFrame({"rep": batch["doc_id"].to_numpy(dtype=np.int64), "row": [row_key(g) for g in grams], "n": [len(g) for g in grams], "grams": [g.tobytes() for g in grams]})
-
-    rows = texts.mapInPandas(scan, "rep long, row long, n long, grams binary")
-    rows = rows.join(reps, (rows["rep"] == reps["rep"]) & (rows["row"] == reps["key"])).select("key", "n", "grams")
+            out = {"mark": [], "row": [], "n": [], "grams": []}
+            batch = batch[has_bit(bits, batch["mark"].to_numpy(dtype=np.int64))]
+            for mark, t in zip(batch["mark"], batch["text"], strict=True):
+                if mark not in met:
+                    met.add(mark)
+                    grams = gram_hashes(t, size)
+                    for c, v in zip(out, (mark, row_key(grams), len(grams), grams.tobytes()), strict=True):
+                        out[c].append(v)
+            if out["mark"]:
+                yield pd.DataFrame(out)
+
+    rows = texts.select("mark", "text").mapInPandas(scan, "mark long, row long, n long, grams binary")
+    rows = rows.join(firsts, (rows["mark"] == firsts["first"]) & (rows["row"] == firsts["key"])).select("key", "n", "grams")
     return saved(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "rows")
 
 
@@ -297,8 +308,9 @@ def multiply(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     A task multiplies one row a against a tile of its partners; how many tiles a has follows
     the columns its partners have.
     """
-    load = pairs.groupBy("a").agg((F.floor(F.sum("m") / TILE_GRAMS) + 1).alias("tiles"))
-    tiled = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tiles")).alias("tile"))
+    load = pairs.groupBy("a").agg((F.floor(F.sum("m") / TILE_GRAMS) + 1).alias("tiles"), F.count("*").alias("held"))
+    tiled = hot_join(pairs, load, ["a"], "held", pairs.count(), ["b"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("tiles")).alias("tile"))
+    load = load.select("a", "tiles")
     members = tiled.join(rows.select(F.col("key").alias("b"), F.col("grams").alias("many")), "b")
     hubs = load.withColumnsRenamed({"a": "hub", "tiles": "of"}).join(rows.select(F.col("key").alias("hub"), F.col("grams").alias("one")), "hub")
     hubs = hubs.select("hub", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("place"))
@@ -325,10 +337,14 @@ def mixed_columns(block: DataFrame, component: DataFrame | None) -> DataFrame:
     if component is None:
         held = block.withColumns({"comp": F.col("key"), "members": F.lit(1).cast("long")})
     else:
-        sized = component.join(component.groupBy("comp").agg(F.count("*").alias("members")), "comp")
+        sizes = component.groupBy("comp").agg(F.count("*").alias("members"))
+        sized = hot_join(component, sizes, ["comp"], "members", component.count(), ["key"])
         held = block.join(sized, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "members": F.coalesce("members", F.lit(1).cast("long"))})
+    held = saved(held, "held")
     mixed = held.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("width")).filter("lo < hi").select("col", "width")
-    return saved(held.join(mixed, "col").select("col", "key", "n", "comp", "members", "width"), "mixed")
+    out = saved(hot_join(held, mixed, ["col"], "width", held.count(), ["key"]).filter("width IS NOT NULL").select("col", "key", "n", "comp", "members", "width"), "mixed")
+    dropped(held)
+    return out
 
 
 def hub_pairs(held: DataFrame, turn: int, hubs: int, percent: int) -> DataFrame:
@@ -338,8 +354,8 @@ def hub_pairs(held: DataFrame, turn: int, hubs: int, percent: int) -> DataFrame:
     shares most columns with.
     """
     lots = [F.min(F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)).alias("lot"), F.col("key"), F.col("n"), F.col("comp"))) for i in range(hubs)]
-    drawn = held.groupBy("col").agg(F.array_distinct(F.transform(F.array(*lots), lambda x: F.struct(x["key"].alias("hub"), x["n"].alias("hub_n"), x["comp"].alias("hub_comp")))).alias("h"))
-    against = held.join(drawn, "col").select("key", "n", "comp", F.inline("h")).filter("comp != hub_comp")
+    drawn = held.groupBy("col").agg(F.array_distinct(F.transform(F.array(*lots), lambda x: F.struct(x["key"].alias("hub"), x["n"].alias("hub_n"), x["comp"].alias("hub_comp")))).alias("h"), F.count("*").alias("drawn"))
+    against = hot_join(held, drawn, ["col"], "drawn", held.count(), ["key"]).select("key", "n", "comp", F.inline("h")).filter("comp != hub_comp")
     against = against.groupBy("hub", "key").agg(F.count("*").alias("shared"), F.first("hub_n").alias("n"), F.first("n").alias("m")).filter(may_reach(percent))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("shared"), "hub"))
     return against.withColumn("place", place).filter(F.col("place") <= hubs).select(F.col("hub").alias("a"), F.col("key").alias("b"), "m")
@@ -385,41 +401,52 @@ def cross_pairs(held: DataFrame, percent: int) -> DataFrame:
 
 
 def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_per_gram: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs.
+    """doc_id, n_shingles, component_id, row_key and group_key of every row of docs.
 
     Two documents link when 100 times their common n-grams reach percent times those of
     either; component_id is the least id reachable by links, the document's own included.
-    Null, empty and blank texts have no n-grams and stand alone; texts of fewer words than
-    an n-gram are one n-gram.  Rows that share an id are rows of their own: they get the
-    component of their text, and the component's least id may be theirs.  Null ids take part
-    as links but name no component, so alone they get null.  No rows for no rows; other
-    columns of docs are not used.  N-grams and rows are compared by 64-bit hashes.
+    row_key stands for the set of n-grams and group_key for the component, whatever the ids;
+    mark is the hash of id and text.  Null, empty and blank texts have no n-grams, null keys
+    and stand alone; texts of fewer words than an n-gram are one n-gram.  Rows that share an
+    id are rows of their own: they get the component of their text, and the component's least
+    id may be theirs.  Null ids take part as links but name no component, so alone they get
+    null.  Ids are of any ordered type.  No rows for no rows; other columns of docs are not
+    used.  N-grams and rows are compared by 64-bit hashes.
     """
     texts = _texts(docs, text, doc_id)
     scanned = saved(rows_and_cells(texts, words_per_gram), "rows")
-    rows = scanned.filter("kind = 0 AND key IS NOT NULL")
-    copies, firsts = copy_marks(rows)
-    n_grams = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    repeats, ranges = repeated_columns(texts, words_per_gram, copies, firsts, n_grams)
+    every = scanned.filter("kind = 0").select(F.col("id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "mark", "n", "key")
+    rows = every.filter("key IS NOT NULL")
+    firsts = first_of_rows(rows)
+    copies, known = copy_marks(rows, firsts)
+    n_grams, n_rows = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    repeats, ranges = repeated_columns(texts, words_per_gram, copies, known, n_grams)
     lead = leading_block(texts, words_per_gram, percent, total_cells(scanned), repeats, ranges)
-    block = saved(lead.distinct(), "block")
-    keys = block.join(block.groupBy("col").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("col"), "col").select("key").distinct()
-    whole = whole_rows(texts, scanned, keys, words_per_gram)
-    links, component = None, None
-    turn = 0
+    held = saved(lead.distinct(), "block")
+    shared = held.groupBy("col").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("width")).filter("lo < hi").select("col", "width")
+    keys = hot_join(held, shared, ["col"], "width", held.count(), ["key"]).filter("width IS NOT NULL").select("key").distinct()
+    whole = whole_rows(texts, firsts, keys, words_per_gram)
+    parts, component, turn = [], None, 0
     while True:
-        held = mixed_columns(block if component is None else held.select("col", "key", "n"), component)
-        hubs = HUB_TURNS[min(turn, len(HUB_TURNS) - 1)]
-        found = saved(multiply(saved(hub_pairs(held, turn, hubs, percent), "pairs"), whole, percent), "links")
-        links = found if links is None else links.union(found)
-        component = components(links)
+        last, held = held, mixed_columns(held.select("col", "key", "n"), component)
+        pairs = saved(hub_pairs(held, turn, HUB_TURNS[min(turn, len(HUB_TURNS) - 1)], percent), "pairs")
+        found = saved(multiply(pairs, whole, percent), "links")
+        parts.append(found)
+        component = components(reduce(DataFrame.union, parts))
+        dropped(last, pairs)
         turn += 1
         if turn >= len(HUB_TURNS) and found.count() < MORE_LINKS:
             break
-    held = mixed_columns(held.select("col", "key", "n"), component)
+    last, held = held, mixed_columns(held.select("col", "key", "n"), component)
     rest = saved(cross_pairs(held, percent), "pairs")
-    component = components(links.union(saved(multiply(rest, whole, percent), "links")))
-    rows = scanned.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
-    rows = saved(rows.join(component, "key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "key").alias("comp")), "labelled")
-    least = rows.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("held")).filter("held > 1").drop("held")
-    return rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    parts.append(saved(multiply(rest, whole, percent), "links"))
+    component = components(reduce(DataFrame.union, parts))
+    dropped(last, held, rest, whole, *parts)
+    grouped = firsts.select("key", "least", "held").join(component, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    named = grouped.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("rows"))
+    grouped = saved(hot_join(grouped, named, ["comp"], "rows", firsts.count(), ["key"]).select("key", "comp", "held", "component_id"), "groups")
+    out = hot_join(every, grouped, ["key"], "held", n_rows, ["mark"])
+    component_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = saved(out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("key").alias("row_key"), F.col("comp").alias("group_key"), "mark"), "components")
+    dropped(scanned, firsts, grouped, component)
+    return out

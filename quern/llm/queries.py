@@ -60,7 +60,7 @@ def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_components(table(spark, sf_dir, "documents"))
+    return ngram_join.near_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Mixing, packing, line dedup, quality rules and the n-gram join against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -33,7 +35,7 @@ def corpus(seed=1):
             copy[rng.randrange(len(copy))] = f"v{i}"
         texts.append(" ".join(copy))
     rows = [(i, t, "en", rng.choice([None, "a", "b", "c"]), len(t or ""), 1, "k", 2, "z", 3) for i, t in enumerate(texts)]
-    return rows + [rows[20], rows[1]] + [(None, texts[30], "en", "a", 1, 1, "k", 2, "z", 3)]
+    return rows + [rows[20], rows[1]] + [(None, texts[30], "en", "a", 1, 1, "k", 2, "z", 3), (None, " ".join([*base[:70], "near"]), "en", "b", 1, 1, "k", 2, "z", 3)]
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +80,7 @@ def test_mix_comes_near_its_targets(spark, docs):
 @pytest.mark.parametrize("hot_rows", [1, 5, 1000])
 def test_line_dedup_equals_brute_force(spark, docs, hot_rows, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common, "ONE_TASK_ROWS", hot_rows)
 
     def key(line):
         return re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate({i: i + 32 for i in range(65, 91)})
@@ -107,6 +110,7 @@ def test_line_dedup_of_three_documents_and_clashing_columns(spark):
 @pytest.mark.parametrize("hot_rows", [1, 4, 1000])
 def test_hot_join_is_a_left_join(spark, hot_rows, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common, "ONE_TASK_ROWS", hot_rows)
     big = spark.createDataFrame([(i, None if i % 11 == 0 else i % 7 % 4, i % 2) for i in range(200)], "id int, a int, b int")
     small = spark.createDataFrame([(a, b, a * 10 + b, 200 if a == 1 else 2) for a in range(3) for b in range(2)], "a int, b int, v int, n int")
     got = sorted(common.hot_join(big, small, ["a", "b"], "n", 450, ["id"]).select("id", F.coalesce("v", F.lit(-1)).alias("v")).collect())
@@ -146,20 +150,68 @@ def test_ngram_join_equals_brute_force(spark, seed):
 
 
 def test_ngram_join_counts_every_row_beside_many_copies(spark):
-    """Near pairs that share their n-grams with nobody else, 4,000 copies, and an id held twice."""
+    """Near pairs that share their n-grams with nobody else, 16,000 copies, and an id held twice."""
     rng = random.Random(7)
-    rows = [(i, "the same text in every one of these rows") for i in range(4000)]
-    for i in range(4000, 12_000, 2):
-        words = [f"{rng.getrandbits(48):x}" for _ in range(24)]
-        rows += [(i, " ".join(words)), (i + 1, " ".join([*words, "end"]))]
+    rows = [(i, "the same text in every one of these rows") for i in range(16_000)]
+    for i in range(16_000, 19_000, 2):
+        words = [f"{rng.getrandbits(48):x}" for _ in range(60)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join([*words[:-1], "end"]))]
     words = [f"{rng.getrandbits(48):x}" for _ in range(24)]
     rows += [(3, " ".join(words)), (20_000, " ".join([*words, "end"]))]
     got = ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     comp = {r.doc_id: r.component_id for r in got if r.doc_id > 3}
-    lost = [i for i in range(4000, 12_000, 2) if comp[i] != i or comp[i + 1] != i]
+    lost = [i for i in range(16_000, 19_000, 2) if comp[i] != i or comp[i + 1] != i]
     assert lost == [] and comp[20_000] == 3
 
 
+def test_ngram_join_of_ten_thousand_documents(spark, monkeypatch):
+    """Clusters of near copies at all distances and a passage of many documents, hot keys
+    joined as such, against an inverted index that counts every pair."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "ONE_TASK_ROWS", 20)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [word() for _ in range(30)]
+    texts = []
+    while len(texts) < 10_000:
+        base = [word() for _ in range(rng.randint(3, 60))]
+        if rng.random() < 0.1:
+            base = passage + base[:6]
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 10])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts[:10_000]))
+    sets = [shingles(t) for _, t in rows]
+    index, shared = {}, Counter()
+    for i, grams in enumerate(sets):
+        for g in grams:
+            index.setdefault(g, []).append(i)
+    for held in index.values():
+        shared.update(itertools.combinations(held, 2))
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for (i, j), n in shared.items():
+        if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    got = ngram_join.near_components(spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, text string").repartition(4)).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.group_key, set()).add(int(r.doc_id))
+    want = {}
+    for i, _ in rows:
+        want.setdefault(root(i), set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    assert all(r.component_id == min(str(i) for i in groups[r.group_key]) and r.n_shingles == len(sets[int(r.doc_id)]) for r in got)
+
+
 def test_ngram_join_of_no_rows(spark):
     assert ngram_join.near_components(empty(spark)).count() == 0
 
@@ -186,7 +238,7 @@ def test_packing_is_a_round_trip(spark, docs):
     for r in sorted(once, key=lambda r: (r.doc_id, r.piece)):
         assert r.start == len(built.get(r.doc_id, ())), r.doc_id
         built[r.doc_id] = built.get(r.doc_id, ()) + tuple(r.ids)
-    assert set(built.values()) <= set(want) and len(built) == len(corpus()) - 5
+    assert set(built.values()) <= set(want) and len(built) == len(corpus()) - 6
     places = {}
     for r in got:
         places.setdefault(r.sequence_id, []).append((r.offset, r.length))

@@ -43,6 +43,7 @@ def test_archives_give_back_what_went_in(spark):
 @pytest.mark.parametrize("hot_rows", [1, 1000])
 def test_archives_of_text_ids_a_long_payload_and_few_records(spark, monkeypatch, hot_rows):
     monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common, "ONE_TASK_ROWS", hot_rows)
     long = "".join(f"<p>{i}</p>" for i in range(700_000))
     rows = [("b>c d\n", "u", long), ("a", "v", "x" * 200), ("z", "w", "x" * 200), ("", "t", long), (None, None, "x" * 200)]
     listing, back = warc.archive_pages(spark, spark.createDataFrame(rows, "page_id string, url string, html string"))

@@ -118,6 +118,7 @@ def plain_discovery(seen, rounds, least_known, least_confidence):
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_discovery_equals_plain_scoring(spark, seed, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 10 if seed % 2 else 1000)
+    monkeypatch.setattr(common, "ONE_TASK_ROWS", 10 if seed % 2 else 1000)
     rng = random.Random(seed)
     seen = []
     for _ in range(600):
