@@ -6,10 +6,10 @@ returns the packed pieces.  A stage's result is written and read again before th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved
+from quern.llm.common import hot_join, saved
 from quern.llm.line_dedup import dedup_lines
 from quern.llm.mixing import mix_sources
 from quern.llm.ngram_join import near_components
@@ -33,9 +33,21 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the smallest id stays."""
-    gone = near_components(docs).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of every group of linked documents one stays: that of the smallest id, nulls last, and
+    of rows that share it one text.  Rows equal in id and text are copies too, so one stays;
+    documents without words stay as they are."""
+    linked = near_components(docs).filter("group_key IS NOT NULL").select("doc_id", "group_key", "mark")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
+    groups = saved(linked.groupBy("group_key").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").select("group_key", F.col("first.mark").alias("kept"), "n"), "near-groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    others = hot_join(linked.select("mark", "group_key"), groups, ["group_key"], "n", total, ["mark"]).filter("mark != kept")
+    mark = F.xxhash64("doc_id", "text")
+    stay = docs.join(others.select(F.col("mark").alias("gone")).distinct(), mark == F.col("gone"), "left_anti").select(*COLUMNS)
+    again = saved(linked.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("mark").alias("again")), "repeats")
+    if again.limit(1).count():
+        repeats = stay.join(again, mark == F.col("again"), "left_semi").dropDuplicates(["doc_id", "text"])
+        stay = stay.join(again, mark == F.col("again"), "left_anti").unionByName(repeats)
+    return stay
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +57,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 1024 tokens."""
-    return pack_documents(docs, tokenizer_path())
+    """Pieces of the documents and their places in sequences of 1024 tokens; equal pieces of
+    a document that comes several times are numbered by copy."""
+    pieces = pack_documents(docs, tokenizer_path())
+    same = Window.partitionBy("doc_id", "piece", "start", "length", "ids_crc32").orderBy("sequence_id", "offset")
+    return pieces.withColumn("copy", F.row_number().over(same) - 1)
 
 
 STAGES = [
