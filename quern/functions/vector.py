@@ -33,3 +33,10 @@ def centroids(vectors: DataFrame, vector: str, *by: str) -> DataFrame:
     means = at.groupBy(*by, "dim").agg(F.avg("x").alias("x"))
     whole = means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
     return whole.select(*by, unit(F.col("mean")).alias("centroid"))
+
+
+def hash_embedding(text: Column, dim: int) -> Column:
+    """A unit vector that depends on the text alone, in place of a model: component i comes from
+    the MD5 of i and the text, between -0.5 and 0.5."""
+    part = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", i.cast("string"), text)), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5
+    return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), part))

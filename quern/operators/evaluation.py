@@ -83,7 +83,7 @@ def stratified_subset(questions: DataFrame, quotas: dict[tuple[str, str], int],
 def bucket_sample(rows: DataFrame, order: str, n: int, forced: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """Forced rows and one of each of n contiguous buckets, that of the least seeded hash."""
     w = Window.orderBy(order)
-    dealt = rows.withColumn("__b", F.ntile(n).over(w)).withColumn("__h", F.xxhash64(F.lit(seed), order))
+    dealt = rows.withColumn("__b", F.ntile(n).over(w)).withColumn("__h", F.md5(F.concat_ws("|", F.lit(seed), order)))
     picked = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy("__h", order))).filter("__rn = 1").select(rows.columns)
     return picked if forced is None else picked.unionByName(rows.join(forced.select(order).distinct(), order, "left_semi")).distinct()
 
@@ -144,3 +144,27 @@ def recall_at(hits: DataFrame, expected: DataFrame, k: int, by: list[str]) -> Da
     found = hits.filter(F.col("rank") <= k).join(expected, "query_id").groupBy(*by, "query_id").agg(F.max(F.arrays_overlap("article_numbers", "expected").cast("double")).alias("hit"))
     every = expected.select("query_id").join(hits.select(*by).distinct(), F.lit(True)) if by else expected.select("query_id")
     return every.join(found, [*by, "query_id"], "left").groupBy(*by).agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+
+
+def eval_rows(questions: DataFrame, hits: DataFrame, said: DataFrame) -> DataFrame:
+    """One row per question as judges read it: id, category, user_input, retrieved_contexts (as
+    placed), response, reference, sources and article_hit.
+
+    questions: query_id, category, question, ground_truth, expected_articles; hits: query_id,
+    place, text, article_numbers; said: query_id, answer, sources.
+    """
+    got = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("c"), F.flatten(F.collect_list("article_numbers")).alias("cited"))
+    row = questions.join(got, "query_id", "left").join(said.select("query_id", "answer", "sources"), "query_id", "left")
+    contexts = F.transform(F.coalesce("c", F.array().cast("array<struct<place:int,text:string>>")), lambda x: x["text"])
+    hit = article_hit(F.col("expected_articles"), F.coalesce("cited", F.array().cast("array<int>")))
+    return row.select(F.col("query_id").alias("id"), "category", F.col("question").alias("user_input"), contexts.alias("retrieved_contexts"), F.col("answer").alias("response"), F.col("ground_truth").alias("reference"), "sources", hit.alias("article_hit"))
+
+
+def sweep(rows: DataFrame, configs: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Scores of every configuration (rows: config and what mean_scores() reads), its position in
+    `configs` (the first is the incumbent), its place by faithfulness and whether it is chosen."""
+    position = F.array_position(F.array(*map(F.lit, configs)), F.col("config")) - 1
+    scores = mean_scores(rows, ["config"], metrics).withColumn("position", position).filter("position >= 0")
+    best = best_of(scores.select("position", "config", "faithfulness", "context_precision", "article_hit_rate")).select(F.col("config").alias("__best"))
+    place = F.row_number().over(Window.orderBy(F.col("faithfulness").desc_nulls_last(), "position"))
+    return scores.withColumn("place", place).join(best, F.lit(True), "left").withColumn("chosen", F.col("config") == F.col("__best")).drop("__best")

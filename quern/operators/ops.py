@@ -91,6 +91,21 @@ def held_for(samples: DataFrame, condition: Column, hold_seconds: int, by: list[
     return marked.withColumn("firing", F.col("__c") & F.coalesce(long, F.lit(False))).drop("__c", "__run")
 
 
+def low_faithfulness(gauge: DataFrame, least: float = LOW_FAITHFULNESS) -> DataFrame:
+    """Samples of the faithfulness gauge (value) with firing: below the least."""
+    return gauge.withColumn("firing", F.coalesce(F.col("value") < least, F.lit(False)))
+
+
+def slow_p95(quantiles: DataFrame, most_seconds: float = SLOW_P95_S) -> DataFrame:
+    """95th percentiles in seconds (value) with firing: above the most."""
+    return quantiles.withColumn("firing", F.coalesce(F.col("value") > most_seconds, F.lit(False)))
+
+
+def down(up: DataFrame) -> DataFrame:
+    """Samples of the up gauge (value) with firing: the target does not answer."""
+    return up.withColumn("firing", F.col("value").eqNullSafe(F.lit(0.0)))
+
+
 def drift_alert(windows: DataFrame) -> DataFrame:
     """Windows whose share of low-similarity queries reaches their limit's share."""
     return windows.filter(F.col("off_corpus_share").isNotNull() & (F.col("off_corpus_share") >= F.col("low_similarity_limit") / F.col("n_queries")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import pii
 from quern.functions import text as T
 from quern.functions.vector import cosine
 from quern.operators.index import TOP_K_RAW, knn
@@ -99,3 +102,31 @@ def answers(questions: DataFrame, hits: DataFrame, generated: DataFrame, min_sco
     row = row.withColumn("status", status)
     said = F.when(F.col("status") == "no_context", F.lit(NO_CONTEXT)).when(F.col("status") == "refused", T.refusal_text(F.col("lang"))).otherwise(T.without_thinking(F.col("__a")))
     return row.select("query_id", "status", said.alias("answer"), F.when(F.col("status") == "answered", F.col("sources")).otherwise(F.array().cast("array<string>")).alias("sources"))
+
+
+def ask(questions: DataFrame, points: DataFrame, generate: Callable[[DataFrame], DataFrame], min_score: float | None = MIN_SCORE, primary: str = T.PRIMARY_DOC) -> DataFrame:
+    """query_id, status, answer, sources, entities of a batch of questions.
+
+    questions: query_id, question, query_vector.  Blank questions are invalid and go no
+    further.  Personal data is taken out of questions before anything reads them, and out of
+    answers before anyone does; entities are those of the answer.  generate() turns prompts()
+    into (query_id, answer).
+    """
+    blank = T.strip(F.coalesce("question", F.lit(""))) == ""
+    fine = questions.filter(~blank).withColumn("question", pii.redact(F.col("question"), pii.spans(F.col("question"))))
+    hits = retrieve(fine, points, primary)
+    said = answers(fine, hits, generate(prompts(hits)), min_score, primary).withColumn("__f", pii.spans(F.col("answer")))
+    said = said.select("query_id", "status", pii.redact(F.col("answer"), F.col("__f")).alias("answer"), "sources", pii.entities(F.col("__f")).alias("entities"))
+    none = F.array().cast("array<string>")
+    invalid = questions.filter(blank).select("query_id", F.lit("invalid").alias("status"), F.lit(None).cast("string").alias("answer"), none.alias("sources"), none.alias("entities"))
+    return said.unionByName(invalid)
+
+
+def answer_events(said: DataFrame) -> DataFrame:
+    """query_id, seq and event (JSON) of answers told as a stream: the text and then its end with
+    the sources, or one error where there is no answer."""
+    token = F.to_json(F.struct(F.lit("token").alias("type"), F.col("answer").alias("text")))
+    done = F.to_json(F.struct(F.lit("done").alias("type"), F.col("status"), F.col("sources")))
+    error = F.to_json(F.struct(F.lit("error").alias("type"), F.col("status").alias("message")))
+    told = F.when(F.col("answer").isNull(), F.array(error)).otherwise(F.array(token, done))
+    return said.select("query_id", F.posexplode(told).alias("seq", "event"))

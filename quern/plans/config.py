@@ -18,11 +18,19 @@ class Settings:
     index_path: str | None = None
 
 
+def _typed(name: str, value):
+    """A file's text as the type of the setting's default."""
+    default = getattr(Settings(), name)
+    if not isinstance(value, str) or isinstance(default, str) or default is None:
+        return value
+    return value.lower() == "true" if isinstance(default, bool) else type(default)(value)
+
+
 def settings(file_values: dict | None = None, **given) -> Settings:
     """given beats file_values (flat or by section) beats the defaults; None is not given."""
     flat: dict = {}
     for k, v in (file_values or {}).items():
         flat |= v if isinstance(v, dict) else {k: v}
     known = {f.name for f in fields(Settings)}
-    out = replace(Settings(), **{k: v for k, v in flat.items() if k in known})
+    out = replace(Settings(), **{k: _typed(k, v) for k, v in flat.items() if k in known})
     return replace(out, **{k: v for k, v in given.items() if v is not None})

@@ -177,14 +177,15 @@ FROM agg JOIN lim USING (n)""",
   UNION ALL SELECT n, k + 1, mass * (n - k) / (k + 1) * (0.05::DOUBLE / 0.95::DOUBLE), tail - mass FROM tails WHERE k <= n AND tail > 0.01)
 SELECT n, max(k) AS limit_k FROM tails GROUP BY n""",
         "drift_threshold_md5perm": f"""WITH {_UNIT}, sizes AS (SELECT 'small' AS w, 3 AS n UNION ALL SELECT 'large', 10000), total AS (SELECT count(*) AS c FROM windows),
-drawn AS (SELECT trial, id, row_number() OVER (PARTITION BY trial ORDER BY md5(trial || '|' || id), id) AS place FROM windows CROSS JOIN (SELECT unnest(range(50)) AS trial)),
+drawn AS (SELECT trial, id, row_number() OVER (PARTITION BY trial ORDER BY md5(trial || '|' || id), id) AS place FROM windows CROSS JOIN (SELECT unnest(range(1000)) AS trial)),
 sided AS (SELECT s.w, trial, id, place <= least(s.n, c - 1) AS inside FROM drawn CROSS JOIN sizes s CROSS JOIN total),
 dims AS (SELECT id, unnest(range(len(v))) AS dim, unnest(v) / sqrt(list_dot_product(v, v)) AS x FROM windows),
 means AS (SELECT s.w, trial, dim, avg(x) FILTER (inside) AS a, avg(x) FILTER (NOT inside) AS b FROM sided s JOIN dims USING (id) GROUP BY s.w, trial, dim),
 drifts AS (SELECT w, trial, 1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS drift FROM means GROUP BY w, trial)
 SELECT w AS "window", round(quantile_cont(drift, 0.99), 6) AS threshold FROM drifts GROUP BY w""",
         "cosine_pairs": f"SELECT q.vec_id AS query_id, p.vec_id AS point_id, round({_COS}, 6) AS cosine FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0",
-        "digits_normalize": "SELECT conv_id, turn, '012 ۳۴ 7 ' || turn AS digits, '012 34 7 ' || turn AS all_digits, 12::INTEGER AS number, reverse(conv_id::VARCHAR)::INTEGER AS turned FROM conversations",
+        "digits_normalize": """SELECT conv_id, turn, translate('٠١٢ ۳۴ 7 ' || turn || coalesce(text, ''), '٠١٢٣٤٥٦٧٨٩', '0123456789') AS digits,
+       translate('٠١٢ ۳۴ 7 ' || turn || coalesce(text, ''), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') AS all_digits, 12::INTEGER AS number, reverse(conv_id::VARCHAR)::INTEGER AS turned FROM conversations""",
         "article_refs": """WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'المادة ١٤٧ and Article: 54 of Articles 9-12 article #' || turn || ' ' || coalesce(text, '') AS q FROM conversations)
 SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(q, '(?:Article|article|مادة|المادة)\\s*[:#]?\\s*([0-9٠-٩]+)', 1), lambda x: translate(x, '٠١٢٣٤٥٦٧٨٩', '0123456789')::INTEGER::VARCHAR), ',') AS numbers,
        CASE WHEN regexp_matches(text, '[\\x{0600}-\\x{06FF}]') THEN 'ar' ELSE 'en' END AS lang, 'ar' AS mixed_lang FROM q""",
@@ -318,4 +319,6 @@ SELECT *, round(CASE WHEN requests > 0 THEN failures / requests END, 6) AS failu
 SELECT "window", 'off_corpus_share' AS gauge, off_corpus_share AS value FROM o UNION ALL SELECT "window", 'off_corpus_limit', round(low_similarity_limit / n, 6) FROM o JOIN n ON o."window" = n.w""",
     }
     out["knn_top8_arrow"] = out["knn_top8"]
-    return out
+    from quern.plans.flow_sql import flow_sql
+
+    return out | flow_sql(out)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import pii, stats, text as T, vector as V
-from quern.operators import chunking, documents, drift, evaluation, index, ops, parsing, retrieval
+from quern.operators import chunking, documents, drift, evaluation, index, ops, parsing, profile, retrieval
+from quern.sources.readers import scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Pieces of text set before the driver's texts, which have no such scripts.
@@ -184,7 +185,7 @@ def binomial_limit(spark, d):
 def drift_threshold_md5perm(spark, d):
     """The questions are the baseline here; two window sizes."""
     sizes = spark.createDataFrame([("small", 3), ("large", 10_000)], "window string, n int")
-    out = drift.permuted_threshold(_windows(spark, d), sizes, trials=50)
+    out = drift.permuted_threshold(_windows(spark, d), sizes)
     return out.withColumn("threshold", _r(F.col("threshold")))
 
 
@@ -200,7 +201,7 @@ def cosine_pairs(spark, d):
 @query
 def digits_normalize(spark, d):
     c = t(spark, d, "conversations")
-    s = F.concat(F.lit(MIXED_DIGITS), F.col("turn").cast("string"))
+    s = F.concat(F.lit(MIXED_DIGITS), F.col("turn").cast("string"), F.coalesce("text", F.lit("")))
     return c.select("conv_id", "turn", T.western_digits(s).alias("digits"), T.western_digits(s, persian=True).alias("all_digits"), T.to_int(s.substr(1, 3)).alias("number"), T.reversed_int(F.col("conv_id")).alias("turned"))
 
 
@@ -560,10 +561,8 @@ def throughput(spark, d):
 
 @query
 def length_stats_floor_pct(spark, d):
-    docs = t(spark, d, "documents").select("lang", "n_chars")
-    p = stats.floor_percentile(docs, "n_chars", 90, ["lang"]).withColumnRenamed("value", "p90")
-    one = docs.groupBy("lang").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), _r(F.avg("n_chars")).alias("mean"), F.median("n_chars").alias("median"), _r(F.stddev_samp("n_chars")).alias("std"), F.percentile("n_chars", 0.25).alias("p25"))
-    return one.join(p, "lang")
+    out = profile.describe(t(spark, d, "documents").select("lang", "n_chars"), "n_chars", ["lang"])
+    return out.withColumns({"mean": _r(F.col("mean")), "std": _r(F.col("std"))})
 
 
 @query
@@ -573,13 +572,12 @@ def bench_p95(spark, d):
 
 @query
 def fixed_width_histogram(spark, d):
-    return t(spark, d, "documents").groupBy(F.floor(F.col("n_chars") / 500).alias("bucket")).agg(F.count("*").alias("n"))
+    return profile.fixed_width_histogram(t(spark, d, "documents"), "n_chars", 500)
 
 
 @query
 def duplicate_detection(spark, d):
-    docs = t(spark, d, "documents").select(F.md5("text").alias("md5"), F.bround(F.col("n_chars") / 10.0, 1).alias("x"))
-    return docs.groupBy("md5", "x").agg(F.count("*").alias("n")).filter("n > 1")
+    return profile.duplicates(t(spark, d, "documents"), md5=F.md5("text"), x=F.bround(F.col("n_chars") / 10.0, 1))
 
 
 # --- index life cycle --------------------------------------------------------------------------
@@ -609,14 +607,13 @@ def index_stale_ids(spark, d):
 @query
 def index_counts(spark, d):
     old, _ = _versions(spark, d)
-    return old.groupBy("doc_id").agg(F.count("*").alias("points"))
+    return profile.counts(old, ["doc_id"], "points")
 
 
 @query
 def disjointness(spark, d):
     """Documents whose text is also a benchmark item: 0 where the sets are disjoint."""
-    items = t(spark, d, "benchmark").select("text")
-    return t(spark, d, "documents").join(items, "text", "left_semi").agg(F.count("*").alias("n_common"))
+    return profile.n_common(t(spark, d, "documents"), t(spark, d, "benchmark"), "text")
 
 
 # --- pages, merges, alerts, streams --------------------------------------------------------
@@ -713,13 +710,9 @@ def drift_gauges(spark, d):
 def stream_redact(spark, d):
     """Conversations as streams of pieces, redacted with held-back text that a conversation's
     greatest turn releases; no SQL for it."""
-    import tempfile
-    import uuid
-
     from quern.streaming.redaction import redact_stream
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quern-")
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     talk = t(spark, d, "conversations")
     stream = spark.readStream.schema(talk.schema).parquet(f"{d}/conversations.parque[t]")
     ends = talk.groupBy(F.col("conv_id").alias("__id")).agg(F.max("turn").alias("__end"))
@@ -731,4 +724,6 @@ def stream_redact(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(REGISTRY)
+    from quern.plans import flows
+
+    return REGISTRY | flows.REGISTRY

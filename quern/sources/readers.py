@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,38 @@ STAGE_LINE = r'^rag_request_latency_seconds_(sum|count)\{[^}]*stage="(\w+)"[^}]*
 SAMPLE_LINE = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; where it is unset, one machine
+    by itself gets a folder of its own and a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quern-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def params(spark: SparkSession, path: str) -> dict[str, dict[str, str | None]]:
+    """Sections of a settings file: `section:` lines and, below them, indented `key: value`
+    lines; null and empty values are None, comments and blank lines are skipped."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line")).orderBy("i")
+    out: dict[str, dict[str, str | None]] = {}
+    section = out.setdefault("", {})
+    for r in lines.collect():
+        line = r.line.split("#", 1)[0].rstrip()
+        key, colon, value = line.partition(":")
+        value = value.strip().strip("'\"")
+        if not colon:
+            continue
+        if line[:1].isspace():
+            section[key.strip()] = None if value in ("", "null", "~") else value
+        elif value:
+            out[""][key.strip()] = None if value in ("null", "~") else value
+        else:
+            section = out.setdefault(key.strip(), {})
+    return out
+
+
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files that are one JSON array or object each."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
