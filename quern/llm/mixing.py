@@ -7,7 +7,7 @@ below the final threshold is taken by a filter, so nothing is sorted by hash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import saved, small_join, word_count
@@ -17,30 +17,44 @@ LEVELS = (12, 12, 12)
 BITS = sum(LEVELS)
 
 
+def prefixed(rows: DataFrame, order: list[Column], *sums: str) -> DataFrame:
+    """Add `before` (rows that come earlier) and `before_<c>` (their sum of c) for every c of sums.
+
+    Rows are dealt into ranges of the order; each range is summed by itself, and what all
+    ranges before it hold is added to it, so no task orders more than a range.
+    """
+    dealt = saved(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy("__range").agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__s_{c}") for c in sums))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    offsets = ranges.select(F.col("__range").alias("__of"), start("__n").alias("__before"), *(start(f"__s_{c}").alias(f"__before_{c}") for c in sums))
+    own = Window.partitionBy("__range").orderBy(*order)
+    inside = own.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(offsets), F.col("__range") == F.col("__of"))
+    out = out.withColumns({"before": F.col("__before") + F.row_number().over(own) - 1} | {f"before_{c}": F.col(f"__before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    return out.select(*rows.columns, "before", *(f"before_{c}" for c in sums))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
     """One row per source: its size, and its share of the total by weight.
 
     Weights go round the sources in code point order, null last.  A source whose share
     exceeds max_repeats times its size keeps that much; the rest is shared by weight among
-    the others.  Sorted by limit over weight the held sources come first, so running sums
+    the others.  Sorted by limit over weight the held sources come first, so prefix sums
     give the level at which sharing settles, without a loop.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.array(*[F.lit(float(x)) for x in weights])
-    one = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    one = one.withColumn("weight", F.element_at(w, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
-    one = one.withColumn("limit", max_repeats * F.col("source_size").cast("double"))
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
+    one = prefixed(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()])
+    one = one.withColumn("weight", F.element_at(w, (F.pmod("before", F.lit(len(weights))) + 1).cast("int"))).drop("before")
+    one = one.withColumn("limit", max_repeats * F.col("source_size").cast("double")).withColumn("ratio", F.col("limit") / F.col("weight"))
+    one = saved(prefixed(one, [F.col("ratio").asc(), F.col("source").asc_nulls_last()], "limit", "weight"), "levels")
+    whole = one.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(whole["size"] or 0)) - F.col("before_limit")) / (F.lit(float(whole["weight"] or 0)) - F.col("before_weight"))
     one = one.withColumn("level", level)
     free = F.col("limit") >= F.col("level") * F.col("weight")
-    one = one.withColumn("free", free)
-    settled = F.min(F.when(F.col("free"), F.struct((F.col("limit") / F.col("weight")).alias("at"), F.col("level")))).over(everything)["level"]
-    one = one.withColumn("target", F.when(F.col("free"), settled * F.col("weight")).otherwise(F.col("limit")))
-    return one.select("source", F.col("source_size").cast("long").alias("source_size"), "target")
+    settled = one.filter(free).agg(F.min(F.struct("ratio", "source", "level")).alias("s")).first()["s"]
+    target = F.when(free, F.lit(float(settled["level"]) if settled else 0.0) * F.col("weight")).otherwise(F.col("limit"))
+    return one.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
 def thresholds(sizes: DataFrame, targets: DataFrame, rows: int) -> DataFrame:

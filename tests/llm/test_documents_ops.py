@@ -77,6 +77,20 @@ def test_mix_comes_near_its_targets(spark, docs):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_prefix_sums_over_ranges(spark):
+    rows = [(None if i == 7 else f"s{i * 37 % 101:03d}", float(i % 9)) for i in range(100)]
+    frame = spark.createDataFrame(rows, "source string, limit double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = mixing.prefixed(frame, [F.col("source").asc_nulls_last()], "limit").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    at, total = 0, 0.0
+    for r in sorted(got, key=lambda r: (r.source is None, r.source or "")):
+        assert (r.before, r.before_limit) == (at, total)
+        at, total = at + 1, total + r.limit
+
+
 @pytest.mark.parametrize("hot_rows", [1, 5, 1000])
 def test_line_dedup_equals_brute_force(spark, docs, hot_rows, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
