@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import pii
 from quern.functions import text as T
 from quern.functions.vector import cosine
-from quern.operators.index import TOP_K_RAW, knn
+from quern.operators.index import TOP_K_RAW, knn_arrow
 
 #: Contexts kept; best score below which a question is refused.
 TOP_K_DISTINCT, MIN_SCORE = 3, 0.47
@@ -59,7 +59,7 @@ def retrieve(questions: DataFrame, points: DataFrame, primary: str = T.PRIMARY_D
     first; the rest comes by similarity; equal article_numbers count once.
     """
     q = questions.withColumns({"numbers": T.article_references(F.col("question")), "question_lang": T.language(F.col("question"))})
-    lanes = exact_lane(q, points, primary).withColumn("lane", F.lit(0)).unionByName(knn(q, points).withColumn("lane", F.lit(1)))
+    lanes = exact_lane(q, points, primary).withColumn("lane", F.lit(0)).unionByName(knn_arrow(q, points).withColumn("lane", F.lit(1)))
     payload = [c for c in points.columns if c not in ("vector", "norm")]
     hits = lanes.join(points.select(payload), "point_id")
     top = distinct_top(hits, F.col("article_numbers")).join(q.select("query_id", "question", "numbers", "question_lang"), "query_id")
