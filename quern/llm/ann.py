@@ -3,7 +3,8 @@
 A vector is coded as a sum of full-dimensional codewords, one of each codebook.  Codebooks
 start as k-means of residuals and are then refitted together by least squares; coding is a
 beam search over partial sums.  The squared norm of a coded vector is stored, so a query
-scores a code by table look-ups alone.  The best codes are ranked again on whole vectors.
+scores a code by table look-ups alone.  The best codes are ranked again on whole vectors;
+how many is measured, by the places that true neighbours of some queries take among all codes.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from quern.llm.common import least_hashed, saved
 
 #: Vectors the codebooks are fitted on at most (those of least id hash); all rows are coded.
 TRAIN_VECTORS = 8000
-BOOKS, WORDS, BEAM, ROUNDS = 12, 256, 8, 3
-#: Candidates a query ranks again on whole vectors.
+BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 8, 3
+#: Candidates a query ranks again on whole vectors, at least.
 RERANK = 300
+#: Queries (of least id hash) whose true neighbours are sought to see how many candidates it
+#: takes, and the share of these neighbours that must be among the candidates.
+TRIED, SHARE = 64, 0.98
 #: Queries and codes in one scored block at most, and blocks of queries at least.
 QUERY_BLOCK, CODE_BLOCK, LEAST_BLOCKS = 4096, 1 << 18, 16
 #: Bytes of query vectors up to which they are broadcast for the rerank.
@@ -146,11 +150,69 @@ def distinct_vectors(rows: DataFrame, members: int) -> DataFrame:
     return held.select("id", "v", "ids")
 
 
+def _about(table: np.ndarray, codes: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Cosines of a query with coded vectors; table: books x words, codes: books x rows."""
+    about = table[0][codes[0]]
+    for i in range(1, len(codes)):
+        about += table[i][codes[i]]
+    return about / norm
+
+
+def _unpacked(codes: pd.Series, norms: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    norm = np.sqrt(np.maximum(np.frombuffer(b"".join(norms), dtype="<f4"), 1e-12))
+    return np.ascontiguousarray(np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(norm), -1).T), norm
+
+
+def candidates_needed(rows: DataFrame, index: DataFrame, queries: DataFrame, model: Codebooks, k: int, tried: int = TRIED, share: float = SHARE) -> int:
+    """How many of a query's best codes hold `share` of the true k nearest, over all rows.
+
+    True neighbours of at most `tried` queries come from a scan of the vectors, their places
+    from a scan of the codes, codes of equal score counted as before them.  Vectors equal to
+    the query's own are left out, as they have its codes.
+    """
+    asked = _unit(np.array([r.v for r in least_hashed(queries, tried, "id").collect()], dtype=np.float64))
+
+    def truth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                scores = asked @ _unit(_matrix(batch["v"])).T
+                scores[scores > 1 - 1e-12] = -2
+                keep = min(k, len(batch))
+                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                query, place = np.repeat(np.arange(len(asked)), keep), best.ravel()
+                yield pd.DataFrame({"query": query, "score": scores[query, place], "id": batch["id"].to_numpy()[place], "v": [batch["v"].iat[i].tolist() for i in place]})
+
+    first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    found = rows.select("id", "v").mapInPandas(truth, "query int, score double, id long, v array<double>")
+    near = found.filter("score > -2").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k).collect()
+    if not near:
+        return 0
+    codes = model.encode(_unit(np.array([r.v for r in near], dtype=np.float64)))
+    norm = np.sqrt(np.maximum((model.decode(codes) ** 2).sum(1), 1e-12))
+    at = np.array([r["query"] for r in near])
+    tables = (asked.astype(np.float32) @ model.words.transpose(0, 2, 1)).transpose(1, 0, 2)
+    least = np.array([_about(tables[q], codes[i : i + 1].T, norm[i : i + 1])[0] for i, q in enumerate(at)]) - 1e-6
+
+    def before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                held, size = _unpacked(batch["codes"], batch["norms"])
+                n = np.zeros(len(at), dtype=np.int64)
+                for query in np.unique(at):
+                    mine = np.flatnonzero(at == query)
+                    n[mine] = len(size) - np.searchsorted(np.sort(_about(tables[query], held, size)), least[mine])
+                yield pd.DataFrame({"i": np.arange(len(at)), "n": n})
+
+    places = index.select("codes", "norms").mapInPandas(before, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    return int(np.ceil(np.quantile([r.n for r in places], share)))
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = RERANK, books: int = BOOKS) -> DataFrame:
     """The k nearest rows by cosine found for each row that is_query (a Column) selects.
 
     Returns query_id, rank, vec_id and score, ties to the smaller id; a query is not its own
-    candidate, and with at most `rerank` different vectors the answer is exact.  Null, empty,
+    candidate, and with at most `rerank` different vectors the answer is exact.  Of more,
+    `rerank` or candidates_needed() are ranked again, whichever is greater.  Null, empty,
     zero and non-finite vectors, and null ids, take no part.  Rows of one id are each
     candidates and the id is listed once, with its best score; a query id given twice asks
     with one of its vectors, the greatest.  Vectors of another length than the commonest
@@ -172,7 +234,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     model = fit_codebooks(x, books, min(WORDS, max(2, len(x) // 8)))
     index = saved(build_index(rows.select("id", "v"), model), "codes")
     n_codes, n_queries = index.agg(F.sum("n")).first()[0], queries.count()
-    code_blocks, query_blocks = max(1, -(-n_codes // CODE_BLOCK)), max(1, min(n_queries, LEAST_BLOCKS), -(-n_queries // QUERY_BLOCK))
+    if n_codes > rerank and n_queries:
+        rerank = max(rerank, candidates_needed(rows, index, queries, model, k))
+    # a pair of blocks gives at most as many rows as QUERY_BLOCK queries of RERANK candidates
+    code_blocks, query_blocks = max(1, -(-n_codes // CODE_BLOCK)), max(1, min(n_queries, LEAST_BLOCKS), -(-n_queries * max(rerank, RERANK) // (QUERY_BLOCK * RERANK)))
     asked = queries.select(F.col("id"), "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
     held = index.withColumn("cb", F.pmod(F.xxhash64("ids"), F.lit(code_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
@@ -181,15 +246,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
         if not len(left) or not len(right):
             return empty
         ids = np.frombuffer(b"".join(right["ids"]), dtype="<i8")
-        codes = np.ascontiguousarray(np.frombuffer(b"".join(right["codes"]), dtype=np.uint8).reshape(len(ids), -1).T)
-        norm = np.sqrt(np.maximum(np.frombuffer(b"".join(right["norms"]), dtype="<f4"), 1e-12))
+        codes, norm = _unpacked(right["codes"], right["norms"])
         parts, keep = [], min(rerank + 1, len(ids))
         for query, vector in zip(left["id"], left["v"], strict=True):
             table = model.words @ _unit(np.asarray(vector, dtype=np.float64)[None])[0].astype(np.float32)
-            about = table[0][codes[0]]
-            for i in range(1, len(codes)):
-                about += table[i][codes[i]]
-            about /= norm
+            about = _about(table, codes, norm)
             best = np.argpartition(-about, keep - 1)[:keep]
             parts.append(pd.DataFrame({"query_id": query, "id": ids[best], "about": about[best].astype(np.float64)}))
         return pd.concat(parts)

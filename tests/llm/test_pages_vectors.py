@@ -202,6 +202,42 @@ def test_recall_where_the_rerank_list_is_a_small_share(spark, monkeypatch, broad
     assert len(got) == 400 and hit / 2000 >= 0.9
 
 
+def test_recall_within_a_tight_cluster(spark):
+    """Half of the vectors differ by a thousandth only, so the list must grow to hold their neighbours."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=16) + 0.001 * rng.normal(size=(2000, 16)), rng.normal(size=(2000, 16))])
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(4000), "embedding": [v.tolist() for v in x]}), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(vectors, lambda v: v % 50 == 0, rerank=20).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = {True: 0, False: 0}
+    for q in range(0, 4000, 50):
+        s = np.delete(m @ m[q], q)
+        hit[q < 2000] += sum(v >= np.sort(s)[-5] - 1e-12 for v in got[q])
+    assert hit[True] >= 180 and hit[False] >= 180
+
+
+def test_candidates_needed_equals_a_plain_count(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    model = ann.fit_codebooks(u, 3, 16)
+    index = ann.build_index(rows, model)
+    y = model.decode(model.encode(u))
+    about = u @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    want = []
+    for q in range(0, 600, 50):
+        s = u @ u[q]
+        s[q] = -2
+        want += [int((about[q] >= about[q][i] - 1e-6).sum()) for i in np.argsort(-s)[:5]]
+    for share in (0.5, 0.98, 1.0):
+        got = ann.candidates_needed(rows, index, rows.filter("id % 50 = 0"), model, 5, share=share)
+        assert abs(got - np.quantile(want, share)) <= 2
+    assert ann.candidates_needed(rows.limit(1), index, rows.limit(1), model, 5) == 0
+
+
 def test_few_vectors_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], kind), lambda v: v % 50 == 0).count() == 0
