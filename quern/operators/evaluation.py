@@ -71,6 +71,15 @@ def best_of(results: DataFrame, min_gain: float = MIN_GAIN) -> DataFrame:
     return one.select(F.when(kept, F.col("i")).otherwise(F.col("w")).alias("r")).select("r.*")
 
 
+def ranked_runs(runs: DataFrame, columns: list[str], by: str = "faithfulness") -> DataFrame:
+    """Those of `columns` that the logged runs have, and a run's place by score, best first.
+
+    Runs of equal score share a place; without a score they come last.
+    """
+    held = [c for c in columns if c in runs.columns]
+    return runs.select(F.rank().over(Window.orderBy(F.col(by).desc_nulls_last())).alias("place"), *held)
+
+
 def stratified_subset(questions: DataFrame, quotas: dict[tuple[str, str], int], position: str = "pos") -> DataFrame:
     """The first questions in order of each (category, language), up to its quota."""
     quota = F.lit(0)

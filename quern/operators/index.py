@@ -39,6 +39,11 @@ def create(points: DataFrame, path: str, vector: str = "vector") -> DataFrame:
     return back
 
 
+def health(index: DataFrame, release: str) -> DataFrame:
+    """One row: the state of a readable index, its number of points and the release that serves it."""
+    return index.agg(F.count("*").alias("documents_indexed")).withColumns({"status": F.lit("healthy"), "release": F.lit(release)})
+
+
 def lookup(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("point_id").distinct(), "point_id", "left_semi")
 

@@ -90,6 +90,9 @@ FROM told LEFT JOIN got USING (query_id)""",
 w AS (SELECT * FROM o ORDER BY coalesce(faithfulness, -1) DESC, coalesce(context_precision, -1) DESC, coalesce(article_hit_rate, -1) DESC, pos LIMIT 1), i AS (SELECT * FROM o ORDER BY pos LIMIT 1),
 best AS (SELECT CASE WHEN coalesce(w.faithfulness - i.faithfulness < 0.05, false) THEN i.config ELSE w.config END AS config FROM w CROSS JOIN i)
 SELECT config, row_number() OVER (ORDER BY faithfulness DESC NULLS LAST, pos) AS place, config = (SELECT config FROM best) AS chosen, round(faithfulness, 6) AS faithfulness, round(refusal_rate, 6) AS refusal_rate FROM o""",
+        "runs_by_faithfulness": f"""WITH {_EVAL}, {_MEANS}
+SELECT rank() OVER (ORDER BY faithfulness DESC NULLS LAST) AS place, config, round(faithfulness, 6) AS faithfulness, round(context_recall, 6) AS context_recall FROM means""",
+        "index_health": "SELECT 'healthy' AS status, 'stable' AS release, count(*) AS documents_indexed FROM embeddings",
         "bucket_sample": """WITH b AS (SELECT doc_id, ntile(20) OVER (ORDER BY doc_id) AS b FROM labels), r AS (SELECT doc_id, row_number() OVER (PARTITION BY b ORDER BY md5('3|' || doc_id), doc_id) AS rn FROM b)
 SELECT doc_id FROM r WHERE rn = 1 UNION SELECT doc_id FROM labels WHERE doc_id % 97 = 0""",
         "hash_embeddings": """WITH c AS (SELECT doc_id, unnest(range(16)) AS i, unnest(list_transform(range(16), lambda i: ('0x' || substr(md5(i || '|' || coalesce(text, '')), 1, 8))::BIGINT / 4294967296.0 - 0.5)) AS x FROM documents),

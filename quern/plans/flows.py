@@ -112,6 +112,19 @@ def config_sweep(spark, d):
     return out.select("config", "place", "chosen", _r(F.col("faithfulness")).alias("faithfulness"), _r(F.col("refusal_rate")).alias("refusal_rate"))
 
 
+@query
+def runs_by_faithfulness(spark, d):
+    """Logged runs, best first; a column that no run logged is left out."""
+    runs = evaluation.mean_scores(Q._eval(spark, d), ["config"])
+    out = evaluation.ranked_runs(runs, ["config", "chunk_size", "faithfulness", "context_recall"])
+    return out.withColumns({c: _r(F.col(c)) for c in ("faithfulness", "context_recall")})
+
+
+@query
+def index_health(spark, d):
+    return index.health(_index(spark, d), "stable")
+
+
 @query
 def bucket_sample(spark, d):
     rows = t(spark, d, "labels").select("doc_id")
