@@ -1,4 +1,4 @@
-"""The ten queries: each applies its operator to the whole intended table."""
+"""The queries: each applies its operator to the whole intended table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, line_crf, line_dedup, mixing, ngram_join, packing, pii, quality_rules, url_rules, warc
+from quern.llm import ann, line_crf, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, url_rules, warc
+from quern.llm.common import ascii_lower
 
 #: Host and path rules of the URL query: (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -78,6 +79,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    proved = merkle.verified(merkle.merkle_manifest(table(spark, sf_dir, "documents"), now={"text": tampered}))
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -85,10 +92,73 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: The word class of the contracts, as DuckDB's regular expressions write it.
 _NO_SPACE = "[^\\x20\\x09-\\x0D]+"
 _EDGE = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
+#: CRC-32 (unsigned) of UTF-8 text in DuckDB: bytes of the text, and the table of the
+#: reversed polynomial, made by its rule.
+_CRC_TABLE = "(SELECT list(list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b))"
+
+
+def _crc32(text: str, lookup: str = "crc.t") -> str:
+    """crc32 of a text, where crc is a row of _CRC_TABLE."""
+    bytes_of = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({bytes_of}, lambda c, b: xor(c >> 8, {lookup}[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+#: What a leaf hashes, in its order.
+_LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _leaf_sql(text: str) -> str:
+    values = (text if c == "text" else f"{c}::VARCHAR" for c in _LEAF_FIELDS)
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE octet_length(encode({v}))::VARCHAR || ':' || {v} END" for v in values) + ")"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_merkle_manifest": f"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+hashed AS (
+  SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf_sql(f"translate(text, {_AZ})")} ELSE {_leaf_sql("text")} END AS leaf_now
+  FROM documents, crc),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+nodes AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, (count(*) OVER (PARTITION BY lang))::BIGINT AS n FROM placed
+  UNION ALL
+  SELECT lang, any_value(level) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY lang, pos // 8),
+subroots AS (SELECT lang, level, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, h, (count(*) OVER ())::BIGINT AS n FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM tops WHERE n > 1 GROUP BY pos // 8),
+every AS (
+  SELECT s.pos AS tree, n.level, n.pos, n.h FROM nodes n JOIN subroots s ON n.lang IS NOT DISTINCT FROM s.lang WHERE n.n > 1
+  UNION ALL SELECT s.pos, s.level + t.level, t.pos, t.h FROM tops t CROSS JOIN subroots s WHERE t.n > 1),
+rows_in AS (
+  SELECT p.*, s.pos AS tree, s.pos AS top_pos, s.level AS height, s.h AS subroot FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang),
+steps AS (
+  SELECT r.lang, r.pos AS leaf_pos, e.level,
+         coalesce(string_agg(e.h, '' ORDER BY e.pos) FILTER (e.pos < a.at), '') AS l, coalesce(string_agg(e.h, '' ORDER BY e.pos) FILTER (e.pos > a.at), '') AS r
+  FROM rows_in r
+  JOIN (SELECT DISTINCT tree, level FROM every) v ON v.tree = r.tree,
+  LATERAL (SELECT CASE WHEN v.level < r.height THEN r.pos // (8 ** v.level)::BIGINT ELSE r.top_pos // (8 ** (v.level - r.height))::BIGINT END AS at) a
+  JOIN every e ON e.tree = r.tree AND e.level = v.level AND e.pos // 8 = a.at // 8
+  GROUP BY r.lang, r.pos, e.level),
+proof AS (
+  SELECT lang, leaf_pos, string_agg(l || r, '' ORDER BY level) AS joined, list(struct_pack(l := l, r := r) ORDER BY level) AS path FROM steps GROUP BY lang, leaf_pos),
+walk AS (
+  SELECT r.lang, r.pos, 1 AS i, r.leaf_now AS h FROM rows_in r
+  UNION ALL
+  SELECT w.lang, w.pos, w.i + 1, sha256(p.path[w.i].l || w.h || p.path[w.i].r)
+  FROM walk w JOIN proof p ON p.lang IS NOT DISTINCT FROM w.lang AND p.leaf_pos = w.pos WHERE w.i <= len(p.path)),
+ended AS (SELECT lang, pos, arg_max(h, i) AS folded_root FROM walk GROUP BY lang, pos)
+SELECT r.doc_id, r.leaf, r.subroot, t.h AS root, sha256(coalesce(p.joined, '')) AS proof_sha256, e.folded_root, e.folded_root = t.h AS verified
+FROM rows_in r JOIN ended e ON e.lang IS NOT DISTINCT FROM r.lang AND e.pos = r.pos
+LEFT JOIN proof p ON p.lang IS NOT DISTINCT FROM r.lang AND p.leaf_pos = r.pos
+CROSS JOIN (SELECT h FROM tops WHERE n = 1) t""",
         "op2_source_mix": f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_NO_SPACE}'))::BIGINT AS size,
