@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, line_crf, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, url_rules, warc
+from quern.llm import ann, line_crf, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, spelling, url_rules, warc
 from quern.llm.common import ascii_lower
 
 #: Host and path rules of the URL query: (verdict, host/path).
@@ -85,6 +85,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_rare_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -226,4 +230,28 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN f.first_id < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100""",
+        "op13_rare_bigrams": f"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_crc32("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM runs, crc),
+damaged AS (
+  SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (
+  SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS part FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM less x JOIN less y ON x.part = y.part AND x.i = y.i AND x.word <> y.word AND length(x.word) = length(y.word)
+  UNION SELECT x.word, y.word, y.n FROM less x JOIN words y ON x.part = y.word
+  UNION SELECT y.word, x.word, x.n FROM less x JOIN words y ON x.part = y.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, min(struct_pack(a := -near_n, b := near)) AS top FROM pairs GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN -b.top.a >= 10 * w.n THEN b.top.b END AS form, CASE WHEN -b.top.a >= 10 * w.n THEN -b.top.a END::BIGINT AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+follow AS (
+  SELECT word, word AS here, 0 AS step FROM formed
+  UNION ALL SELECT f.word, g.form, f.step + 1 FROM follow f JOIN formed g ON g.word = f.here WHERE g.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN (SELECT word, arg_max(here, step) AS root FROM follow GROUP BY word) r USING (word)""",
     }
