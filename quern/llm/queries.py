@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, line_crf, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, spelling, url_rules, warc
+from quern.llm import ann, hmm, line_crf, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, spelling, url_rules, warc
 from quern.llm.common import ascii_lower
 
 #: Host and path rules of the URL query: (verdict, host/path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 #: Every fifth of the documents' checksums is held out of training.
 FOLDS = 5
+#: Every tenth of the checksums is held out of the language model.
+LM_FOLDS = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +87,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % LM_FOLDS == 0, F.lit(False))
+    scored = hmm.score_texts(table(spark, sf_dir, "documents"), learn=~held)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_rare_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
