@@ -72,11 +72,3 @@ def redact(text: Column, found: Column) -> Column:
 def entities(found: Column) -> Column:
     """Sorted distinct entity types."""
     return F.array_sort(F.array_distinct(F.transform(found, lambda s: s["entity"])))
-
-
-def hold_back(buffer: Column, found: Column, keep: int) -> Column:
-    """How many characters of a stream's buffer may be released: all but the last `keep`,
-    less when a span straddles that place."""
-    cut = F.length(buffer) - keep
-    across = F.filter(found, lambda s: (s["start"] < cut) & (cut < s["end"]))
-    return F.greatest(F.when(F.size(across) > 0, F.get(across, F.lit(0))["start"]).otherwise(cut), F.lit(0))

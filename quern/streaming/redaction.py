@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,101 +11,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.functions import pii
+from quern.functions.text import ARABIC_DIGITS, DIGITS, PERSIAN_DIGITS
 
 #: Fixed value: characters always held back, more than any realistic value has.
 HOLD_BACK = 64
 _OUT = "request_id string, seq long, text string, entities array<string>, is_last boolean"
 
 
-class Redactor:
-    """Redaction of one request's text as it arrives, by the rules of functions.pii.
+def _finders() -> list[tuple[str, re.Pattern]]:
+    return [(entity, re.compile(pattern.replace("(?iU)", "(?i)").replace("(?U)", ""))) for entity, pattern in pii.PATTERNS.items()]
 
-    The last HOLD_BACK characters stay until the end; a span that straddles the place moves
-    it to the span's start.  As many characters already released are remembered, so that a
-    number cut in two is still judged by what stood before it.  Values longer than HOLD_BACK
-    can be seen in part, as in any bounded look-back.
-    """
-
-    def __init__(self, buffer: str = "", before: str = ""):
-        self.buffer, self.before = buffer, before
-
-    def _found(self) -> list[tuple[str, int, int]]:
-        n = len(self.before)
-        return [(e, start - n, end - n) for e, start, end in _spans(self.before + self.buffer) if start >= n]
-
-    def _release(self, upto: int) -> tuple[str, list[str]]:
-        found = [s for s in self._found() if s[2] <= upto]
-        head, self.buffer = self.buffer[:upto], self.buffer[upto:]
-        self.before = (self.before + head)[-HOLD_BACK:]
-        out, at = [], 0
-        for entity, start, end in found:
-            out += [head[at:start], f"[{entity}]"]
-            at = end
-        return "".join(out) + head[at:], sorted({s[0] for s in found})
 
-    def feed(self, piece: str) -> tuple[str, list[str]]:
-        self.buffer += piece
-        cut = len(self.buffer) - HOLD_BACK
-        if cut > 0:
-            cut = next((s for _, s, e in self._found() if s < cut < e), cut)
-        return self._release(cut) if cut > 0 else ("", [])
+_FINDERS = _finders()
+_WESTERN = str.maketrans(ARABIC_DIGITS + PERSIAN_DIGITS, DIGITS * 2)
 
-    def flush(self) -> tuple[str, list[str]]:
-        return self._release(len(self.buffer))
 
+def _luhn(number: str) -> bool:
+    digits = [int(c) for c in reversed(number) if c.isdigit()]
+    return sum(digits[::2] + [sum(divmod(2 * d, 10)) for d in digits[1::2]]) % 10 == 0
 
-def _compiled() -> list:
-    import regex
 
-    return [(entity, regex.compile(p.replace("(?iU)", "(?i)").replace("(?U)", ""))) for entity, p in pii.PATTERNS.items()]
+def found_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, entity) of pii.spans() for a text that is not in a column."""
+    plain, taken = text.translate(_WESTERN), []
+    for entity, finder in _FINDERS:
+        for m in finder.finditer(plain):
+            clash = any(m.start() < end and start < m.end() for start, end, _ in taken)
+            if not clash and (entity != "CREDIT_CARD" or _luhn(m[0])):
+                taken.append((m.start(), m.end(), entity))
+    return sorted(taken)
 
 
-_patterns: list = []
-_TO_DIGIT = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+def released(held: str, told: int, piece: str, last: bool) -> tuple[str, list[str], str, int]:
+    """(text to send, its entities, held, told) after one more piece of an answer.
 
-
-def _check_digits(digits: str) -> bool:
-    return sum(int(d) if i % 2 == 0 else (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(d)] for i, d in enumerate(reversed(digits))) % 10 == 0
-
-
-def _spans(text: str) -> list[tuple[str, int, int]]:
-    if not _patterns:
-        _patterns.extend(_compiled())
-    norm, kept = text.translate(_TO_DIGIT), []
-    for entity, pattern in _patterns:
-        for m in pattern.finditer(norm):
-            if entity == "CREDIT_CARD" and not _check_digits("".join(c for c in m[0] if c.isdigit())):
-                continue
-            if all(m.end() <= s or e <= m.start() for _, s, e in kept):
-                kept.append((entity, m.start(), m.end()))
-    return sorted(kept, key=lambda x: x[1])
+    held is the raw text still needed, of which the first `told` characters are out already
+    and only tell what stands before the rest.  The last HOLD_BACK characters wait for the
+    end; a span across that place waits whole.  Values longer than HOLD_BACK can be seen in
+    part, as in any bounded look-back.
+    """
+    text = held + piece
+    spans = [s for s in found_spans(text) if s[0] >= told]
+    stop = len(text) if last else max(told, len(text) - HOLD_BACK)
+    stop = next((start for start, end, _ in spans if start < stop < end), stop)
+    out, at, entities = "", told, set()
+    for start, end, entity in spans:
+        if end <= stop:
+            out, at = out + text[at:start] + f"[{entity}]", end
+            entities.add(entity)
+    first = max(0, stop - HOLD_BACK)
+    return out + text[at:stop], sorted(entities), text[first:], stop - first
 
 
 def redact_stream(pieces: DataFrame) -> DataFrame:
     """Redacted text per piece of a stream (request_id, seq, piece, is_last).
 
-    State per request is its held-back text and what came just before.  Pieces are put in order of seq within a
-    micro-batch; across batches they must arrive in order.  is_last releases the rest and
-    ends the request.
+    State per request is the text released() holds.  Pieces are put in order of seq within a
+    micro-batch; across batches they must arrive in order (see channel.py where they do not).
+    is_last releases the rest and ends the request.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        redactor = Redactor(*state.get) if state.exists else Redactor()
-        batch = pd.concat(list(frames)).sort_values("seq")
-        rows = []
-        for seq, piece, last in zip(batch["seq"], batch["piece"], batch["is_last"], strict=True):
-            text, entities = redactor.feed(piece or "")
-            if last:
-                rest, more = redactor.flush()
-                text, entities = text + rest, sorted({*entities, *more})
-            rows.append((key[0], int(seq), text, entities, bool(last)))
-        if rows and rows[-1][-1]:
+        held, told = state.get if state.exists else ("", 0)
+        rows, ended = [], False
+        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+            text, entities, held, told = released(held, told, r.piece or "", ended := bool(r.is_last))
+            rows.append((key[0], int(r.seq), text, entities, ended))
+        if ended:
             state.remove()
         else:
-            state.update((redactor.buffer, redactor.before))
+            state.update((held, told))
         yield pd.DataFrame(rows, columns=["request_id", "seq", "text", "entities", "is_last"])
 
-    return pieces.groupBy("request_id").applyInPandasWithState(step, _OUT, "buffer string, before string", "append", GroupStateTimeout.NoTimeout)
+    return pieces.groupBy("request_id").applyInPandasWithState(step, _OUT, "held string, told int", "append", GroupStateTimeout.NoTimeout)
 
 
 def events(redacted: DataFrame) -> DataFrame:

@@ -36,12 +36,26 @@ def test_streamed_text_equals_the_whole(spark):
     rng, whole = random.Random(5), "x " * 40 + " and ".join(c[0] for c in CASES) + " y" * 50
     want = "x " * 40 + " and ".join(c[1] for c in CASES) + " y" * 50
     for _ in range(50):
-        r, out, at = redaction.Redactor(), "", 0
+        held, told, out, at = "", 0, "", 0
         while at < len(whole):
             n = rng.randint(1, 7)
-            out += r.feed(whole[at : at + n])[0]
-            at += n
-        assert out + r.flush()[0] == want
+            text, _, held, told = redaction.released(held, told, whole[at : at + n], at + n >= len(whole))
+            out, at = out + text, at + n
+        assert out == want
+
+
+def test_both_forms_of_spans_agree_on_random_texts(spark):
+    rng = random.Random(8)
+    parts = [c[0] for c in CASES] + ["١٢٣٤٥٦٧٨٩٠", "4111-1111-1111-1111", "+201012345678", "a@b", "@c.de", " ", "-", "۰۱۰۱۲۳۴۵۶۷۸", "é", "EG38", "2", "0"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pii.spans(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert [(x.start, x.end, x.entity) for x in r.s] == redaction.found_spans(r.t), r.t
+
+
+def test_refusal_texts_are_refusals(spark):
+    rows = spark.createDataFrame([(t,) for t in T.REFUSAL_TEXT.values()], "t string").select(T.is_refusal(F.col("t")).alias("r")).collect()
+    assert all(r.r for r in rows)
 
 
 def test_stream_query(spark, tmp_path):
