@@ -11,6 +11,7 @@ from quern.functions import pii
 from quern.functions import text as T
 from quern.functions.vector import cosine
 from quern.operators.index import TOP_K_RAW, knn_arrow
+from quern.sources.readers import scratch
 
 #: Contexts kept; best score below which a question is refused.
 TOP_K_DISTINCT, MIN_SCORE = 3, 0.47
@@ -104,22 +105,43 @@ def answers(questions: DataFrame, hits: DataFrame, generated: DataFrame, min_sco
     return row.select("query_id", "status", said.alias("answer"), F.when(F.col("status") == "answered", F.col("sources")).otherwise(F.array().cast("array<string>")).alias("sources"))
 
 
+def prepare(questions: DataFrame, points: DataFrame, min_score: float | None = MIN_SCORE, primary: str = T.PRIMARY_DOC) -> DataFrame:
+    """query_id, status, prompt, sources, canned and asked_entities: all that stands before an answer is generated.
+
+    questions: query_id, question, query_vector.  Blank questions are invalid.  Personal data
+    is taken out of questions before anything reads them.  Questions without a context and
+    refused ones have their answer (canned) and neither prompt nor sources.  Hits are written
+    once, since gate, prompts and sources all read them.
+    """
+    blank = T.strip(F.coalesce("question", F.lit(""))) == ""
+    spans = pii.spans(F.col("question"))
+    fine = questions.filter(~blank).select("query_id", pii.redact(F.col("question"), spans).alias("question"), "query_vector", pii.entities(spans).alias("asked_entities"), T.language(F.col("question")).alias("lang"))
+    spark = questions.sparkSession
+    at = scratch(spark, "hits")
+    retrieve(fine.select("query_id", "question", "query_vector"), points, primary).write.parquet(at)
+    hits = spark.read.parquet(at)
+    row = fine.select("query_id", "lang", "asked_entities").join(gate(hits, min_score, primary), "query_id", "left").join(prompts(hits), "query_id", "left")
+    status = F.when(F.col("best_score").isNull(), "no_context").when(F.col("refused"), "refused").otherwise("answered")
+    none, told = F.array().cast("array<string>"), F.col("status") == "answered"
+    canned = F.when(F.col("status") == "no_context", F.lit(NO_CONTEXT)).when(F.col("status") == "refused", T.refusal_text(F.col("lang")))
+    row = row.withColumn("status", status).select("query_id", "status", F.when(told, F.col("prompt")).alias("prompt"), F.when(told, F.col("sources")).otherwise(none).alias("sources"), canned.alias("canned"), "asked_entities")
+    text = lambda: F.lit(None).cast("string")
+    return row.unionByName(questions.filter(blank).select("query_id", F.lit("invalid").alias("status"), text().alias("prompt"), none.alias("sources"), text().alias("canned"), none.alias("asked_entities")))
+
+
 def ask(questions: DataFrame, points: DataFrame, generate: Callable[[DataFrame], DataFrame], min_score: float | None = MIN_SCORE, primary: str = T.PRIMARY_DOC) -> DataFrame:
     """query_id, status, answer, sources, entities of a batch of questions.
 
-    questions: query_id, question, query_vector.  Blank questions are invalid and go no
-    further.  Personal data is taken out of questions before anything reads them, and out of
-    answers before anyone does; entities are those of the answer.  generate() turns prompts()
-    into (query_id, answer).
+    questions: query_id, question, query_vector; see prepare().  Personal data is taken out of
+    answers before anyone reads them; entities are those of the answer.  generate() turns
+    query_id, prompt and sources of the answered questions into (query_id, answer).
     """
-    blank = T.strip(F.coalesce("question", F.lit(""))) == ""
-    fine = questions.filter(~blank).withColumn("question", pii.redact(F.col("question"), pii.spans(F.col("question"))))
-    hits = retrieve(fine, points, primary)
-    said = answers(fine, hits, generate(prompts(hits)), min_score, primary).withColumn("__f", pii.spans(F.col("answer")))
-    said = said.select("query_id", "status", pii.redact(F.col("answer"), F.col("__f")).alias("answer"), "sources", pii.entities(F.col("__f")).alias("entities"))
-    none = F.array().cast("array<string>")
-    invalid = questions.filter(blank).select("query_id", F.lit("invalid").alias("status"), F.lit(None).cast("string").alias("answer"), none.alias("sources"), none.alias("entities"))
-    return said.unionByName(invalid)
+    ready = prepare(questions, points, min_score, primary)
+    generated = generate(ready.filter("status = 'answered'").select("query_id", "prompt", "sources")).select("query_id", F.col("answer").alias("__a"))
+    said = ready.join(generated, "query_id", "left").withColumn("__a", F.when(F.col("status") == "answered", T.without_thinking(F.col("__a"))).otherwise(F.col("canned")))
+    said = said.withColumn("__f", pii.spans(F.col("__a")))
+    entities = F.when(F.col("status") == "invalid", F.array().cast("array<string>")).otherwise(pii.entities(F.col("__f")))
+    return said.select("query_id", "status", pii.redact(F.col("__a"), F.col("__f")).alias("answer"), "sources", entities.alias("entities"))
 
 
 def answer_events(said: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from quern.functions import text as T
 from quern.operators import ops
-from quern.plans.oracle import _EVAL, _KNN, _LAT, _LOG, _MEANS, _UNIT, _uuid
+from quern.streaming import channel
+from quern.plans.oracle import _EMAIL, _EVAL, _KNN, _LAT, _LOG, _MEANS, _OWN, _UNIT, _cards, _uuid
 
 _POINTS = f"""raw_points AS (
   SELECT vec_id, embedding::DOUBLE[] AS v, (vec_id // 2)::VARCHAR AS chunk, CASE WHEN vec_id % 2 = 0 THEN 'en' ELSE 'ar' END AS lang,
@@ -16,6 +17,12 @@ _ASKED = """asked AS (
          CASE WHEN vec_id % 400 = 300 THEN NULL WHEN vec_id % 150 = 0 THEN label WHEN vec_id % 150 = 50 THEN vec_id % 7 END AS number,
          CASE WHEN vec_id % 400 <> 300 AND vec_id % 150 = 50 THEN 'ar' ELSE 'en' END AS qlang
   FROM embeddings WHERE vec_id % 50 = 0)"""
+_SPOKEN = """asked AS (
+  SELECT c.query_id, list_reverse(e.embedding::DOUBLE[]) AS q, CASE WHEN c.query_id % 3 = 0 THEN 'Is Article ' || c.query_id % 7 || ' in force?' ELSE c.first END AS question,
+         CASE WHEN c.query_id % 3 = 0 THEN c.query_id % 7 END AS number, 'en' AS qlang,
+         CASE WHEN c.query_id % 4 = 1 THEN 'Mail ann.b@law.org or pay from 4111 1111 1111 1111 now. ' ELSE '' END || c.said AS whole
+  FROM (SELECT conv_id AS query_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS said, arg_min(text, turn) FILTER (role = 'user') AS first FROM conversations GROUP BY conv_id) c
+  JOIN embeddings e ON e.vec_id = c.query_id)"""
 _HITS = f"""{_POINTS}, {_ASKED},
 pairs AS (SELECT a.query_id, a.question, a.number, a.qlang, p.*, list_cosine_similarity(a.q, p.v) AS score FROM asked a CROSS JOIN points p),
 lanes AS (
@@ -74,6 +81,20 @@ def flow_sql(out: dict[str, str]) -> dict[str, str]:
         "twin_lookup": f"""WITH {_POINTS} SELECT p.point_id AS was, coalesce(t.point_id, p.point_id) AS point_id, coalesce(t.lang, p.lang) AS lang, 'text ' || coalesce(t.vec_id, p.vec_id) AS text, 0.5::DOUBLE AS score
 FROM points p LEFT JOIN points t ON t.chunk = p.chunk AND t.doc = p.doc AND t.lang <> p.lang AND NOT (t.doc = 'other' AND t.lang = 'ar')""",
         "ask_batch": f"WITH {_said('0.3')} SELECT * FROM told",
+        "ask_stream": f"""WITH {_said("0.3").replace(_ASKED, _SPOKEN)},
+redacted AS (
+  SELECT query_id, {_cards(_OWN.format("whole"))} AS cards, {_cards(_OWN.format("question"))} AS asked_cards, regexp_matches({_OWN.format("whole")}, '{_EMAIL}') AS mail, regexp_matches({_OWN.format("question")}, '{_EMAIL}') AS asked_mail,
+         regexp_replace(whole, '{_EMAIL}', '[EMAIL]', 'g') AS t
+  FROM asked),
+ends AS (
+  SELECT s.query_id, s.status, '["' || replace(s.sources, '|', '", "') || '"]' AS shown, s.status = 'answered' AND s.query_id % 10 = 3 AS failed, s.status = 'answered' AND s.query_id % 10 = 7 AS silent,
+         CASE WHEN s.status = 'answered' THEN list_reduce(r.cards, lambda a, x: replace(a, x, '[CREDIT_CARD]'), r.t) WHEN s.qlang = 'ar' THEN '{T.REFUSAL_TEXT["ar"]}' ELSE '{T.REFUSAL_TEXT["en"]}' END AS text,
+         CASE WHEN len(r.asked_cards) > 0 OR (s.status = 'answered' AND len(r.cards) > 0) THEN ['CREDIT_CARD'] ELSE [] END || CASE WHEN r.asked_mail OR (s.status = 'answered' AND r.mail) THEN ['EMAIL'] ELSE [] END AS found
+  FROM said s JOIN redacted r USING (query_id))
+SELECT query_id, status, true AS in_order, CASE WHEN NOT failed THEN md5(text) END AS text,
+       CASE WHEN failed THEN '{{"type": "error", "message": "{channel.FAILED}"}}' WHEN silent THEN '{{"type": "error", "message": "{channel.TIMED_OUT}"}}'
+            ELSE '{{"type": "done", "sources": ' || CASE WHEN status = 'answered' THEN shown ELSE '[]' END || ', "pii_redacted": [' || array_to_string(list_transform(found, lambda x: '"' || x || '"'), ', ') || ']}}' END AS ending
+FROM ends""",
         "ask_without_threshold": f"WITH {_said('-2')} SELECT status, count(*) AS n FROM told GROUP BY status",
         "answer_events": f"""WITH {_said('0.3')},
 listed AS (SELECT *, CASE WHEN sources = '' THEN '[]' ELSE '["' || replace(sources, '|', '","') || '"]' END AS shown FROM told)

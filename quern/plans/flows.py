@@ -16,7 +16,8 @@ from quern.plans import queries as Q
 from quern.plans.config import settings
 from quern.plans.queries import _r, t
 from quern.sources import readers, reports, sinks
-from quern.streaming import rates
+from quern.streaming import channel, rates
+from quern.streaming.running import run_to_end
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CONFIGS = ["src0", "src1", "src2", "src3", "src4"]
@@ -79,6 +80,71 @@ def ask_batch(spark, d):
     return out.select("query_id", "status", "answer", F.array_join("sources", "|").alias("sources"), F.array_join("entities", ",").alias("entities"))
 
 
+#: Places at which pieces of 1 to 7 characters begin within 28, by the answer's kind.
+_CUTS = [[sum(1 + (3 * j + kind) % 7 for j in range(i)) for i in range(7)] for kind in range(7)]
+
+
+def _spoken(spark, d) -> DataFrame:
+    """Conversations as requests: query_id, question, query_vector and the answer's whole text,
+    every fourth with an address and a card number."""
+    talk = t(spark, d, "conversations")
+    one = talk.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("turns"), F.min(F.when(F.col("role") == "user", F.struct("turn", "text"))).alias("asked"))
+    planted = F.when(F.col("conv_id") % 4 == 1, F.lit("Mail ann.b@law.org or pay from 4111 1111 1111 1111 now. ")).otherwise("")
+    question = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Is Article "), (F.col("conv_id") % 7).cast("string"), F.lit(" in force?"))).otherwise(F.col("asked.text"))
+    one = one.select(F.col("conv_id").alias("query_id"), question.alias("question"), F.concat(planted, F.array_join(F.transform("turns", lambda x: x["text"]), "\n")).alias("whole"))
+    return one.join(t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.reverse("embedding").alias("query_vector")), "query_id")
+
+
+def _in_pieces(said: DataFrame) -> DataFrame:
+    """The answers (query_id, status, whole, sources, asked_entities) in pieces as they arrive:
+    in slices, one of eleven a slice late; some answers fail at the end, some never end."""
+    n = F.length("whole")
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / 28).cast("int")), lambda b: F.transform(F.get(F.array(*(F.array(*map(F.lit, row)) for row in _CUTS)), F.pmod("query_id", F.lit(7)).cast("int")), lambda x: 28 * b + x)))
+    cut = said.withColumn("at", F.filter(places, lambda x: (x < n) | (x == 0)))
+    cut = cut.select("*", F.posexplode("at").alias("seq", "start"), F.size("at").alias("pieces"))
+    last, kind, answered = F.col("seq") + 1 == F.col("pieces"), F.pmod("query_id", F.lit(10)), F.col("status") == "answered"
+    upto = F.coalesce(F.get("at", F.col("seq") + 1), n)
+    slice_ = F.floor(F.col("seq") * 5 / F.col("pieces")) + F.when(F.col("seq") % 11 == 5, 1).otherwise(0)
+    return cut.select(
+        F.col("query_id").cast("string").alias("request_id"), F.col("seq").cast("long").alias("seq"), F.substring(F.col("whole"), F.col("start") + 1, upto - F.col("start")).alias("piece"),
+        (last & ~(answered & (kind == 7))).alias("is_last"), ((F.col("status") == "invalid") | (last & answered & (kind == 3))).alias("failed"), "sources", F.col("asked_entities").alias("entities"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + 60 * slice_).alias("ts"), slice_.cast("int").alias("slice"),
+    )
+
+
+@query
+def ask_stream(spark, d):
+    """Conversations asked as a stream of questions in two micro-batches, answered in pieces of
+    1 to 7 characters that reach the channel in six; a last row an hour later ends what is silent."""
+    at, spoken = readers.scratch(spark, "asking"), _spoken(spark, d)
+    spoken.write.parquet(f"{at}/spoken")
+    spoken, points = spark.read.parquet(f"{at}/spoken"), _index(spark, d)
+    for turn in range(2):
+        spoken.filter(F.col("query_id") % 2 == turn).drop("whole").coalesce(1).write.mode("append").parquet(f"{at}/questions")
+    questions = spark.readStream.schema(spark.read.parquet(f"{at}/questions").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/questions")
+
+    def answer(batch: DataFrame, number: int) -> None:
+        ready = retrieval.prepare(batch, points, 0.3).join(spoken.select("query_id", "whole"), "query_id")
+        said = ready.withColumn("whole", F.when(F.col("status") == "answered", F.col("whole")).otherwise(F.coalesce("canned", F.lit(""))))
+        said.select("query_id", "status", "whole", "sources", "asked_entities").write.mode("overwrite").parquet(f"{at}/said/turn={number}")
+
+    run_to_end(questions, f"{at}/asked", answer)
+    said = spark.read.parquet(f"{at}/said").drop("turn")
+    _in_pieces(said).write.partitionBy("slice").parquet(f"{at}/arriving")
+    arriving = spark.read.parquet(f"{at}/arriving")
+    clock = spark.createDataFrame([("", None, None, False, False, None, None, 1_704_070_800)], channel.PIECE.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds("ts"))
+    for part in [*(arriving.filter(F.col("slice") == k).drop("slice") for k in range(6)), clock]:
+        part.coalesce(1).write.mode("append").parquet(f"{at}/pieces")
+    pieces = spark.readStream.schema(channel.PIECE).option("maxFilesPerTrigger", 1).parquet(f"{at}/pieces")
+    events = run_to_end(channel.answer_channel(pieces, 300), f"{at}/channel", schema=channel.EVENT)
+    one = events.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("n", "type", "text", "event"))).alias("e"))
+    ending, failed = F.element_at("e", -1)["event"], F.element_at("e", -1)["event"].contains(channel.FAILED)
+    text = F.array_join(F.transform(F.filter("e", lambda x: x["type"] == "token"), lambda x: x["text"]), "")
+    in_order = F.transform("e", lambda x: x["n"]) == F.sequence(F.lit(0).cast("long"), F.size("e").cast("long") - 1)
+    one = one.select(F.col("request_id").cast("long").alias("query_id"), F.when(~failed, F.md5(text)).alias("text"), ending.alias("ending"), in_order.alias("in_order"))
+    return one.join(said.select("query_id", "status"), "query_id")
+
+
 @query
 def ask_without_threshold(spark, d):
     """No least score: nothing is refused."""
