@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+#: Mean of an hour's values above which the generated alerts fire.
+HIGH_MEAN = 20
+
 
 @dataclass(frozen=True)
 class Settings:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.functions import text as T
 from quern.operators import ops
+from quern.plans.config import HIGH_MEAN
 from quern.streaming import channel
 from quern.plans.oracle import _EMAIL, _EVAL, _KNN, _LAT, _LOG, _MEANS, _OWN, _UNIT, _cards, _uuid
 
@@ -95,6 +96,24 @@ SELECT query_id, status, true AS in_order, CASE WHEN NOT failed THEN md5(text) E
        CASE WHEN failed THEN '{{"type": "error", "message": "{channel.FAILED}"}}' WHEN silent THEN '{{"type": "error", "message": "{channel.TIMED_OUT}"}}'
             ELSE '{{"type": "done", "sources": ' || CASE WHEN status = 'answered' THEN shown ELSE '[]' END || ', "pii_redacted": [' || array_to_string(list_transform(found, lambda x: '"' || x || '"'), ', ') || ']}}' END AS ending
 FROM ends""",
+        # changes are hours apart, so each is told ten seconds later and none waits for an interval
+        "alert_notifications": f"""WITH seen AS (
+  SELECT event_type AS alertname, (user_id % 4)::VARCHAR AS instance, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) > {HIGH_MEAN} AS firing FROM events GROUP BY 1, 2, 3),
+hours AS (SELECT DISTINCT alertname, ts FROM seen),
+held AS (
+  SELECT h.alertname, h.ts, s.instance, arg_max(s.firing, s.ts) AS firing FROM hours h JOIN seen s ON s.alertname = h.alertname AND s.ts <= h.ts GROUP BY h.alertname, h.ts, s.instance),
+sets AS (SELECT alertname, ts, coalesce(list(instance ORDER BY instance) FILTER (firing), []) AS f FROM held GROUP BY alertname, ts),
+steps AS (SELECT *, coalesce(lag(f) OVER (PARTITION BY alertname ORDER BY ts), []) AS before FROM sets),
+changed AS (SELECT *, lead(ts) OVER (PARTITION BY alertname ORDER BY ts) AS upto FROM steps WHERE f <> before),
+ends AS (SELECT max(ts) + INTERVAL 1 HOUR AS last FROM seen),
+told AS (
+  SELECT alertname, ts + INTERVAL 10 SECOND AS told_at, f AS firing, list_sort(list_filter(before, lambda x: NOT list_contains(f, x))) AS resolved FROM changed
+  UNION ALL
+  SELECT alertname, unnest(generate_series(ts + INTERVAL 10 SECOND + w, coalesce(upto, last) + INTERVAL 9 SECOND, w)), f, []
+  FROM (SELECT *, CASE WHEN alertname = 'error' THEN INTERVAL 1 HOUR ELSE INTERVAL 4 HOUR END AS w FROM changed, ends) WHERE len(f) > 0)
+SELECT CASE WHEN alertname = 'error' THEN 'critical' ELSE 'default' END AS route, alertname, told_at, CASE WHEN len(firing) > 0 THEN 'firing' ELSE 'resolved' END AS status,
+       array_to_string(firing, ',') AS firing, array_to_string(resolved, ',') AS resolved
+FROM told, ends WHERE told_at <= last""",
         "ask_without_threshold": f"WITH {_said('-2')} SELECT status, count(*) AS n FROM told GROUP BY status",
         "answer_events": f"""WITH {_said('0.3')},
 listed AS (SELECT *, CASE WHEN sources = '' THEN '[]' ELSE '["' || replace(sources, '|', '","') || '"]' END AS shown FROM told)

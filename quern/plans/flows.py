@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from quern.functions import stats, text as T, vector as V
 from quern.operators import drift, evaluation, index, ops, parsing, profile, retrieval
 from quern.plans import queries as Q
-from quern.plans.config import settings
+from quern.plans.config import HIGH_MEAN, settings
 from quern.plans.queries import _r, t
 from quern.sources import readers, reports, sinks
-from quern.streaming import channel, rates
+from quern.streaming import alerting, channel, rates
 from quern.streaming.running import run_to_end
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,36 @@ def ask_stream(spark, d):
     return one.join(said.select("query_id", "status"), "query_id")
 
 
+
+def _alert_changes(spark, d) -> DataFrame:
+    """An alert a type of event and part of the users, seen hourly: it fires while the mean is high."""
+    hour = F.date_trunc("hour", "ts")
+    seen = t(spark, d, "events").groupBy(F.col("event_type").alias("alertname"), (F.col("user_id") % 4).cast("string").alias("instance"), hour.alias("ts")).agg(F.avg("value").alias("mean"))
+    severity = F.when(F.col("alertname") == "error", "critical").otherwise("warning")
+    return seen.filter("alertname IS NOT NULL AND instance IS NOT NULL AND ts IS NOT NULL").select("alertname", severity.alias("severity"), "instance", F.when(F.col("mean") > HIGH_MEAN, "firing").otherwise("resolved").alias("status"), "ts")
+
+
+@query
+def alert_notifications(spark, d):
+    """Alerts as a stream in six micro-batches of hours, and a last row that tells the time."""
+    at = readers.scratch(spark, "alerts")
+    changes = _alert_changes(spark, d)
+    changes.write.parquet(f"{at}/changes")
+    changes = spark.read.parquet(f"{at}/changes")
+    lo, hi = changes.agg(F.min("ts"), F.max("ts")).first()
+    if lo is not None:
+        part = F.floor((F.unix_timestamp("ts") - int(lo.timestamp())) * 6 / (int(hi.timestamp()) - int(lo.timestamp()) + 3600))
+        changes.select(*changes.columns, part.cast("int").alias("part")).write.partitionBy("part").parquet(f"{at}/arriving")
+        arriving = spark.read.parquet(f"{at}/arriving")
+        clock = changes.agg(F.max("ts").alias("ts")).select(F.lit("").alias("alertname"), F.lit("").alias("severity"), F.lit(None).cast("string").alias("instance"), F.lit("").alias("status"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+        for slice_ in [*(arriving.filter(F.col("part") == k).drop("part") for k in range(6)), clock]:
+            slice_.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    else:
+        changes.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    out = run_to_end(alerting.notifications(stream), f"{at}/told", schema=alerting.NOTIFICATION)
+    return out.select("route", "alertname", "told_at", "status", F.array_join("firing", ",").alias("firing"), F.array_join("resolved", ",").alias("resolved"))
+
 @query
 def ask_without_threshold(spark, d):
     """No least score: nothing is refused."""
