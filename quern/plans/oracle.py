@@ -318,7 +318,7 @@ SELECT *, round(CASE WHEN requests > 0 THEN failures / requests END, 6) AS failu
         "drift_gauges": f"""WITH o AS ({out["off_corpus_share"]}), {_UNIT}, n AS (SELECT w, count(*) AS n FROM windows GROUP BY w)
 SELECT "window", 'off_corpus_share' AS gauge, off_corpus_share AS value FROM o UNION ALL SELECT "window", 'off_corpus_limit', round(low_similarity_limit / n, 6) FROM o JOIN n ON o."window" = n.w""",
     }
-    out["knn_top8_arrow"] = out["knn_top8"]
+    out["knn_top8_arrow"] = out["knn_bounded_top8"] = out["knn_top8"]
     from quern.plans.flow_sql import flow_sql
 
     return out | flow_sql(out)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import pii, stats, text as T, vector as V
-from quern.operators import chunking, documents, drift, evaluation, index, ops, parsing, profile, retrieval
+from quern.operators import cells, chunking, documents, drift, evaluation, index, ops, parsing, profile, retrieval
 from quern.sources.readers import scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,14 @@ def knn_top8_arrow(spark, d):
     return found.withColumn("rank", rank).filter(F.col("rank") <= index.TOP_K_RAW).withColumn("score", _r(F.col("score")))
 
 
+@query
+def knn_bounded_top8(spark, d):
+    """The same search by cells: only pairs that the triangle inequality cannot rule out."""
+    found = cells.knn_bounded(_questions(spark, d), cells.build(_points(spark, d)), index.TOP_K_RAW + 1).filter("point_id != query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.drop("scored").withColumn("rank", rank).filter(F.col("rank") <= index.TOP_K_RAW).withColumn("score", _r(F.col("score")))
+
+
 @query
 def knn_distinct_top3(spark, d):
     hits = _knn(spark, d).withColumn("lane", F.lit(0)).join(_points(spark, d).select("point_id", "label"), "point_id")
