@@ -192,7 +192,8 @@ def proofs(leaves: DataFrame, depth: int = BLOCK_LEVELS, top: int = TOP) -> Data
     the root.  A block spans `depth` levels.  Up to `top` groups have their roots joined on
     the driver; more of them are the leaves of one more tree, built in the same way.
     """
-    tiers, single = [saved(numbered(leaves), "leaves")], []
+    # hashed once: ranges are drawn from a sample, which would hash every row again
+    tiers, single = [saved(numbered(saved(leaves, "hashed")), "leaves")], []
     while True:
         roots = saved(block_roots(tiers[-1], depth), "blocks")
         single.append(roots.filter(F.col("n") <= FANOUT**depth))
