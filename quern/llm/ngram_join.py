@@ -148,6 +148,18 @@ def repeat_places(grams: np.ndarray, ranges: int, n_bits: int) -> tuple[np.ndarr
     return at, at * (n_bits // ranges) + (low.astype(np.uint64) * np.uint64(_STEP) >> np.uint64(24)).astype(np.int64) % (n_bits // ranges)
 
 
+def sorted_twice(grams: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range and upper half of the hashes, in order, each at most twice: that is as good as
+    all of them for finding what comes more than once."""
+    at = (grams % np.uint64(ranges)).astype(np.int64)
+    low = (grams >> np.uint64(32)).astype("<u4")
+    order = np.lexsort((low, at))
+    at, low = at[order], low[order]
+    keep = np.ones(len(at), dtype=bool)
+    keep[2:] = (at[2:] != at[:-2]) | (low[2:] != low[:-2])
+    return at[keep], low[keep]
+
+
 def first_of_rows(rows: DataFrame) -> DataFrame:
     """key, first and least (the least mark and id of the documents that have the row) and
     held (how many have it)."""
@@ -179,7 +191,8 @@ def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, firsts: np
     """Bits of the n-grams that two different rows hold, and the number of ranges.
 
     Tasks send the upper half of every hash, in sorted runs by range; a range finds what
-    comes twice.  A bit set by chance, or a copy that is sent too, only makes an n-gram look
+    comes twice.  A task sends none more than twice in FLUSH_GRAMS hashes, so an n-gram that a
+    third of all rows hold is a few entries of its range.  A bit set by chance, or a copy that is sent too, only makes an n-gram look
     more common than it is.  What copy_marks() makes certain to be copies is left out, so
     every row is sent at least once.
     """
@@ -190,11 +203,7 @@ def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, firsts: np
         n_bits *= 2
 
     def runs(parts: list[np.ndarray]) -> pd.DataFrame:
-        grams = np.concatenate(parts)
-        at = (grams % np.uint64(ranges)).astype(np.int64)
-        low = (grams >> np.uint64(32)).astype("<u4")
-        order = np.lexsort((low, at))
-        at, low = at[order], low[order]
+        at, low = sorted_twice(np.concatenate(parts), ranges)
         edges = np.flatnonzero(np.diff(at, prepend=-1))
         ends = np.append(edges[1:], len(at))
         return pd.DataFrame({"range": at[edges], "lows": [low[i:j].tobytes() for i, j in zip(edges, ends, strict=True)]})

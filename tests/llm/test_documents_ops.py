@@ -226,6 +226,21 @@ def test_ngram_join_of_ten_thousand_documents(spark, monkeypatch):
     assert all(r.component_id == min(str(i) for i in groups[r.group_key]) and r.n_shingles == len(sets[int(r.doc_id)]) for r in got)
 
 
+def test_a_line_of_many_rows_is_few_entries_of_its_range():
+    rng = np.random.default_rng(6)
+    line = rng.integers(1, 1 << 62, 8, dtype=np.uint64)
+    grams = [np.unique(np.concatenate([line, rng.integers(1, 1 << 62, 20, dtype=np.uint64)])) for _ in range(50_000)]
+    whole = np.concatenate(grams)
+    at, low = ngram_join.sorted_twice(whole, 16)
+    load = np.bincount(at, minlength=16)
+    assert load.max() < 2 * load.mean()
+    # what comes twice is the same as among all of them
+    every = np.unique(whole[np.isin(whole, line)])
+    pairs = {(a, v) for a, v, n in zip(*(x.tolist() for x in np.unique(np.stack([at, low.astype(np.int64)]), axis=1, return_counts=True)[0]), np.unique(np.stack([at, low.astype(np.int64)]), axis=1, return_counts=True)[1].tolist(), strict=True) if n == 2}
+    assert {(int(g % np.uint64(16)), int(g >> np.uint64(32))) for g in every} <= pairs
+    assert len(at) == 50_000 * 20 + 2 * 8
+
+
 def test_ngram_join_of_no_rows(spark):
     assert ngram_join.near_components(empty(spark)).count() == 0
 
