@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quern.functions import pii
 from quern.functions import text as T
 from quern.functions.vector import cosine
 from quern.operators.index import TOP_K_RAW, knn_arrow
+from quern.operators.metrics import observed, request_metrics
 from quern.sources.readers import scratch
 
 #: Contexts kept; best score below which a question is refused.
@@ -106,7 +107,7 @@ def answers(questions: DataFrame, hits: DataFrame, generated: DataFrame, min_sco
 
 
 def prepare(questions: DataFrame, points: DataFrame, min_score: float | None = MIN_SCORE, primary: str = T.PRIMARY_DOC) -> DataFrame:
-    """query_id, status, prompt, sources, canned and asked_entities: all that stands before an answer is generated.
+    """query_id, status, prompt, sources, canned, asked_entities and best_score: all that stands before an answer is generated.
 
     questions: query_id, question, query_vector.  Blank questions are invalid.  Personal data
     is taken out of questions before anything reads them.  Questions without a context and
@@ -124,24 +125,28 @@ def prepare(questions: DataFrame, points: DataFrame, min_score: float | None = M
     status = F.when(F.col("best_score").isNull(), "no_context").when(F.col("refused"), "refused").otherwise("answered")
     none, told = F.array().cast("array<string>"), F.col("status") == "answered"
     canned = F.when(F.col("status") == "no_context", F.lit(NO_CONTEXT)).when(F.col("status") == "refused", T.refusal_text(F.col("lang")))
-    row = row.withColumn("status", status).select("query_id", "status", F.when(told, F.col("prompt")).alias("prompt"), F.when(told, F.col("sources")).otherwise(none).alias("sources"), canned.alias("canned"), "asked_entities")
+    row = row.withColumn("status", status).select("query_id", "status", F.when(told, F.col("prompt")).alias("prompt"), F.when(told, F.col("sources")).otherwise(none).alias("sources"), canned.alias("canned"), "asked_entities", "best_score")
     text = lambda: F.lit(None).cast("string")
-    return row.unionByName(questions.filter(blank).select("query_id", F.lit("invalid").alias("status"), text().alias("prompt"), none.alias("sources"), text().alias("canned"), none.alias("asked_entities")))
+    return row.unionByName(questions.filter(blank).select("query_id", F.lit("invalid").alias("status"), text().alias("prompt"), none.alias("sources"), text().alias("canned"), none.alias("asked_entities"), F.lit(None).cast("double").alias("best_score")))
 
 
-def ask(questions: DataFrame, points: DataFrame, generate: Callable[[DataFrame], DataFrame], min_score: float | None = MIN_SCORE, primary: str = T.PRIMARY_DOC) -> DataFrame:
+def ask(questions: DataFrame, points: DataFrame, generate: Callable[[DataFrame], DataFrame], min_score: float | None = MIN_SCORE, primary: str = T.PRIMARY_DOC, counts: Observation | str | None = None, service: str = "batch") -> DataFrame:
     """query_id, status, answer, sources, entities of a batch of questions.
 
     questions: query_id, question, query_vector; see prepare().  Personal data is taken out of
     answers before anyone reads them; entities are those of the answer.  generate() turns
-    query_id, prompt and sources of the answered questions into (query_id, answer).
+    query_id, prompt and sources of the answered questions into (query_id, answer).  With
+    `counts`, request_metrics() of the service are observed under it as the answers are read.
     """
     ready = prepare(questions, points, min_score, primary)
     generated = generate(ready.filter("status = 'answered'").select("query_id", "prompt", "sources")).select("query_id", F.col("answer").alias("__a"))
     said = ready.join(generated, "query_id", "left").withColumn("__a", F.when(F.col("status") == "answered", T.without_thinking(F.col("__a"))).otherwise(F.col("canned")))
     said = said.withColumn("__f", pii.spans(F.col("__a")))
     entities = F.when(F.col("status") == "invalid", F.array().cast("array<string>")).otherwise(pii.entities(F.col("__f")))
-    return said.select("query_id", "status", pii.redact(F.col("__a"), F.col("__f")).alias("answer"), "sources", entities.alias("entities"))
+    said = said.withColumn("entities", entities)
+    if counts is not None:
+        said = observed(said, counts, request_metrics(service, F.col("status"), F.col("asked_entities"), F.col("entities"), F.col("best_score")))
+    return said.select("query_id", "status", pii.redact(F.col("__a"), F.col("__f")).alias("answer"), "sources", "entities")
 
 
 def answer_events(said: DataFrame) -> DataFrame:

@@ -96,6 +96,24 @@ SELECT query_id, status, true AS in_order, CASE WHEN NOT failed THEN md5(text) E
        CASE WHEN failed THEN '{{"type": "error", "message": "{channel.FAILED}"}}' WHEN silent THEN '{{"type": "error", "message": "{channel.TIMED_OUT}"}}'
             ELSE '{{"type": "done", "sources": ' || CASE WHEN status = 'answered' THEN shown ELSE '[]' END || ', "pii_redacted": [' || array_to_string(list_transform(found, lambda x: '"' || x || '"'), ', ') || ']}}' END AS ending
 FROM ends""",
+        "request_counters": f"""WITH {_said("0.3")},
+best_ AS (SELECT b.best FROM best b JOIN said s USING (query_id) WHERE s.status <> 'invalid'),
+samples AS (
+  SELECT 'rag_requests_total' AS metric, 'batch|' || CASE status WHEN 'answered' THEN 'ok' WHEN 'invalid' THEN 'error' ELSE status END || '|-|-|-|-' AS labels, count(*)::DOUBLE AS value FROM said GROUP BY status
+  UNION ALL SELECT 'rag_pii_redactions_total', 'batch|-|question|EMAIL|-|-', count(*) FROM asked WHERE regexp_matches({_OWN.format("question")}, '{_EMAIL}')
+  UNION ALL SELECT 'rag_pii_redactions_total', 'batch|-|answer|EMAIL|-|-', count(*) FROM said WHERE status = 'answered'
+  UNION ALL SELECT 'rag_retrieval_top_score_bucket', 'batch|-|-|-|-|' || b::DOUBLE::VARCHAR, count(CASE WHEN best <= b THEN 1 END) FROM best_, (SELECT unnest([{_SCORES}]) AS b) GROUP BY b
+  UNION ALL SELECT 'rag_retrieval_top_score_bucket', 'batch|-|-|-|-|+Inf', count(*) FROM best_
+  UNION ALL SELECT 'rag_retrieval_top_score_sum', 'batch|-|-|-|-|-', round(sum(best), 4) FROM best_
+  UNION ALL SELECT 'rag_retrieval_top_score_count', 'batch|-|-|-|-|-', count(*) FROM best_)
+SELECT * FROM samples WHERE value <> 0""",
+        "stream_counters": f"""WITH samples AS (
+  SELECT 'rag_requests_total' AS metric, 'events|' || CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'refused' ELSE 'ok' END || '|-|-|-|-' AS labels, count(*)::DOUBLE AS value FROM events GROUP BY ALL
+  UNION ALL SELECT 'rag_request_latency_seconds_bucket', 'events|-|-|-|total|' || b::DOUBLE::VARCHAR, count(CASE WHEN value <= b THEN 1 END) FROM events, (SELECT unnest([{", ".join(f"{float(b)!r}::DOUBLE" for b in ops.LATENCY_BOUNDS)}]) AS b) GROUP BY b
+  UNION ALL SELECT 'rag_request_latency_seconds_bucket', 'events|-|-|-|total|+Inf', count(value) FROM events
+  UNION ALL SELECT 'rag_request_latency_seconds_sum', 'events|-|-|-|total|-', round(sum(value), 4) FROM events
+  UNION ALL SELECT 'rag_request_latency_seconds_count', 'events|-|-|-|total|-', count(value) FROM events)
+SELECT * FROM samples WHERE value <> 0""",
         # changes are hours apart, so each is told ten seconds later and none waits for an interval
         "alert_notifications": f"""WITH seen AS (
   SELECT event_type AS alertname, (user_id % 4)::VARCHAR AS instance, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) > {HIGH_MEAN} AS firing FROM events GROUP BY 1, 2, 3),

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import stats, text as T, vector as V
-from quern.operators import drift, evaluation, index, ops, parsing, profile, retrieval
+from quern.operators import drift, evaluation, index, metrics, ops, parsing, profile, retrieval
 from quern.plans import queries as Q
 from quern.plans.config import HIGH_MEAN, settings
 from quern.plans.queries import _r, t
@@ -175,6 +175,46 @@ def alert_notifications(spark, d):
     out = run_to_end(alerting.notifications(stream), f"{at}/told", schema=alerting.NOTIFICATION)
     return out.select("route", "alertname", "told_at", "status", F.array_join("firing", ",").alias("firing"), F.array_join("resolved", ",").alias("resolved"))
 
+
+def _scraped(spark, path: str, counters: DataFrame) -> DataFrame:
+    """Counters written as a text exposition and read from it as a scrape reads them."""
+    metrics.write_exposition(counters, path)
+    label = lambda k: F.coalesce(F.try_element_at("labels", F.lit(k)), F.lit("-"))
+    one = readers.metric_samples(spark, path)
+    return one.select("metric", F.concat_ws("|", *(label(k) for k in ("service", "status", "where", "entity", "stage", "le"))).alias("labels"), _r(F.col("value"), 4).alias("value")).filter("value <> 0")
+
+
+@query
+def request_counters(spark, d):
+    """Counters of a batch of questions, observed while its answers are written."""
+    at = readers.scratch(spark, "counters")
+    seen = Observation("requests")
+    retrieval.ask(_asked(spark, d), _index(spark, d), _told, 0.3, counts=seen).write.parquet(f"{at}/answers")
+    metrics.add(spark, seen.get, f"{at}/table", "batch")
+    metrics.add(spark, seen.get, f"{at}/table", "batch")  # a batch told twice counts once
+    return _scraped(spark, f"{at}/metrics", metrics.totals(spark, f"{at}/table"))
+
+
+@query
+def stream_counters(spark, d):
+    """Events as requests in five micro-batches, whose counts a listener adds up."""
+    at = readers.scratch(spark, "listened")
+    e = t(spark, d, "events")
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "refused").otherwise("ok")
+    rows = e.select(status.alias("status"), F.col("value").alias("seconds"), F.floor(F.col("event_id") % 5).alias("slice"))
+    rows.write.partitionBy("slice").parquet(f"{at}/arriving")
+    for k in range(5):
+        spark.read.parquet(f"{at}/arriving").filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema("status string, seconds double").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    listener = metrics.CounterListener(spark, "listened", f"{at}/table")
+    spark.streams.addListener(listener)
+    try:
+        run_to_end(metrics.observed(stream, "listened", metrics.request_metrics("events", F.col("status"), seconds=F.col("seconds"))), f"{at}/run", schema="status string, seconds double")
+        listener.ended.wait(120)
+    finally:
+        spark.streams.removeListener(listener)
+    return _scraped(spark, f"{at}/metrics", metrics.totals(spark, f"{at}/table"))
+
 @query
 def ask_without_threshold(spark, d):
     """No least score: nothing is refused."""
