@@ -6,7 +6,7 @@ from quern.functions import text as T
 from quern.operators import ops
 from quern.plans.config import HIGH_MEAN
 from quern.streaming import channel
-from quern.plans.oracle import _EMAIL, _EVAL, _KNN, _LAT, _LOG, _MEANS, _OWN, _UNIT, _cards, _uuid
+from quern.plans.oracle import _CHUNKS, _EMAIL, _EVAL, _KNN, _LAT, _LOG, _MEANS, _OWN, _S, _UNIT, _cards, _uuid
 
 _POINTS = f"""raw_points AS (
   SELECT vec_id, embedding::DOUBLE[] AS v, (vec_id // 2)::VARCHAR AS chunk, CASE WHEN vec_id % 2 = 0 THEN 'en' ELSE 'ar' END AS lang,
@@ -24,6 +24,7 @@ _SPOKEN = """asked AS (
          CASE WHEN c.query_id % 4 = 1 THEN 'Mail ann.b@law.org or pay from 4111 1111 1111 1111 now. ' ELSE '' END || c.said AS whole
   FROM (SELECT conv_id AS query_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS said, arg_min(text, turn) FILTER (role = 'user') AS first FROM conversations GROUP BY conv_id) c
   JOIN embeddings e ON e.vec_id = c.query_id)"""
+_HASHED = "list_transform(range(16), lambda i: ('0x' || substr(md5(i || '|' || {0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5)"
 _HITS = f"""{_POINTS}, {_ASKED},
 pairs AS (SELECT a.query_id, a.question, a.number, a.qlang, p.*, list_cosine_similarity(a.q, p.v) AS score FROM asked a CROSS JOIN points p),
 lanes AS (
@@ -114,6 +115,11 @@ SELECT * FROM samples WHERE value <> 0""",
   UNION ALL SELECT 'rag_request_latency_seconds_sum', 'events|-|-|-|total|-', round(sum(value), 4) FROM events
   UNION ALL SELECT 'rag_request_latency_seconds_count', 'events|-|-|-|total|-', count(value) FROM events)
 SELECT * FROM samples WHERE value <> 0""",
+        "embedded_index_knn": f"""WITH {_CHUNKS}, jobs AS (SELECT chunk_id, 'ar' AS lang, ar AS text FROM pieces UNION ALL SELECT chunk_id, 'en', en FROM pieces),
+points AS (SELECT chunk_id, lang, {_uuid("(chunk_id || '-' || lang)")} AS point_id, {_HASHED.format("text")} AS v FROM jobs WHERE {_S("text")} <> ''),
+asked AS (SELECT doc_id AS query_id, {_HASHED.format("('Is Article ' || doc_id || ' in force?')")} AS q FROM documents WHERE doc_id % 50 = 0),
+ranked AS (SELECT query_id, chunk_id, lang, list_cosine_similarity(q, v) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q, v) DESC, point_id) AS rank FROM asked CROSS JOIN points)
+SELECT query_id, rank::INTEGER AS rank, chunk_id, lang, round(score, 6) AS score FROM ranked WHERE rank <= 3""",
         # changes are hours apart, so each is told ten seconds later and none waits for an interval
         "alert_notifications": f"""WITH seen AS (
   SELECT event_type AS alertname, (user_id % 4)::VARCHAR AS instance, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) > {HIGH_MEAN} AS firing FROM events GROUP BY 1, 2, 3),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import stats, text as T, vector as V
-from quern.operators import drift, evaluation, index, metrics, ops, parsing, profile, retrieval
+from quern.operators import drift, embedding, evaluation, index, metrics, ops, parsing, profile, retrieval
 from quern.plans import queries as Q
 from quern.plans.config import HIGH_MEAN, settings
 from quern.plans.queries import _r, t
@@ -267,6 +267,18 @@ def bucket_sample(spark, d):
     return evaluation.bucket_sample(rows, "doc_id", 20, rows.filter("doc_id % 97 = 0"), seed=3)
 
 
+@query
+def embedded_index_knn(spark, d):
+    """Chunks to points whose vectors a model gives, written as an index, and questions (of the
+    same model) asked of it."""
+    at = readers.scratch(spark, "embedded")
+    embed = embedding.embedder(embedding.hash_model(16))
+    points = index.create(embedding.embedded_points(Q._chunks(spark, d), F.lit(T.PRIMARY_DOC), embed), at)
+    asked = t(spark, d, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("Is Article "), F.col("doc_id").cast("string"), F.lit(" in force?")).alias("question"))
+    found = index.knn_arrow(asked.withColumn("query_vector", embed(F.col("question"))), points, 3)
+    return found.join(points.select("point_id", "chunk_id", "lang"), "point_id").select("query_id", "rank", "chunk_id", "lang", _r(F.col("score")).alias("score"))
+
+
 @query
 def hash_embeddings(spark, d):
     """The embedder that stands in for a model: a component and the norm of each text's vector."""
