@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,9 @@ RERANK = 300
 #: Queries (of least id hash) whose true neighbours are sought to see how many candidates it
 #: takes, and the share of these neighbours that must be among the candidates.
 TRIED, SHARE = 64, 0.98
+#: Vectors of one length up to which each query is compared with all of them.
+FEW = 300
+NEAREST = "query_id long, rank int, vec_id long, score double"
 #: Queries and codes in one scored block at most, and blocks of queries at least.
 QUERY_BLOCK, CODE_BLOCK, LEAST_BLOCKS = 4096, 1 << 18, 16
 #: Bytes of query vectors up to which they are broadcast for the rerank.
@@ -207,29 +211,59 @@ def candidates_needed(rows: DataFrame, index: DataFrame, queries: DataFrame, mod
     return int(np.ceil(np.quantile([r.n for r in places], share)))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = RERANK, books: int = BOOKS) -> DataFrame:
+def exactly_nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The answer for vectors whose length few share: every length is a small group by itself."""
+
+    def compared(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            held = held.sort_values("id", kind="stable")
+            ids, unit = held["id"].to_numpy(), _unit(_matrix(held["v"]))
+            for query, q in zip(asked["id"], _unit(_matrix(asked["v"])), strict=True):
+                scores = (unit * q).sum(1)
+                best: dict[int, float] = {}
+                for i in np.argsort(-scores, kind="stable"):
+                    if ids[i] != query and len(best) < k:
+                        best.setdefault(ids[i], scores[i])
+                out += [(query, rank, vec_id, score) for rank, (vec_id, score) in enumerate(best.items(), 1)]
+        return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
+
+    sized = [f.withColumn("d", F.size("v")).groupBy("d") for f in (queries, rows)]
+    return sized[0].cogroup(sized[1]).applyInPandas(compared, NEAREST)
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = RERANK, books: int = BOOKS, few: int = FEW) -> DataFrame:
     """The k nearest rows by cosine found for each row that is_query (a Column) selects.
 
     Returns query_id, rank, vec_id and score, ties to the smaller id; a query is not its own
     candidate, and with at most `rerank` different vectors the answer is exact.  Of more,
-    `rerank` or candidates_needed() are ranked again, whichever is greater.  Null, empty,
-    zero and non-finite vectors, and null ids, take no part.  Rows of one id are each
-    candidates and the id is listed once, with its best score; a query id given twice asks
-    with one of its vectors, the greatest.  Vectors of another length than the commonest
-    (the greatest of equally common ones) take no part.  Equal vectors are coded once;
-    queries meet codes in blocks of bounded size, and only each block's best go on.
+    `rerank` or candidates_needed() are ranked again, whichever is greater; of codes that
+    score equally those of smaller id come first.  Null, empty, zero and non-finite vectors,
+    and null ids, take no part.  Vectors of different lengths are apart: each length is
+    searched by itself, by comparison where at most `few` vectors have it and with codebooks
+    of its own otherwise.  Rows of one id are each candidates and the id is listed once, with
+    its best score; a query id given twice asks with one of its vectors, the greatest.  Equal
+    vectors are coded once; queries meet codes in blocks of bounded size, and only each
+    block's best go on.  An empty table gives no rows; other columns are not used, whatever
+    their names.
     """
     every = usable(vectors, vec_id, embedding)
     every = every.groupBy("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).agg(F.first("v").alias("v"))
     every = saved(every.select("id", "v"), "vectors")
-    common = every.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    every = every.filter(F.size("v") == (common.d if common else 0))
-    queries = every.filter(is_query(F.col("id"))).groupBy("id").agg(F.max("v").alias("v"))
+    queries = every.filter(is_query(F.col("id"))).groupBy("id").agg(F.max(F.struct(F.size("v").alias("d"), "v")).alias("q")).select("id", F.col("q.v").alias("v"))
+    lengths = every.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
+    many = [r.d for r in lengths.filter(F.col("n") > few).orderBy("d").collect()]
+    common = F.size("v").isin(many) if many else F.lit(False)
+    found = [_nearest_of_length(every.filter(F.size("v") == d), queries.filter(F.size("v") == d), d, k, rerank, books) for d in many]
+    if lengths.filter(F.col("n") <= few).limit(1).count():
+        found.append(exactly_nearest(every.filter(~common), queries.filter(~common), k))
+    return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], NEAREST)
+
+
+def _nearest_of_length(every: DataFrame, queries: DataFrame, d: int, k: int, rerank: int, books: int) -> DataFrame:
+    """nearest() of the vectors of one length d."""
     rows = saved(distinct_vectors(every, k + 1), "distinct")
     sample = least_hashed(rows.select("id", "v"), TRAIN_VECTORS, "id").collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return vectors.sparkSession.createDataFrame([], schema)
     x = _unit(np.array([r.v for r in sample], dtype=np.float64)).astype(np.float32)
     model = fit_codebooks(x, books, min(WORDS, max(2, len(x) // 8)))
     index = saved(build_index(rows.select("id", "v"), model), "codes")
@@ -251,7 +285,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
         for query, vector in zip(left["id"], left["v"], strict=True):
             table = model.words @ _unit(np.asarray(vector, dtype=np.float64)[None])[0].astype(np.float32)
             about = _about(table, codes, norm)
-            best = np.argpartition(-about, keep - 1)[:keep]
+            least = np.partition(about, -keep)[-keep]
+            best = np.flatnonzero(about >= least)
+            if len(best) > keep:
+                best = best[np.lexsort((ids[best], -about[best]))[:keep]]
             parts.append(pd.DataFrame({"query_id": query, "id": ids[best], "about": about[best].astype(np.float64)}))
         return pd.concat(parts)
 
@@ -260,7 +297,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     first = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
     near = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rerank).select("query_id", "id")
     asking = queries.withColumnsRenamed({"id": "query_id", "v": "q"})
-    if n_queries * common.d * 8 <= BROADCAST_BYTES:
+    if n_queries * d * 8 <= BROADCAST_BYTES:
         asking = F.broadcast(asking)
     pairs = near.join(rows, "id").join(asking, "query_id")
 

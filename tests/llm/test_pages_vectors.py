@@ -245,6 +245,37 @@ def test_few_vectors_and_none(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 2), (0, 2, 1)]
 
 
+def test_every_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(14)
+    sizes = [8] * 400 + [5] * 360 + [3] * 40 + [1] * 3 + [7]
+    rows = [(i, rng.normal(size=d).tolist()) for i, d in enumerate(sizes)]
+    rng.shuffle(sizes)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(vectors, lambda v: v % 10 == 0, few=100).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = total = 0
+    for q in range(0, len(rows), 10):
+        v = np.array(rows[q][1])
+        cos = sorted(((-(v @ w) / np.linalg.norm(v) / np.linalg.norm(w), i) for i, w in ((i, np.array(w)) for i, w in rows) if i != q and len(w) == len(v)))[:5]
+        mine = sorted(got.get(q, []))
+        assert [m[0] for m in mine] == list(range(1, len(cos) + 1))
+        hit, total = hit + len({m[1] for m in mine} & {i for _, i in cos}), total + len(cos)
+        if len(v) < 5:
+            assert np.allclose([m[2] for m in mine], [-c for c, _ in cos])
+    assert hit / total > 0.97
+
+
+def test_parallel_vectors_find_each_other(spark):
+    """800 parallel vectors have one code: any five of them are a right answer to one of them."""
+    rng = np.random.default_rng(15)
+    x = np.concatenate([np.outer(rng.uniform(1, 9, 800), rng.normal(size=12)), rng.normal(size=(900, 12))])
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(1700), "embedding": [v.tolist() for v in x]}), "vec_id long, embedding array<double>")
+    runs = [sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(vectors.repartition(n), lambda v: v % 50 == 0, rerank=40).filter("score > 1 - 1e-12").collect()) for n in (2, 5)]
+    assert {q for q, *_ in runs[0]} == set(range(0, 800, 50)) and len(runs[0]) == 16 * 5
+    assert [r[:2] for r in runs[0]] == [r[:2] for r in runs[1]]
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_recall_on_the_driver_vectors(spark, sf):
     d = f"/root/testdata/sf{sf}"
