@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.sources.readers import scratch
+from quern.operators import ranges
 
 #: Fixed value: texts longer than this are split into paragraphs.
 THRESHOLD = 700
@@ -23,44 +23,10 @@ def paragraphs(text: Column, marker: str) -> Column:
     return F.transform(F.split(text, f"{flags}\n(?={begins.removeprefix(flags)})", -1), T.strip)
 
 
-def in_ranges(articles: DataFrame, by: list[str], order: str, check: Column, *carried: str) -> DataFrame:
-    """articles as a written table in ranges of (by, order), with same: whether `check` holds
-    against the row before, whose columns are there as before_<name>.
-
-    Rows are compared within their range; what the last row of a range carries over its edge
-    is one row a range.  A document of any length is so spread over all ranges.
-    """
-    spark = articles.sparkSession
-    at = scratch(spark, "ranges")
-    keys = [*by, order]
-    articles.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()).write.parquet(at)
-    rows = spark.read.parquet(at)
-    held = [*keys, *carried]
-    edges = rows.groupBy("part").agg(F.max_by(F.struct(*held), F.struct(*keys)).alias("edge"))
-    edge_of = Window.orderBy("part")
-    edges = edges.select("part", F.lag("edge").over(edge_of).alias("edge"))  # one row a range
-    w = Window.partitionBy("part").orderBy(*keys)
-    before = F.coalesce(F.lag(F.struct(*held)).over(w), F.col("edge"))
-    joined = rows.join(F.broadcast(edges), "part").withColumn("before", before)
-    same_doc = F.lit(True)
-    for c in by:
-        same_doc = same_doc & F.col(c).eqNullSafe(F.col(f"before.{c}"))
-    return joined.withColumn("same", F.coalesce(F.col("before").isNotNull() & same_doc & check, F.lit(False))).drop("edge")
-
-
 def repealed_runs(articles: DataFrame, by: list[str]) -> DataFrame:
-    """Add run (a number) and run_length: consecutive repealed articles of one text.
-
-    A run is numbered by where it begins: the begins in the ranges before its own, and those
-    before it in its range.
-    """
+    """Add run (a number) and run_length: consecutive repealed articles of one text."""
     follows = F.col("is_repealed") & F.col("before.is_repealed") & (F.col("before.text_ar") == F.col("text_ar")) & (F.col("before.article_number") + 1 == F.col("article_number"))
-    marked = in_ranges(articles, by, "article_number", follows, "is_repealed", "text_ar").drop("before")
-    begun = F.when(F.col("same"), 0).otherwise(1)
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = marked.groupBy("part").agg(F.sum(begun).alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begun"))
-    within = Window.partitionBy("part").orderBy(*by, "article_number").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.join(F.broadcast(begins), "part").withColumn("run", F.col("begun") + F.sum(begun).over(within)).drop("begun", "part", "same")
+    numbered = ranges.runs(ranges.compared(articles, by, "article_number", follows, "is_repealed", "text_ar"), by, "article_number")
     lengths = numbered.groupBy("run").agg(F.count("*").alias("run_length"))
     return numbered.join(lengths, "run").select(*articles.columns, "run", "run_length")
 

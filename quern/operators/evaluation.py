@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranges import ranked
+
 from quern.functions.stats import nearest_rank
 from quern.functions.text import is_refusal
 
@@ -91,9 +93,13 @@ def stratified_subset(questions: DataFrame, quotas: dict[tuple[str, str], int],
 
 def bucket_sample(rows: DataFrame, order: str, n: int, forced: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """Forced rows and one of each of n contiguous buckets, that of the least seeded hash."""
-    w = Window.orderBy(order)
-    dealt = rows.withColumn("__b", F.ntile(n).over(w)).withColumn("__h", F.md5(F.concat_ws("|", F.lit(seed), order)))
-    picked = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy("__h", order))).filter("__rn = 1").select(rows.columns)
+    total = rows.count()
+    less, more = total // n, total % n  # the first `more` buckets have one row more
+    long = more * (less + 1)
+    bucket = F.when(F.col("rank") < long, F.floor(F.col("rank") / (less + 1))).otherwise(more + F.floor((F.col("rank") - long) / max(less, 1)))
+    drawn = F.struct(F.md5(F.concat_ws("|", F.lit(seed), order)), order)
+    dealt = ranked(rows, order).withColumn("__b", bucket)
+    picked = dealt.groupBy("__b").agg(F.min_by(F.struct(*rows.columns), drawn).alias("r")).select("r.*")
     return picked if forced is None else picked.unionByName(rows.join(forced.select(order).distinct(), order, "left_semi")).distinct()
 
 

@@ -182,6 +182,13 @@ sided AS (SELECT s.w, trial, id, place <= least(s.n, c - 1) AS inside FROM drawn
 dims AS (SELECT id, unnest(range(len(v))) AS dim, unnest(v) / sqrt(list_dot_product(v, v)) AS x FROM windows),
 means AS (SELECT s.w, trial, dim, avg(x) FILTER (inside) AS a, avg(x) FILTER (NOT inside) AS b FROM sided s JOIN dims USING (id) GROUP BY s.w, trial, dim),
 drifts AS (SELECT w, trial, 1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS drift FROM means GROUP BY w, trial)
+SELECT w AS "window", round(quantile_cont(drift, 0.99), 6) AS threshold FROM drifts GROUP BY w""",
+        "drift_threshold_baseline": f"""WITH {_UNIT}, sizes AS (SELECT 'small' AS w, 3 AS n UNION ALL SELECT 'large', 40), total AS (SELECT count(*) AS c FROM base),
+drawn AS (SELECT trial, id, row_number() OVER (PARTITION BY trial ORDER BY md5(trial || '|' || id), id) AS place FROM base CROSS JOIN (SELECT unnest(range(1000)) AS trial)),
+sided AS (SELECT s.w, trial, id, place <= least(s.n, c - 1) AS inside FROM drawn CROSS JOIN sizes s CROSS JOIN total),
+dims AS (SELECT id, unnest(range(len(v))) AS dim, unnest(v) / sqrt(list_dot_product(v, v)) AS x FROM base),
+means AS (SELECT s.w, trial, dim, avg(x) FILTER (inside) AS a, avg(x) FILTER (NOT inside) AS b FROM sided s JOIN dims USING (id) GROUP BY s.w, trial, dim),
+drifts AS (SELECT w, trial, 1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS drift FROM means GROUP BY w, trial)
 SELECT w AS "window", round(quantile_cont(drift, 0.99), 6) AS threshold FROM drifts GROUP BY w""",
         "cosine_pairs": f"SELECT q.vec_id AS query_id, p.vec_id AS point_id, round({_COS}, 6) AS cosine FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0",
         "digits_normalize": """SELECT conv_id, turn, translate('٠١٢ ۳۴ 7 ' || turn || coalesce(text, ''), '٠١٢٣٤٥٦٧٨٩', '0123456789') AS digits,

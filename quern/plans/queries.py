@@ -197,6 +197,13 @@ def drift_threshold_md5perm(spark, d):
     return out.withColumn("threshold", _r(F.col("threshold")))
 
 
+@query
+def drift_threshold_baseline(spark, d):
+    """The same calibration on the whole baseline."""
+    sizes = spark.createDataFrame([("small", 3), ("large", 40)], "window string, n int")
+    return drift.permuted_threshold(_baseline(spark, d), sizes).withColumn("threshold", _r(F.col("threshold")))
+
+
 @query
 def cosine_pairs(spark, d):
     pairs = _questions(spark, d).join(_points(spark, d), F.col("query_id") != F.col("point_id"))
