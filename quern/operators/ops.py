@@ -53,13 +53,14 @@ def stage_means(samples: DataFrame) -> DataFrame:
     return one.select("stage", F.coalesce("c", F.lit(0.0)).cast("long").alias("count"), F.when(F.col("c") != 0, F.coalesce("s", F.lit(0.0)) / F.col("c")).alias("mean_s"))
 
 
-def load_summary(rows: DataFrame, name: str = "/ask") -> DataFrame:
-    """One run per row of a statistics file: requests, failures, rates, percentiles in s."""
+def load_summary(rows: DataFrame, name: str = "/ask", keep: list[str] | None = None) -> DataFrame:
+    """One run per row of the name (see readers.first_rows()): the columns `keep`, requests,
+    failures, rates, percentiles in s."""
     num = lambda c: F.when(~F.col(c).isin("", "N/A"), F.col(c)).try_cast("double")
     own = rows.filter(F.col("Name") == name)
     n, bad = F.coalesce(num("Request Count"), F.lit(0.0)).cast("long"), F.coalesce(num("Failure Count"), F.lit(0.0)).cast("long")
     sec = lambda c: F.coalesce(num(f"`{c}`"), F.lit(0.0)) / 1000
-    return own.select(n.alias("requests"), bad.alias("failures"), F.when(n > 0, bad / n).alias("failure_rate"), num("Requests/s").alias("rps"), sec("50%").alias("p50_s"), sec("95%").alias("p95_s"), sec("99%").alias("p99_s"), sec("Max Response Time").alias("max_s"))
+    return own.select(*(keep or []), n.alias("requests"), bad.alias("failures"), F.when(n > 0, bad / n).alias("failure_rate"), num("Requests/s").alias("rps"), sec("50%").alias("p50_s"), sec("95%").alias("p95_s"), sec("99%").alias("p99_s"), sec("Max Response Time").alias("max_s"))
 
 
 def counter_increase(samples: DataFrame, by: list[str], ts: str = "ts", value: str = "value") -> DataFrame:

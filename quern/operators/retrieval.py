@@ -81,6 +81,15 @@ def gate(hits: DataFrame, min_score: float | None = MIN_SCORE, primary: str = T.
     return out.withColumn("refused", ~F.col("exempt") & low)
 
 
+def calibration_rows(questions: DataFrame, points: DataFrame, primary: str = T.PRIMARY_DOC) -> DataFrame:
+    """query_id, top_score (four places) and exempt: what threshold_sweep() reads of a question.
+
+    The gate is asked with a threshold that nothing reaches, so whoever it lets pass is exempt.
+    """
+    judged = gate(retrieve(questions, points, primary), float("inf"), primary)
+    return judged.select("query_id", F.bround("best_score", 4).alias("top_score"), (~F.col("refused")).alias("exempt"))
+
+
 def prompts(hits: DataFrame, question: str = "question") -> DataFrame:
     """query_id, contexts in order, sources in order (repeats kept) and the prompt."""
     shown = T.context(F.col("citation"), F.col("text"), F.col("is_repealed"), F.col("article_numbers"), F.col(question))

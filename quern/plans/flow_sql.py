@@ -120,6 +120,12 @@ points AS (SELECT chunk_id, lang, {_uuid("(chunk_id || '-' || lang)")} AS point_
 asked AS (SELECT doc_id AS query_id, {_HASHED.format("('Is Article ' || doc_id || ' in force?')")} AS q FROM documents WHERE doc_id % 50 = 0),
 ranked AS (SELECT query_id, chunk_id, lang, list_cosine_similarity(q, v) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q, v) DESC, point_id) AS rank FROM asked CROSS JOIN points)
 SELECT query_id, rank::INTEGER AS rank, chunk_id, lang, round(score, 6) AS score FROM ranked WHERE rank <= 3""",
+        "read_first_statistics": """WITH first AS (
+  SELECT coalesce(source, 'none') AS run, arg_min(n_chars, doc_id) AS n FROM documents WHERE lang = 'en' GROUP BY 1)
+SELECT run, n::BIGINT AS requests, (CASE WHEN n % 3 = 0 THEN 0 ELSE n % 10 END)::BIGINT AS failures, CASE WHEN n > 0 THEN round((CASE WHEN n % 3 = 0 THEN 0 ELSE n % 10 END) / n, 6) END AS failure_rate, n / 1000.0::DOUBLE AS max_s FROM first""",
+        "read_first_lines": f"WITH {_LOG}, firsts AS (SELECT * FROM log ORDER BY event_id LIMIT 100) SELECT uri, status::INTEGER AS status, count(*) AS n FROM firsts GROUP BY ALL",
+        "read_server_log": "SELECT event_type AS server, max(event_id * 7) FILTER (event_id % 3 = 0) AS tokens FROM events GROUP BY event_type",
+        "calibration_rows": f"WITH {_said('0.3')} SELECT b.query_id, round(b.best, 4) AS top_score, b.exempt FROM best b JOIN said s USING (query_id) WHERE s.status <> 'invalid'",
         # changes are hours apart, so each is told ten seconds later and none waits for an interval
         "alert_notifications": f"""WITH seen AS (
   SELECT event_type AS alertname, (user_id % 4)::VARCHAR AS instance, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) > {HIGH_MEAN} AS firing FROM events GROUP BY 1, 2, 3),

@@ -6,6 +6,7 @@ by a rule, so that SQL can say what must come out.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -388,6 +389,45 @@ def read_statistics(spark, d):
     return ops.load_summary(readers.statistics_csv(spark, path), "/view").withColumn("failure_rate", _r(F.col("failure_rate")))
 
 
+@query
+def read_first_statistics(spark, d):
+    """A statistics file a source, in which names come several times: the first row counts."""
+    path = readers.scratch(spark, "statistics")
+    n = F.col("n_chars")
+    rows = t(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("run"), "doc_id", F.when(F.col("lang") == "en", "/ask").otherwise("/health").alias("Name"), n.alias("Request Count"), F.when(n % 3 == 0, "N/A").otherwise((n % 10).cast("string")).alias("Failure Count"), F.lit("1.5").alias("Requests/s"), *(F.lit("N/A").alias(c) for c in ("50%", "95%", "99%")), n.alias("Max Response Time"))
+    rows.repartitionByRange(4, "run", "doc_id").sortWithinPartitions("run", "doc_id").drop("doc_id").withColumn("file", F.col("run")).write.partitionBy("file").option("header", True).csv(path)
+    read = readers.statistics_csv(spark, path).drop("run").withColumnRenamed("file", "of")
+    first = readers.first_rows(read, ["of", "Name"])
+    return ops.load_summary(first, keep=["of"]).select(F.col("of").cast("string").alias("run"), "requests", "failures", _r(F.col("failure_rate")).alias("failure_rate"), "max_s")
+
+
+@query
+def read_first_lines(spark, d):
+    """The first hundred lines of an access log, in file order."""
+    path = readers.scratch(spark, "log")
+    log = Q._log(spark, d).select(F.to_json(F.struct("uri", "status", "release")).alias("value"), "line_no")
+    log.repartitionByRange(3, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return readers.first_lines(readers.access_log(spark, path), 100).groupBy("uri", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def read_server_log(spark, d):
+    """The last figure that a server's log tells, of one log a type of event."""
+    path = readers.scratch(spark, "server")
+    e = t(spark, d, "events").filter("event_type IS NOT NULL")
+    line = F.concat(F.lit("INFO "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" cache holds "), (F.col("event_id") * 7).cast("string"), F.lit(" tokens"))).otherwise(" idle"))
+    e.select("event_type", line.alias("value"), "event_id").repartition(1).sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
+    kinds = [r[0] for r in e.select("event_type").distinct().collect()]
+    found = [readers.last_match(spark, f"{path}/event_type={k}", r"cache holds (\d+) tokens").select(F.lit(k).alias("server"), F.col("value").cast("long").alias("tokens")) for k in sorted(kinds)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "server string, tokens long")
+
+
+@query
+def calibration_rows(spark, d):
+    fine = _asked(spark, d).filter(F.trim("question") != "")
+    return retrieval.calibration_rows(fine, _index(spark, d))
+
+
 def _exposition(spark, d) -> str:
     """Samples of two services in the text form, with comments and blank lines."""
     path = readers.scratch(spark, "metrics")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Record layouts of the inputs.
@@ -72,13 +72,32 @@ def document_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def access_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; blank ones are skipped, missing fields are null.  line_no follows file order."""
-    return spark.read.schema(ACCESS_LOG).json(path).withColumn("line_no", F.monotonically_increasing_id())
+    """JSON lines; blank ones are skipped, missing fields are null.  line_no follows file order,
+    as pos does for first_lines()."""
+    return spark.read.schema(ACCESS_LOG).json(path).select("*", F.monotonically_increasing_id().alias("line_no"), file_order().alias("pos"))
+
+
+def file_order() -> Column:
+    """The place of a scanned row among all files: path, part of the file, place in it."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def statistics_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Load-test statistics as text columns; the first row of a name counts (see load_summary)."""
-    return spark.read.option("header", True).option("multiLine", True).csv(path)
+    """Load-test statistics as text columns, with the run that the file name tells
+    (<run>_stats.csv) and pos, the place in file order."""
+    read = spark.read.option("header", True).option("multiLine", True).csv(path)
+    run = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"_stats\.csv$", "")
+    return read.select("*", run.alias("run"), file_order().alias("pos"))
+
+
+def first_rows(rows: DataFrame, by: list[str], order: str = "pos") -> DataFrame:
+    """Of the rows that are equal in `by` the first in file order."""
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), order).alias("__r")).select("__r.*")
+
+
+def first_lines(rows: DataFrame, n: int, order: str = "pos") -> DataFrame:
+    """The first n rows in file order; every task sends n at most."""
+    return rows.orderBy(order).limit(n)
 
 
 def stage_samples(spark: SparkSession, path: str) -> DataFrame:
