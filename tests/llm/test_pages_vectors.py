@@ -152,6 +152,30 @@ def test_mining_of_a_long_repeated_url_ends(spark):
     assert got.mined_verdict == "block"
 
 
+def test_items_are_left_out_only_beyond_the_bound():
+    assert url_rules.items_read({8: 1000}, 5, 1 << 20) == 8
+    assert url_rules.items_read({3: 10_000, 20: 4}, 50, 1 << 20) == 20
+    assert url_rules.items_read({60: 20, 40: 20, 3: 400}, 5, 1 << 20) == 16
+    assert url_rules.items_read({}, 5, 1 << 20) == 1
+
+
+def test_weak_items_of_long_urls_make_rules(spark):
+    """Fourteen items, of which two together tell the label and each alone tells next to nothing."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        x, y = rng.random() < 0.5, rng.random() < 0.5
+        noise = [f"n{j}" for j in range(12) if rng.random() < (0.7 if j < 6 or x != y else 0.6)]
+        rows.append((noise + ["x"] * x + ["y"] * y, "block" if x and y else "allow" if x or y else rng.choice(["allow", "block"])))
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), least_support=0.05)
+    assert url_rules.Rule(frozenset([frozenset("x"), frozenset("y")]), "block", 1.0, 0) in [url_rules.Rule(r.sets, r.label, r.confidence, 0) for r in rules]
+
+
+def test_no_pages_are_judged(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_rules.judge_urls(pages, URL_RULES).count() == 0
+
+
 def test_few_labelled_urls_teach_nothing(spark):
     frame = spark.createDataFrame([(["a"], "block")] * 4, "tokens array<string>, verdict string")
     assert url_rules.mine_rules(frame) == [] and url_rules.mine_rules(frame.limit(0)) == []
