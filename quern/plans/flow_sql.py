@@ -126,6 +126,7 @@ SELECT run, n::BIGINT AS requests, (CASE WHEN n % 3 = 0 THEN 0 ELSE n % 10 END):
         "read_first_lines": f"WITH {_LOG}, firsts AS (SELECT * FROM log ORDER BY event_id LIMIT 100) SELECT uri, status::INTEGER AS status, count(*) AS n FROM firsts GROUP BY ALL",
         "read_server_log": "SELECT event_type AS server, max(event_id * 7) FILTER (event_id % 3 = 0) AS tokens FROM events GROUP BY event_type",
         "calibration_rows": f"WITH {_said('0.3')} SELECT b.query_id, round(b.best, 4) AS top_score, b.exempt FROM best b JOIN said s USING (query_id) WHERE s.status <> 'invalid'",
+        "alert_line_log": f"SELECT line FROM ({out['alert_lines']})",
         # changes are hours apart, so each is told ten seconds later and none waits for an interval
         "alert_notifications": f"""WITH seen AS (
   SELECT event_type AS alertname, (user_id % 4)::VARCHAR AS instance, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) > {HIGH_MEAN} AS firing FROM events GROUP BY 1, 2, 3),

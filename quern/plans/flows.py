@@ -17,6 +17,7 @@ from quern.plans import queries as Q
 from quern.plans.config import HIGH_MEAN, settings
 from quern.plans.queries import _r, t
 from quern.sources import readers, reports, sinks
+from quern.sources.line_log import LineLog
 from quern.streaming import alerting, channel, rates
 from quern.streaming.running import run_to_end
 
@@ -575,6 +576,21 @@ def alert_log(spark, d):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+@query
+def alert_line_log(spark, d):
+    """Alert lines streamed into a log in three micro-batches, and all of it run once more as
+    after a crash that lost the progress: every line is there once."""
+    spark.dataSource.register(LineLog)
+    at = readers.scratch(spark, "line-log")
+    lines = Q.alert_lines(spark, d).withColumn("slice", F.pmod("event_id", F.lit(3)))
+    for k in range(3):
+        lines.filter(F.col("slice") == k).select(F.col("line").alias("value")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    for run in ("first", "again"):
+        stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        stream.writeStream.format("line_log").option("path", f"{at}/log").option("stream", "alerts").option("checkpointLocation", f"{at}/{run}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.format("line_log").load(f"{at}/log").select(F.col("value").alias("line"))
+
+
 # --- drift, alerts, dashboards, reports ------------------------------------------------------
 
 
