@@ -38,7 +38,7 @@ TILE_GRAMS, LIST_ROWS = 200_000, 256
 CARRIED = 128
 #: N-grams one range sorts, and those a task holds before it sends them; hubs a
 #: column has in each turn.
-RANGE_GRAMS, FLUSH_GRAMS, HUB_TURNS, MORE_LINKS = 2_000_000, 4_000_000, (1, 16, 64), 1000
+RANGE_GRAMS, FLUSH_GRAMS, HUB_TURNS, MORE_LINKS = 2_000_000, 1_000_000, (1, 16, 64), 1000
 #: Bits that mark repeated n-grams at most (32 MB).
 MOST_BITS = 1 << 28
 _SPACE = np.zeros(256, dtype=bool)
