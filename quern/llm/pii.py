@@ -33,8 +33,9 @@ OTHER_DIGITS = 7
 #: a pattern counts and an identifier is taken; characters on either side within which the
 #: words of a pattern lie whole.
 ROUNDS, LEAST_KNOWN, LEAST_CONFIDENCE, CONTEXT = 3, 4, 0.8, 60
-#: What an unknown identifier that may be of a kind weighs against a pattern of that kind.
-UNKNOWN = 0.25
+#: What an unknown identifier that may be of a kind weighs against a pattern of that kind: less
+#: than 1 / LEAST_CONFIDENCE - 1, so that a pattern counts where half of what it holds is known.
+UNKNOWN = 0.2
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
