@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.stats import nearest_rank
+from quern.operators.rangevec import STEP, instant
 
 #: Histogram bounds, gates of a canary, limits of alerts.
 LATENCY_BOUNDS = [0.1, 0.5, 1, 2.5, 5, 10, 20, 30, 45, 60, 90, 120, 180, 300]
@@ -107,6 +108,15 @@ def down(up: DataFrame) -> DataFrame:
     return up.withColumn("firing", F.col("value").eqNullSafe(F.lit(0.0)))
 
 
+def down_for(up: DataFrame, by: list[str], hold_seconds: int = 60) -> DataFrame:
+    """by, at and firing of the up gauge at every step that sees it: the target has not
+    answered at any step for hold_seconds.  A gauge that has gone stale does not fire."""
+    steps = instant(up, by)
+    gap = F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(Window.partitionBy(*by).orderBy("at"))) > STEP
+    seen = F.sum(F.when(gap, 1).otherwise(0)).over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return held_for(steps.withColumn("__seen", seen), F.col("value").eqNullSafe(F.lit(0.0)), hold_seconds, [*by, "__seen"], "at").drop("__seen")
+
+
 def drift_alert(windows: DataFrame) -> DataFrame:
     """Windows whose share of low-similarity queries reaches their limit's share."""
     return windows.filter(F.col("off_corpus_share").isNotNull() & (F.col("off_corpus_share") >= F.col("low_similarity_limit") / F.col("n_queries")))

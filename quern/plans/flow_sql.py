@@ -127,6 +127,26 @@ SELECT run, n::BIGINT AS requests, (CASE WHEN n % 3 = 0 THEN 0 ELSE n % 10 END):
         "read_server_log": "SELECT event_type AS server, max(event_id * 7) FILTER (event_id % 3 = 0) AS tokens FROM events GROUP BY event_type",
         "calibration_rows": f"WITH {_said('0.3')} SELECT b.query_id, round(b.best, 4) AS top_score, b.exempt FROM best b JOIN said s USING (query_id) WHERE s.status <> 'invalid'",
         "alert_line_log": f"SELECT line FROM ({out['alert_lines']})",
+        "range_rates": """WITH c AS (
+  SELECT event_type, ts, epoch(date_trunc('second', ts))::BIGINT AS s, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) % 500)::DOUBLE AS v FROM events WHERE event_type IS NOT NULL),
+g AS (SELECT *, CASE WHEN v < lag(v) OVER w THEN v ELSE v - lag(v) OVER w END AS grown FROM c WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+seen AS (SELECT event_type, ts, grown, l, unnest(range((ceil(s / 15.0) * 15)::BIGINT, (ceil((s + l) / 15.0) * 15)::BIGINT, 15)) AS at_ FROM g, (SELECT unnest([300, 900, 3600]) AS l)),
+found AS (SELECT event_type, l, at_, count(*) AS n, coalesce(sum(grown), 0) - coalesce(arg_min(coalesce(grown, 0), ts), 0) AS inc FROM seen GROUP BY event_type, l, at_)
+SELECT event_type, l::INTEGER AS lookback, strftime(make_timestamp(at_ * 1000000), '%Y-%m-%d') AS day, count(*) AS steps, sum(inc) AS increase, round(max(inc / l), 6) AS most FROM found WHERE n > 1 GROUP BY ALL""",
+        "score_median_15m": f"""WITH e AS (SELECT event_id, ts, epoch(date_trunc('second', ts))::BIGINT AS s, least(value / 100, 1.0) AS score FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+seen AS (SELECT e.*, unnest(range((ceil(s / 15.0) * 15)::BIGINT, (ceil((s + 900) / 15.0) * 15)::BIGINT, 15)) AS at_ FROM e),
+later AS (SELECT *, row_number() OVER (PARTITION BY at_ ORDER BY ts, event_id) AS i FROM seen),
+cum AS (SELECT at_, le, count(CASE WHEN score <= le THEN 1 END) AS c, max(score) AS m FROM later, (SELECT unnest([{_SCORES}, 'Infinity'::DOUBLE]) AS le) WHERE i > 1 GROUP BY at_, le),
+stepped AS (SELECT *, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(c) OVER w, 0) AS was, max(c) OVER (PARTITION BY at_) AS total FROM cum WINDOW w AS (PARTITION BY at_ ORDER BY le)),
+hit AS (SELECT at_, arg_min(CASE WHEN le = 'Infinity'::DOUBLE THEN lo ELSE lo + (le - lo) * (0.5 * total - was) / nullif(c - was, 0) END, le) AS value FROM stepped WHERE c >= 0.5 * total AND was < 0.5 * total GROUP BY at_)
+SELECT strftime(make_timestamp(at_ * 1000000), '%Y-%m-%d') AS day, count(*) AS steps, round(avg(value), 5) AS median FROM hit WHERE value IS NOT NULL GROUP BY ALL""",
+        "down_alert": """WITH u AS (SELECT user_id % 2 AS target, ts, epoch(date_trunc('second', ts))::BIGINT AS s, event_type <> 'error' AS up FROM events),
+n AS (SELECT *, least(coalesce(lead(s) OVER (PARTITION BY target ORDER BY ts), s + 300), s + 300) AS until FROM u),
+steps AS (SELECT target, up, unnest(range((ceil(s / 15.0) * 15)::BIGINT, (ceil(until / 15.0) * 15)::BIGINT, 15)) AS at_ FROM n WHERE ceil(s / 15.0) * 15 < until),
+marked AS (SELECT *, up OR at_ - lag(at_, 1, at_) OVER w > 15 AS breaks, at_ - lag(at_, 1, at_) OVER w > 15 AS gap FROM steps WINDOW w AS (PARTITION BY target ORDER BY at_)),
+runs AS (SELECT *, sum(breaks::INT) OVER (PARTITION BY target ORDER BY at_) AS run FROM marked),
+since AS (SELECT *, min(CASE WHEN NOT up THEN at_ END) OVER (PARTITION BY target, run ORDER BY at_) AS since FROM runs)
+SELECT target, strftime(make_timestamp(at_ * 1000000), '%Y-%m-%d') AS day, count(*) AS steps, count(CASE WHEN NOT up AND at_ - since >= 60 THEN 1 END) AS firing FROM since GROUP BY ALL""",
         # changes are hours apart, so each is told ten seconds later and none waits for an interval
         "alert_notifications": f"""WITH seen AS (
   SELECT event_type AS alertname, (user_id % 4)::VARCHAR AS instance, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) > {HIGH_MEAN} AS firing FROM events GROUP BY 1, 2, 3),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import stats, text as T, vector as V
-from quern.operators import drift, embedding, evaluation, index, metrics, ops, parsing, profile, retrieval
+from quern.operators import drift, embedding, evaluation, index, metrics, ops, parsing, profile, rangevec, retrieval
 from quern.plans import queries as Q
 from quern.plans.config import HIGH_MEAN, settings
 from quern.plans.queries import _r, t
@@ -591,6 +591,41 @@ def alert_line_log(spark, d):
     return spark.read.format("line_log").load(f"{at}/log").select(F.col("value").alias("line"))
 
 
+def _counters(spark, d) -> DataFrame:
+    """A counter a type of event, one sample an event, that starts anew every 500 events."""
+    e = t(spark, d, "events").filter("event_type IS NOT NULL")
+    n = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    return e.select("event_type", "ts", (n % 500).cast("double").alias("value"))
+
+
+@query
+def range_rates(spark, d):
+    """Growth of counters at every 15 s over 5 and 15 minutes and an hour, summed up by day."""
+    found = [rangevec.increases(_counters(spark, d), ["event_type"], s).withColumn("lookback", F.lit(s)) for s in (300, 900, 3600)]
+    one = reduce(DataFrame.unionByName, found).groupBy("event_type", "lookback", F.date_format("at", "yyyy-MM-dd").alias("day"))
+    return one.agg(F.count("*").alias("steps"), F.sum("increase").alias("increase"), _r(F.max("rate")).alias("most"))
+
+
+@query
+def score_median_15m(spark, d):
+    """Median of the last quarter of an hour's scores at every 15 s, the mean of it by day."""
+    e = t(spark, d, "events").filter("ts IS NOT NULL AND value IS NOT NULL")
+    score, w = F.least(F.col("value") / 100, F.lit(1.0)), Window.partitionBy("le").orderBy("ts", "event_id")
+    bounds = F.array(*(F.lit(float(b)) for b in ops.SCORE_BOUNDS), F.lit(float("inf")))
+    held = e.select("event_id", "ts", score.alias("s"), F.explode(bounds).alias("le"))
+    buckets = held.select("le", "ts", F.sum(F.when(F.col("s") <= F.col("le"), 1.0).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("value"))
+    found = rangevec.quantiles(buckets, 0.5, [], 900)
+    return found.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("steps"), _r(F.avg("value"), 5).alias("median"))
+
+
+@query
+def down_alert(spark, d):
+    """Targets (a type of event a half of the users) that do not answer for a minute, by day."""
+    up = t(spark, d, "events").select((F.col("user_id") % 2).alias("target"), "ts", F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias("value"))
+    found = ops.down_for(up, ["target"])
+    return found.groupBy("target", F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("steps"), F.count_if("firing").alias("firing"))
+
+
 # --- drift, alerts, dashboards, reports ------------------------------------------------------
 
 
