@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from quern.functions.vector import dot, norm
 
 #: Fixed value: hits read before de-duplication.
 TOP_K_RAW = 8
+#: Buckets of an index by point_id.
+BUCKETS = 16
 #: Queries held by one task of the Arrow search; more make more blocks.
 QUERY_BLOCK = 4096
 
@@ -39,6 +42,41 @@ def create(points: DataFrame, path: str, vector: str = "vector") -> DataFrame:
     return back
 
 
+def create_bucketed(points: DataFrame, path: str, buckets: int = BUCKETS, vector: str = "vector") -> DataFrame:
+    """The index as a table of buckets by point_id, with norms.
+
+    Lookups, twins, upserts and deletes meet it by that key, so it is read where it lies and
+    only the other side moves.  The table's name lasts as long as the session; open_bucketed()
+    names the files again in another one.
+    """
+    rows = points.withColumn("norm", norm(F.col(vector)))
+    rows.repartition(buckets, "point_id").write.bucketBy(buckets, "point_id").sortBy("point_id").option("path", path).mode("overwrite").saveAsTable(_table(path))
+    return points.sparkSession.table(_table(path))
+
+
+def open_bucketed(spark: SparkSession, path: str, schema: str, buckets: int = BUCKETS) -> DataFrame:
+    """An index that create_bucketed() wrote at path, maybe in another session."""
+    if not spark.catalog.tableExists(_table(path)):
+        spark.sql(f"CREATE TABLE {_table(path)} ({schema}) USING parquet CLUSTERED BY (point_id) SORTED BY (point_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(_table(path))
+
+
+def _table(path: str) -> str:
+    return "points_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def replace_bucketed(old: DataFrame, new: DataFrame, gone: DataFrame | None, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """A new bucketed index at another path: old with the points of new, and without those
+    whose ids are in gone.  Old points go from bucket to bucket; only new ones are dealt."""
+    ids = new.select("point_id") if gone is None else new.select("point_id").union(gone.select("point_id"))
+    stay = old.join(ids.distinct(), "point_id", "left_anti").select(old.columns)
+    coming = new if "norm" in new.columns else new.withColumn("norm", norm(F.col("vector")))
+    coming = coming if gone is None else coming.join(gone.select("point_id").distinct(), "point_id", "left_anti")
+    whole = stay.unionByName(coming.select(old.columns).repartition(buckets, "point_id"))
+    whole.write.bucketBy(buckets, "point_id").sortBy("point_id").option("path", path).mode("overwrite").saveAsTable(_table(path))
+    return old.sparkSession.table(_table(path))
+
+
 def health(index: DataFrame, release: str) -> DataFrame:
     """One row: the state of a readable index, its number of points and the release that serves it."""
     return index.agg(F.count("*").alias("documents_indexed")).withColumns({"status": F.lit("healthy"), "release": F.lit(release)})

@@ -81,6 +81,8 @@ def flow_sql(out: dict[str, str]) -> dict[str, str]:
     return {
         "retrieve_contexts": f"WITH {_HITS} SELECT query_id, place, lane, point_id, lang, doc AS doc_id, label::VARCHAR AS numbers, round(score, 6) AS score FROM hits",
         "twin_lookup": f"""WITH {_POINTS} SELECT p.point_id AS was, coalesce(t.point_id, p.point_id) AS point_id, coalesce(t.lang, p.lang) AS lang, 'text ' || coalesce(t.vec_id, p.vec_id) AS text, 0.5::DOUBLE AS score
+FROM points p LEFT JOIN points t ON t.chunk = p.chunk AND t.doc = p.doc AND t.lang <> p.lang AND NOT (t.doc = 'other' AND t.lang = 'ar')""",
+        "bucketed_twins": f"""WITH {_POINTS} SELECT p.point_id AS was, coalesce(t.point_id, p.point_id) AS point_id, coalesce(t.lang, p.lang) AS lang, 'text ' || coalesce(t.vec_id, p.vec_id) AS text, 0.5::DOUBLE AS score
 FROM points p LEFT JOIN points t ON t.chunk = p.chunk AND t.doc = p.doc AND t.lang <> p.lang AND NOT (t.doc = 'other' AND t.lang = 'ar')""",
         "ask_batch": f"WITH {_said('0.3')} SELECT * FROM told",
         "ask_stream": f"""WITH {_said("0.3").replace(_ASKED, _SPOKEN)},

@@ -76,6 +76,17 @@ def twin_lookup(spark, d):
     return retrieval.twins(hits, held).select("was", "point_id", "lang", "text", "score")
 
 
+@query
+def bucketed_twins(spark, d):
+    """twin_lookup over an index in buckets, from which one document's copies were deleted and
+    to which every fifth point came anew."""
+    points, at = _index(spark, d), readers.scratch(spark, "buckets")
+    first = index.create_bucketed(points.withColumn("text", F.lit("old")).filter("NOT is_repealed"), f"{at}/first")
+    held = index.replace_bucketed(first, points, points.filter("doc_id = 'other' AND lang = 'ar'"), f"{at}/second")
+    hits = points.withColumns({"question_lang": F.when(F.col("lang") == "en", "ar").otherwise("en"), "score": F.lit(0.5), "was": F.col("point_id")})
+    return retrieval.twins(hits, held).select("was", "point_id", "lang", "text", "score")
+
+
 @query
 def ask_batch(spark, d):
     out = retrieval.ask(_asked(spark, d), _index(spark, d), _told, 0.3)

@@ -48,3 +48,30 @@ def test_empty_sides(spark):
     assert cells.knn_bounded(queries, cells.build(none)).count() == 0
     assert cells.knn_bounded(queries.filter("false"), cells.build(points)).count() == 0
     assert cells.share_scored(cells.knn_bounded(queries.filter("false"), cells.build(points)).withColumn("scored", F.col("scored")), cells.build(points)) == 0
+
+
+def exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_a_bucketed_index_is_not_shuffled(spark, tmp_path):
+    m = np.random.default_rng(2).normal(size=(300, 4))
+    rows = [(f"p{i}", "d", f"c{i // 2}", "en" if i % 2 else "ar", v.tolist()) for i, v in enumerate(m)]
+    points = spark.createDataFrame(rows, "point_id string, doc_id string, chunk_id string, lang string, vector array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        held = index.create_bucketed(points, str(tmp_path / "a"), 4)
+        asked = points.filter("lang = 'ar'").select("point_id")
+        found = index.lookup(held, asked)
+        assert exchanges(found) == 1 and found.count() == 150
+        other = held.select(*(F.col(c).alias(f"x_{c}") for c in ("point_id", "lang")))
+        twins = points.join(other, F.concat(F.col("point_id"), F.lit("")) == F.col("x_point_id"), "left")
+        assert exchanges(twins) == 1
+        new = index.replace_bucketed(held, points.limit(10).withColumn("lang", F.lit("fr")), points.filter("point_id = 'p0' OR point_id = 'p299'"), str(tmp_path / "b"), 4)
+        assert new.count() == 298 and new.filter("lang = 'fr'").count() == 9
+        again = index.open_bucketed(spark.newSession(), str(tmp_path / "b"), "point_id string, doc_id string, chunk_id string, lang string, vector array<double>, norm double", 4)
+        assert again.count() == 298
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
