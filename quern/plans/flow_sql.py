@@ -149,6 +149,16 @@ marked AS (SELECT *, up OR at_ - lag(at_, 1, at_) OVER w > 15 AS breaks, at_ - l
 runs AS (SELECT *, sum(breaks::INT) OVER (PARTITION BY target ORDER BY at_) AS run FROM marked),
 since AS (SELECT *, min(CASE WHEN NOT up THEN at_ END) OVER (PARTITION BY target, run ORDER BY at_) AS since FROM runs)
 SELECT target, strftime(make_timestamp(at_ * 1000000), '%Y-%m-%d') AS day, count(*) AS steps, count(CASE WHEN NOT up AND at_ - since >= 60 THEN 1 END) AS firing FROM since GROUP BY ALL""",
+        "varied_stream_articles": f"""WITH base AS (
+  SELECT doc_id, doc_id::VARCHAR AS doc, (doc_id % 90 + 1)::INTEGER AS n, md5(coalesce(text, '')) AS m, coalesce(n_chars, 0) % 4 + 1 AS c FROM documents WHERE doc_id % 4 <> 1),
+a AS (SELECT *, unnest(range(c)) AS j FROM base),
+told AS (SELECT *, j = 1 AND doc_id % 3 = 0 AS inside FROM a)
+SELECT doc, (n + 2 * j)::INTEGER AS article_number, md5('body ' || j || ' ' || m || CASE WHEN inside THEN chr(10) || 'المواد من ' || {_AR("n + 20")} || ' إلى ' || {_AR("n + 22")} || chr(10) || 'ملغاة' ELSE '' END) AS text,
+       'الكتاب الأول' AS book, ((1 + 2 * j + CASE WHEN j > 1 AND doc_id % 3 = 0 THEN 2 ELSE 0 END) // 5)::INTEGER AS page, CASE WHEN inside THEN n + 20 END AS lo, CASE WHEN inside THEN n + 22 END AS hi, CASE WHEN inside THEN true END AS in_body FROM told""",
+        "settings_of_tables": """SELECT (SELECT count(*) FROM labels)::INTEGER AS threshold, (SELECT count(*) % 2 = 0 FROM labels) AS dedupe, (SELECT min(lang) FROM documents) AS model, 9::INTEGER AS batch_size, (SELECT max(doc_id) % 10 / 10.0::DOUBLE FROM labels) AS min_score,
+       (SELECT arg_min(md5(n_name), n_regionkey * 1000 + n_nationkey) FROM nation WHERE n_name[1] = 'C') AS md5""",
+        "drift_alert_shifted": f"""WITH o AS ({out["off_corpus_share"].replace("AS w, score FROM knn", "AS w, score - CASE WHEN query_id // 50 % 3 = 2 THEN 0.5 ELSE 0 END AS score FROM knn")}), {_UNIT}, n AS (SELECT w, count(*) AS n FROM windows GROUP BY w)
+SELECT "window", off_corpus_share FROM o JOIN n ON o."window" = n.w WHERE low_similarity_queries >= low_similarity_limit""",
         # changes are hours apart, so each is told ten seconds later and none waits for an interval
         "alert_notifications": f"""WITH seen AS (
   SELECT event_type AS alertname, (user_id % 4)::VARCHAR AS instance, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) > {HIGH_MEAN} AS firing FROM events GROUP BY 1, 2, 3),

@@ -333,6 +333,27 @@ def first_stream_articles(spark, d):
     return articles.select("doc", "article_number", "text", "page", "book", "chapter", "section", "topic", "duplicate")
 
 
+@query
+def varied_stream_articles(spark, d):
+    """One to four articles a document as its length says, with gaps between their numbers, no
+    heading in every fourth (so all is front matter) and, in every third, a repeal told over two
+    lines of the second article's body."""
+    n, j = (F.col("doc_id") % 90 + 1).cast("int"), lambda i: (F.col("doc_id") % 90 + 1 + 2 * i).cast("int")
+    held = lambda i: F.lit(i) < F.coalesce(F.col("n_chars"), F.lit(0)) % 4 + 1
+    parts = [F.when(F.col("doc_id") % 4 != 1, F.lit("الكتاب الأول"))]
+    for i in range(4):
+        parts += [F.when(held(i), F.concat(F.lit("مادة "), _arabic(j(i)))), F.when(held(i), F.concat(F.lit(f"body {i} "), F.md5(F.coalesce("text", F.lit("")))))]
+        if i == 1:
+            told = held(1) & (F.col("doc_id") % 3 == 0)
+            parts += [F.when(told, F.concat(F.lit("المواد من "), _arabic(n + 20), F.lit(" إلى "), _arabic(n + 22))), F.when(told, F.lit("ملغاة"))]
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.array_compact(F.array(*parts))).alias("line_no", "text"))
+    lines = docs.withColumns({"line_no": F.col("line_no").cast("long"), "page": F.floor(F.col("line_no") / 5).cast("int")})
+    articles, notices = parsing.first_stream(lines, ["doc"])
+    ranges_ = notices.select(F.col("doc").alias("d2"), F.col("text").alias("t2"), "lo", "hi", F.col("line_no").isNull().alias("in_body"))
+    joined = articles.join(ranges_, (F.col("doc") == F.col("d2")) & (F.col("text") == F.col("t2")), "left")
+    return joined.select("doc", "article_number", F.md5("text").alias("text"), "book", "page", "lo", "hi", "in_body")
+
+
 @query
 def repeal_notices(spark, d):
     _, notices = _first(spark, d)
@@ -503,6 +524,22 @@ def read_settings(spark, d):
     return one.join(readers.lock_md5(lock, "data/corpus.json"), F.lit(True))
 
 
+@query
+def settings_of_tables(spark, d):
+    """A settings file whose values are figures of the tables, and the checksum that a lock
+    file, a stage a region with its nations' names as outputs, has for a path."""
+    path = readers.scratch(spark, "params")
+    figures = t(spark, d, "labels").agg(F.count("*").alias("n"), F.max("doc_id").alias("hi")).join(t(spark, d, "documents").agg(F.min("lang").alias("lang")), F.lit(True))
+    text = F.concat(F.lit("chunking:\n  threshold: "), F.col("n").cast("string"), F.lit("  # labels\n  dedupe_repealed: "), (F.col("n") % 2 == 0).cast("string"), F.lit("\nembedding:\n  embedding_model: '"), F.col("lang"), F.lit("'\n  batch_size: 7\nretrieval:\n  min_score: "), (F.col("hi") % 10 / 10).cast("string"), F.lit("\n"))
+    figures.select(text.alias("value")).coalesce(1).write.text(path)
+    s = settings(readers.params(spark, path), batch_size=9)
+    nations = t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.substring("n_name", 1, 1).alias("path"), F.md5("n_name").alias("md5")))).alias("o"))
+    stage = F.struct(F.col("n_regionkey").cast("string").alias("k"), F.struct(F.transform("o", lambda x: F.struct(x["path"].alias("path"), x["md5"].alias("md5"))).alias("outs")).alias("v"))
+    lock = nations.agg(F.map_from_entries(F.collect_list(stage)).alias("stages"))
+    one = spark.createDataFrame([(s.threshold, s.dedupe_repealed, s.embedding_model, s.batch_size, s.min_score)], "threshold int, dedupe boolean, model string, batch_size int, min_score double")
+    return one.join(readers.lock_md5(lock, "C"), F.lit(True))
+
+
 # --- the index's life, runs, registry -------------------------------------------------------
 
 
@@ -650,6 +687,16 @@ def drift_report(spark, d):
     return _drift(spark, d).select("window", "n_queries", _r(F.col("drift")).alias("drift"), "threshold", "drifted")
 
 
+@query
+def drift_alert_shifted(spark, d):
+    """The alert of windows of which one has lost half a point of every score."""
+    best = Q._knn(spark, d, 1).select("query_id", "score")
+    scores = best.join(Q._windows(spark, d).select(F.col("id").alias("query_id"), "window"), "query_id").withColumn("score", F.col("score") - F.when(F.col("window") == "2", 0.5).otherwise(0.0))
+    n = scores.groupBy("window").agg(F.count("*").alias("n_queries"))
+    report = drift.off_corpus(scores.filter("window = '0'"), scores.select("window", "score"))
+    return ops.drift_alert(report.join(n, "window")).select("window", _r(F.col("off_corpus_share")).alias("off_corpus_share"))
+
+
 @query
 def drift_alert(spark, d):
     n = Q._windows(spark, d).groupBy("window").agg(F.count("*").alias("n_queries"))
