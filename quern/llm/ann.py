@@ -3,8 +3,9 @@
 A vector is coded as a sum of full-dimensional codewords, one of each codebook.  Codebooks
 start as k-means of residuals and are then refitted together by least squares; coding is a
 beam search over partial sums.  The squared norm of a coded vector is stored, so a query
-scores a code by table look-ups alone.  The best codes are ranked again on whole vectors;
-how many is measured, by the places that true neighbours of some queries take among all codes.
+scores a code by table look-ups alone.  Codes lie in coarse cells, and a query looks into the
+cells nearest to it.  The best codes are ranked again on whole vectors.  How many cells and how
+many codes is measured, by where true neighbours of some queries lie among all of them.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ TRIED, SHARE = 64, 0.98
 #: Vectors of one length up to which each query is compared with all of them.
 FEW = 300
 NEAREST = "query_id long, rank int, vec_id long, score double"
-#: Queries and codes in one scored block at most, and blocks of queries at least.
-QUERY_BLOCK, CODE_BLOCK, LEAST_BLOCKS = 4096, 1 << 18, 16
+#: Coarse cells of the codes: a quarter of the root of their number, within these bounds; the
+#: share of true neighbours that must lie in the cells a query visits; codes of a cell that
+#: one task scores.
+LEAST_CELLS, MOST_CELLS, CELL_SHARE, CODE_BLOCK = 8, 1024, 0.99, 1 << 18
 #: Bytes of query vectors up to which they are broadcast for the rerank.
 BROADCAST_BYTES = 32 << 20
 
@@ -125,18 +128,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def build_index(rows: DataFrame, model: Codebooks) -> DataFrame:
-    """Every usable row coded, many to a row: n, ids, codes and the coded vectors' squared
-    norms as packed arrays, so that blocks of codes are a few values."""
+def build_index(rows: DataFrame, model: Codebooks, centres: np.ndarray | None = None) -> DataFrame:
+    """Every usable row coded, many to a row: the cell they lie in, n, ids, codes and the coded
+    vectors' squared norms as packed arrays, so that blocks of codes are a few values."""
+    centres = np.zeros((1, model.words.shape[2])) if centres is None else centres
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                codes = model.encode(_unit(_matrix(batch["v"])))
-                norm = (model.decode(codes) ** 2).sum(1).astype("<f4")
-                yield pd.DataFrame({"n": [len(batch)], "ids": [batch["id"].to_numpy(dtype="<i8").tobytes()], "codes": [codes.tobytes()], "norms": [norm.tobytes()]})
+                unit = _unit(_matrix(batch["v"]))
+                codes, cell = model.encode(unit), cells_of(unit, centres)[:, 0]
+                norm, ids = (model.decode(codes) ** 2).sum(1).astype("<f4"), batch["id"].to_numpy(dtype="<i8")
+                held = [np.flatnonzero(cell == c) for c in np.unique(cell)]
+                yield pd.DataFrame({"cell": np.unique(cell), "n": [len(at) for at in held], **{c: [x[at].tobytes() for at in held] for c, x in (("ids", ids), ("codes", codes), ("norms", norm))}})
 
-    return rows.mapInPandas(coded, "n long, ids binary, codes binary, norms binary")
+    return rows.mapInPandas(coded, "cell int, n long, ids binary, codes binary, norms binary")
+
+
+def cells_of(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Per row all cells, the nearest first."""
+    return np.argsort(-(unit @ centres.T), axis=1, kind="stable")
 
 
 def distinct_vectors(rows: DataFrame, members: int) -> DataFrame:
@@ -167,8 +178,9 @@ def _unpacked(codes: pd.Series, norms: pd.Series) -> tuple[np.ndarray, np.ndarra
     return np.ascontiguousarray(np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(norm), -1).T), norm
 
 
-def candidates_needed(rows: DataFrame, index: DataFrame, queries: DataFrame, model: Codebooks, k: int, tried: int = TRIED, share: float = SHARE) -> int:
-    """How many of a query's best codes hold `share` of the true k nearest, over all rows.
+def candidates_needed(rows: DataFrame, index: DataFrame, queries: DataFrame, model: Codebooks, k: int, tried: int = TRIED, share: float = SHARE, centres: np.ndarray | None = None) -> tuple[int, int]:
+    """How many of a query's best codes hold `share` of the true k nearest, over all rows, and
+    how many of its nearest cells hold CELL_SHARE of them.
 
     True neighbours of at most `tried` queries come from a scan of the vectors, their places
     from a scan of the codes, codes of equal score counted as before them.  Vectors equal to
@@ -190,7 +202,12 @@ def candidates_needed(rows: DataFrame, index: DataFrame, queries: DataFrame, mod
     found = rows.select("id", "v").mapInPandas(truth, "query int, score double, id long, v array<double>")
     near = found.filter("score > -2").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= k).collect()
     if not near:
-        return 0
+        return 0, 1
+    visited = 1
+    if centres is not None:
+        order = cells_of(asked, centres)
+        own = cells_of(_unit(np.array([r.v for r in near], dtype=np.float64)), centres)[:, 0]
+        visited = 1 + int(np.ceil(np.quantile([int(np.flatnonzero(order[r["query"]] == c)[0]) for r, c in zip(near, own, strict=True)], CELL_SHARE)))
     codes = model.encode(_unit(np.array([r.v for r in near], dtype=np.float64)))
     norm = np.sqrt(np.maximum((model.decode(codes) ** 2).sum(1), 1e-12))
     at = np.array([r["query"] for r in near])
@@ -208,7 +225,7 @@ def candidates_needed(rows: DataFrame, index: DataFrame, queries: DataFrame, mod
                 yield pd.DataFrame({"i": np.arange(len(at)), "n": n})
 
     places = index.select("codes", "norms").mapInPandas(before, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    return int(np.ceil(np.quantile([r.n for r in places], share)))
+    return int(np.ceil(np.quantile([r.n for r in places], share))), visited
 
 
 def exactly_nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -243,8 +260,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     searched by itself, by comparison where at most `few` vectors have it and with codebooks
     of its own otherwise.  Rows of one id are each candidates and the id is listed once, with
     its best score; a query id given twice asks with one of its vectors, the greatest.  Equal
-    vectors are coded once; queries meet codes in blocks of bounded size, and only each
-    block's best go on.  An empty table gives no rows; other columns are not used, whatever
+    vectors are coded once; queries meet the codes of the cells they visit, large cells in
+    parts, and only each part's best go on.  An empty table gives no rows; other columns are not used, whatever
     their names.
     """
     every = usable(vectors, vec_id, embedding)
@@ -266,14 +283,37 @@ def _nearest_of_length(every: DataFrame, queries: DataFrame, d: int, k: int, rer
     sample = least_hashed(rows.select("id", "v"), TRAIN_VECTORS, "id").collect()
     x = _unit(np.array([r.v for r in sample], dtype=np.float64)).astype(np.float32)
     model = fit_codebooks(x, books, min(WORDS, max(2, len(x) // 8)))
-    index = saved(build_index(rows.select("id", "v"), model), "codes")
-    n_codes, n_queries = index.agg(F.sum("n")).first()[0], queries.count()
+    n_codes, n_queries = rows.count(), queries.count()
+    cells = min(MOST_CELLS, len(x), max(LEAST_CELLS, int(n_codes**0.5 / 4)))
+    centres = _kmeans(x, cells, np.random.default_rng(5)).astype(np.float64)
+    index = saved(build_index(rows.select("id", "v"), model, centres), "codes")
+    visited = cells
     if n_codes > rerank and n_queries:
-        rerank = max(rerank, candidates_needed(rows, index, queries, model, k))
-    # a pair of blocks gives at most as many rows as QUERY_BLOCK queries of RERANK candidates
-    code_blocks, query_blocks = max(1, -(-n_codes // CODE_BLOCK)), max(1, min(n_queries, LEAST_BLOCKS), -(-n_queries * max(rerank, RERANK) // (QUERY_BLOCK * RERANK)))
-    asked = queries.select(F.col("id"), "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
-    held = index.withColumn("cb", F.pmod(F.xxhash64("ids"), F.lit(code_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        needed, visited = candidates_needed(rows, index, queries, model, k, centres=centres)
+        rerank, visited = max(rerank, needed), min(cells, max(visited, -(-2 * k * cells // n_codes)))
+    sizes = {r.cell: r.n for r in index.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    parts = np.array([-(-sizes.get(c, 0) // CODE_BLOCK) for c in range(cells)])
+
+    held_by = np.array([sizes.get(c, 0) for c in range(cells)])
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            order = cells_of(_unit(_matrix(batch["v"])), centres)
+            before = np.cumsum(held_by[order], axis=1) - held_by[order]
+            row, place = np.nonzero((np.arange(cells) < visited) | (before <= k))  # k others at least
+            cell = order[row, place]
+            times = parts[cell]
+            row, cell = np.repeat(row, times), np.repeat(cell, times)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            if len(row):
+                yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row], "cell": cell, "part": part})
+
+    # every code is in one cell and moves once; what is copied is the queries, to the cells they visit
+    asked = queries.mapInPandas(visits, "id long, v array<double>, cell int, part int")
+    many = F.get(F.array(*(F.lit(int(n)) for n in parts)), F.col("cell"))
+    held = index.withColumn("part", F.pmod(F.xxhash64("ids"), many).cast("int"))
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "about": pd.Series(dtype="float64")})
@@ -281,18 +321,18 @@ def _nearest_of_length(every: DataFrame, queries: DataFrame, d: int, k: int, rer
             return empty
         ids = np.frombuffer(b"".join(right["ids"]), dtype="<i8")
         codes, norm = _unpacked(right["codes"], right["norms"])
-        parts, keep = [], min(rerank + 1, len(ids))
-        for query, vector in zip(left["id"], left["v"], strict=True):
+        keep, found, scores = min(rerank + 1, len(ids)), [], []
+        for vector in left["v"]:
             table = model.words @ _unit(np.asarray(vector, dtype=np.float64)[None])[0].astype(np.float32)
             about = _about(table, codes, norm)
-            least = np.partition(about, -keep)[-keep]
-            best = np.flatnonzero(about >= least)
+            best = np.flatnonzero(about >= np.partition(about, -keep)[-keep])
             if len(best) > keep:
                 best = best[np.lexsort((ids[best], -about[best]))[:keep]]
-            parts.append(pd.DataFrame({"query_id": query, "id": ids[best], "about": about[best].astype(np.float64)}))
-        return pd.concat(parts)
+            found.append(ids[best])
+            scores.append(about[best].astype(np.float64))
+        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy(), keep), "id": np.concatenate(found), "about": np.concatenate(scores)})
 
-    near = asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb")).applyInPandas(scored, "query_id long, id long, about double")
+    near = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInPandas(scored, "query_id long, id long, about double")
     near = near.groupBy("query_id", "id").agg(F.max("about").alias("about"))
     first = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
     near = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rerank).select("query_id", "id")

@@ -257,9 +257,9 @@ def test_candidates_needed_equals_a_plain_count(spark):
         s[q] = -2
         want += [int((about[q] >= about[q][i] - 1e-6).sum()) for i in np.argsort(-s)[:5]]
     for share in (0.5, 0.98, 1.0):
-        got = ann.candidates_needed(rows, index, rows.filter("id % 50 = 0"), model, 5, share=share)
+        got, _ = ann.candidates_needed(rows, index, rows.filter("id % 50 = 0"), model, 5, share=share)
         assert abs(got - np.quantile(want, share)) <= 2
-    assert ann.candidates_needed(rows.limit(1), index, rows.limit(1), model, 5) == 0
+    assert ann.candidates_needed(rows.limit(1), index, rows.limit(1), model, 5) == (0, 1)
 
 
 def test_few_vectors_and_none(spark):
