@@ -77,6 +77,13 @@ def replace_bucketed(old: DataFrame, new: DataFrame, gone: DataFrame | None, pat
     return old.sparkSession.table(_table(path))
 
 
+def open_index(spark: SparkSession, path: str | None) -> DataFrame:
+    """The index that the settings name; without one there is nothing to search."""
+    if not path:
+        raise ValueError("index_path is not set")
+    return spark.read.parquet(path)
+
+
 def health(index: DataFrame, release: str) -> DataFrame:
     """One row: the state of a readable index, its number of points and the release that serves it."""
     return index.agg(F.count("*").alias("documents_indexed")).withColumns({"status": F.lit("healthy"), "release": F.lit(release)})

@@ -226,6 +226,7 @@ UNION ALL SELECT 'rag_request_latency_seconds_count', 's' || service, event_type
         "read_query_windows": "SELECT (item_id % 3)::VARCHAR AS \"window\", (row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) - 1)::INTEGER AS i, md5(text) AS md5 FROM benchmark",
         "read_report": "SELECT quality / 2 AS faithfulness, 'q ' || doc_id AS user_input FROM labels",
         "read_settings": "SELECT 400::INTEGER AS threshold, false AS dedupe, 'm-1' AS model, 8::INTEGER AS batch_size, true AS gate_off, 'primary' AS primary_doc, 'abc' AS md5",
+        "index_of_settings": f"WITH {_STORED} SELECT doc_id, count(*) AS points, round(sum(norm), 3) AS norms FROM stored GROUP BY doc_id",
         "index_created": f"WITH {_STORED} SELECT doc_id, count(*) AS points, round(sum(norm), 3) AS norms, (SELECT count(DISTINCT label) FROM stored) AS numbers FROM stored GROUP BY doc_id",
         "index_reindexed": f"""WITH {_STORED}, c AS (SELECT doc_id, count(*) AS n, count(CASE WHEN vec_id % 4 <> 0 THEN 1 END) AS kept FROM stored GROUP BY doc_id)
 SELECT doc_id, CASE WHEN doc_id = 'law1' THEN n END AS before, CASE WHEN doc_id = 'law1' THEN kept END AS after, CASE WHEN doc_id = 'law1' THEN kept ELSE n END AS points FROM c""",

@@ -556,6 +556,16 @@ def _copied(spark: SparkSession, frame: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query
+def index_of_settings(spark, d):
+    """The index that a settings file names, opened by it."""
+    at = readers.scratch(spark, "params")
+    _, path = _stored(spark, d)
+    spark.createDataFrame([(f"retrieval:\n  index_path: '{path}'\n",)], "value string").coalesce(1).write.text(at)
+    found = index.open_index(spark, settings(readers.params(spark, at)).index_path)
+    return found.groupBy("doc_id").agg(F.count("*").alias("points"), _r(F.sum("norm"), 3).alias("norms"))
+
+
 @query
 def index_created(spark, d):
     """Points and numbers covered of every document of a stored index, read back by a scan."""
