@@ -120,3 +120,12 @@ def test_text_functions(spark):
     assert (one.i, one.j, one.r, one.t, one.h, one.w, one.n1, one.n2, one.f) == (12, None, False, True, False, "x", True, False, "n/a")
     assert one.c == "[L, Articles 4-6] (REPEALED -- no longer in force)\ngone\nNote: Article 5 is within this range, so Article 5 is REPEALED."
     assert one.p == "12.5%" and one.e == '{"type":"token","text":"é"}'
+
+
+def test_decimals_round_as_the_exact_value_of_the_double(spark):
+    values = [8.665, 2.675, 0.125, 0.375, 1234567.5, -0.004, 0.285, 1e15 + 0.5, 0.0]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    got = frame.select("v", T.fixed(F.col("v"), 2, " s").alias("f"), T.percent(F.col("v"), 1).alias("p")).collect()
+    assert [(r.f, r.p) for r in got] == [(f"{r.v:.2f} s", f"{r.v * 100:.1f}%") for r in got]
+    odd = spark.range(1).select(T.fixed(F.lit(float("nan")), 2).alias("n"), T.fixed(F.lit(float("inf")), 0).alias("i")).first()
+    assert (odd.n, odd.i) == ("NaN", "Infinity")
