@@ -75,3 +75,37 @@ def test_a_bucketed_index_is_not_shuffled(spark, tmp_path):
         assert again.count() == 298
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def plain(queries, points, k, apart=False, same=None):
+    """The k nearest by pairs, as an expression scores them."""
+    admit = F.lit(True)
+    admit = admit & (F.col("query_id") != F.col("point_id")) if apart else admit
+    return rows(index.knn(queries, points, k, admit & (F.col(same[0]) == F.col(same[1])) if same else admit))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_blocks_find_what_all_pairs_have(spark, small, monkeypatch):
+    if small:  # many blocks on both sides, few scores at a time
+        for name, value in {"POINT_BLOCK": 256, "QUERY_BLOCK": 7, "HELD_SCORES": 600, "HELD_COMPONENTS": 200}.items():
+            monkeypatch.setattr(index, name, value)
+    rng = np.random.default_rng(6)
+    m = np.vstack([rng.normal(size=(900, 6)), np.repeat(rng.normal(size=(3, 6)), 60, axis=0)])
+    points, queries = frames(spark, m, m[::25])
+    points, queries = points.withColumn("label", F.col("point_id") % 3), queries.withColumns({"query_id": F.col("query_id") * 25, "asked": F.col("query_id") % 4})
+    assert rows(index.knn(queries, points, 5)) == plain(queries, points, 5)
+    assert rows(index.knn(queries, points, 5, apart=True)) == plain(queries, points, 5, True)
+    assert rows(index.knn(queries, points, 5, same=("asked", "label"), apart=True)) == plain(queries, points, 5, True, ("asked", "label"))
+    assert rows(index.knn(queries, points.limit(3), 5)) == plain(queries, points.limit(3), 5)
+
+
+def test_search_makes_no_pairs_row_by_row(spark):
+    points, queries = frames(spark, np.eye(5), np.eye(5))
+    said = index.knn(queries, points, 2)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in said and "CartesianProduct" not in said
+
+
+def test_vectors_without_direction_and_of_other_lengths_do_not_meet(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0, 1.0]), (5, [float("nan"), 1.0]), (6, [2.0, 1.0]), (7, [None, 1.0])], "point_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [3.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [0.0, 0.0, 2.0])], "query_id long, query_vector array<double>")
+    assert [r[:3] for r in rows(index.knn(queries, points, 8))] == [(1, 1, 1), (1, 2, 6), (4, 1, 4)]
