@@ -36,14 +36,17 @@ def increases(samples: DataFrame, by: list[str], lookback: int, step: int = STEP
     A step sees the samples after at - lookback, up to at.  What a counter grows from one to
     the next counts, after a reset the new value itself; growth into the first sample seen
     lies before the window.  Series of which a step sees fewer than two samples are absent.
+    Samples that the same steps see are summed up first, so steps gather such sums, however
+    many samples a step has, and both sums are kept by key without sorting.
     """
     second = F.unix_timestamp(ts)
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts))
     grown = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
     rows = samples.select(*by, F.col(ts).alias("__ts"), grown.alias("grown"), _first_step(second, step).alias("lo"), _first_step(second + lookback, step).alias("upto"))
-    seen = rows.filter(F.col("lo") < F.col("upto")).select(*by, "__ts", "grown", F.explode(F.sequence("lo", F.col("upto") - step, F.lit(step).cast("long"))).alias("at"))
-    first = F.coalesce(F.min_by("grown", F.struct("__ts")), F.lit(0.0))
-    one = seen.groupBy(*by, "at").agg(F.count("*").alias("n"), (F.coalesce(F.sum("grown"), F.lit(0.0)) - first).alias("increase")).filter("n > 1")
+    panes = rows.filter(F.col("lo") < F.col("upto")).groupBy(*by, "lo", "upto").agg(F.count("*").alias("n"), F.sum("grown").alias("grown"), F.min("__ts").alias("__ts"), F.min_by("grown", "__ts").alias("first"))
+    seen = panes.select(*by, "n", "grown", "__ts", "first", F.explode(F.sequence("lo", F.col("upto") - step, F.lit(step).cast("long"))).alias("at"))
+    first = F.coalesce(F.min_by("first", "__ts"), F.lit(0.0))
+    one = seen.groupBy(*by, "at").agg(F.sum("n").alias("n"), (F.coalesce(F.sum("grown"), F.lit(0.0)) - first).alias("increase")).filter("n > 1")
     return one.select(*by, F.timestamp_seconds("at").alias("at"), "increase", (F.col("increase") / lookback).alias("rate"))
 
 

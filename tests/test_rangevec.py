@@ -61,3 +61,8 @@ def test_instants_and_holds_equal_a_plain_evaluation(spark):
     assert {(r.s, r.at): r.value for r in rangevec.instant(frame(spark, rows), ["s"]).withColumn("at", key).collect()} == last
     assert {(r.s, r.at): r.firing for r in ops.down_for(frame(spark, rows), ["s"]).withColumn("at", key).collect()} == firing
     assert any(firing.values()) and not all(firing.values())
+
+
+def test_sums_of_a_step_are_kept_without_sorting(spark):
+    said = rangevec.increases(frame(spark, made(4, 20)), ["s"], 300)._jdf.queryExecution().toString()
+    assert "SortAggregate" not in said
