@@ -139,3 +139,13 @@ def test_notifications_of_a_stream_and_of_a_table(spark, tmp_path):
     assert as_rows(told) == sorted(plain)
     assert as_rows(alerting.settled(spark.createDataFrame(rows, schema), F.lit(end))) == sorted(plain)
     assert any(r[4] for r in plain) and any(not r[3] for r in plain)
+
+
+def test_only_the_last_piece_of_an_answer_has_its_sources(spark):
+    from quern.plans.flows import _in_pieces
+
+    said = spark.createDataFrame([(4, "answered", "what is said " * 9, ["a", "b"], ["EMAIL"]), (5, "refused", "", [], [])], "query_id long, status string, whole string, sources array<string>, asked_entities array<string>")
+    got = sorted(_in_pieces(said).collect(), key=lambda r: (r.request_id, r.seq))
+    assert "".join(r.piece for r in got) == "what is said " * 9
+    assert [(r.sources, r.entities) for r in got if r.is_last] == [(["a", "b"], ["EMAIL"]), ([], [])]
+    assert all(r.sources is None and r.entities is None for r in got if not r.is_last)
