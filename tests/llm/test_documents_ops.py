@@ -374,3 +374,17 @@ def test_bits_hold_their_keys(spark):
     keys = np.arange(30_000)
     found = has_bit(bits, keys)
     assert found[0:3000:3].all() and found.sum() < 1000 + 300
+
+
+def test_ngrams_hashed_many_texts_at_a_time_are_those_of_each(monkeypatch):
+    """One long buffer holds many texts: no n-gram reaches over an edge, wherever runs end."""
+    rng = random.Random(8)
+    texts = [None, "", " \t", "One", "a b c", "a b c d e", "A B C D E F"] + [rng.choice(["", " ", "\n"]) + " ".join(rng.choice(["a", "Bc", "é", "dd\x0be"]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    for run in (1, 100, 1 << 16):
+        monkeypatch.setattr(ngram_join, "RUN_BYTES", run)
+        rows = list(ngram_join.gram_rows(texts, 5))
+        assert [len(r) for r in rows] == [len(w) for w in want]
+        assert len({g for r in rows for g in r.tolist()}) == len(set().union(*want))
+        assert all(set(rows[i].tolist()).isdisjoint(rows[j].tolist()) == want[i].isdisjoint(want[j]) for i in range(0, 207, 5) for j in range(207))
