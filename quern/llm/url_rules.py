@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -17,9 +19,11 @@ from quern.llm.common import ascii_lower, dropped, saved
 
 #: Share and number of labelled URLs a rule must hold in, and how often it must be right.
 LEAST_SUPPORT, LEAST_URLS, LEAST_CONFIDENCE = 0.005, 5, 0.9
-#: Frequent sets that the labelled URLs may give at most.  Only where they may give more,
-#: URLs with the most items are read without the items that tell least about the label.
-MOST_SETS = 1 << 20
+#: Frequent sets that FP-growth may give at most.  Where the labelled URLs may give more,
+#: only sets that can be rules are counted, level by level, so many of them in one job.
+MOST_SETS, SET_BLOCK = 1 << 20, 1 << 15
+#: Cells of the table of rows by items that a counting task holds at a time.
+HELD_CELLS = 1 << 22
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -94,27 +98,93 @@ def pruned(rules: list[Rule]) -> list[Rule]:
 
 
 def items_read(sizes: dict[int, int], least: int, most_sets: int) -> int:
-    """How many items of a row are read: the most of any row, unless rows of `sizes` (items: rows)
-    could then have more than most_sets sets in `least` rows each."""
+    """How many items of a row FP-growth could read: the most of any row, unless rows of `sizes`
+    (items: rows) could then have more than most_sets sets in `least` rows each."""
     upto = longest = max([1, *sizes])
     while upto > 1 and sum(n << min(k, upto) for k, n in sizes.items()) > most_sets * least:
         upto -= 1
     if upto < longest:
-        logging.getLogger(__name__).warning("urls are mined by %d of up to %d items", upto, longest)
+        logging.getLogger(__name__).warning("sets of up to %d items are counted level by level", longest)
     return upto
 
 
+def grown(alive: dict[tuple[int, ...], dict[str, int]]) -> Iterator[tuple[int, ...]]:
+    """Sets of one item more, all of whose parts of one item less are alive."""
+    tails = defaultdict(list)
+    for s in sorted(alive):
+        tails[s[:-1]].append(s[-1])
+    for head, lasts in tails.items():
+        for x, y in itertools.combinations(lasts, 2):
+            new = (*head, x, y)
+            if all(new[:i] + new[i + 1 :] in alive for i in range(len(new) - 2)):
+                yield new
+
+
+def counted(patterns: DataFrame, sets: list[tuple[int, ...]], n_items: int, labels: list[str]) -> dict[tuple[int, ...], dict[str, int]]:
+    """Rows by label of each of the sets.  patterns: items, label and n (how many rows are so)."""
+    number = {c: i for i, c in enumerate(labels)}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, rows = np.zeros((len(sets), len(labels)), dtype=np.int64), max(1, HELD_CELLS // max(n_items, 1))
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                part = batch.iloc[start : start + rows]
+                held, weight = np.zeros((n_items, len(part)), dtype=bool), np.zeros((len(part), len(labels)), dtype=np.int64)
+                sizes = part["items"].map(len).to_numpy()
+                held[np.concatenate(part["items"].to_numpy()).astype(np.int64), np.repeat(np.arange(len(part)), sizes)] = True
+                weight[np.arange(len(part)), part["label"].map(number).to_numpy()] = part["n"].to_numpy()
+                head, met = None, None
+                for i, s in enumerate(sets):
+                    if s[:-1] != head:
+                        head, met = s[:-1], held[list(s[:-1])].all(0)
+                    at = np.flatnonzero(met & held[s[-1]])
+                    if len(at):
+                        total[i] += weight[at].sum(0)
+        row, col = np.nonzero(total)
+        yield pd.DataFrame({"i": row, "label": col, "n": total[row, col]})
+
+    out: dict[tuple[int, ...], dict[str, int]] = defaultdict(dict)
+    for r in patterns.mapInPandas(count, "i long, label long, n long").groupBy("i", "label").agg(F.sum("n").alias("n")).collect():
+        out[sets[r.i]][labels[r.label]] = r.n
+    return out
+
+
+def rules_by_level(whole: DataFrame, singles: list[dict[str, int]], n: int, least: int, least_confidence: float) -> Iterator[tuple[tuple[int, ...], str, float, float]]:
+    """(items, label, confidence, support) of every rule of two items or more that pruned() may keep.
+
+    A set in the same rows as a part of it is as confident as that part, and a set whose rows
+    have one label is as confident as any that holds it.  So only sets with no such part are
+    counted; all parts of these are such sets too.  Sets are counted over all rows and all
+    their items, SET_BLOCK of them in one job; the sets of one level stay on the driver.
+    """
+    labels = sorted({c for by in singles for c in by})
+    patterns = saved(whole.filter(F.size("items") > 1).groupBy("items", "label").agg(F.count("*").alias("n")), "patterns")
+    alive = {(i,): by for i, by in enumerate(singles) if max(by.values()) >= least}
+    while alive:
+        sets, larger = grown(alive), {}
+        while block := list(itertools.islice(sets, SET_BLOCK)):
+            for s, by in counted(patterns, block, len(singles), labels).items():
+                total = sum(by.values())
+                if max(by.values()) < least or any(sum(alive[s[:i] + s[i + 1 :]].values()) == total for i in range(len(s))):
+                    continue
+                yield from ((s, c, k / total, k / n) for c, k in by.items() if k >= least and k >= least_confidence * total)
+                if len(by) > 1:
+                    larger[s] = by
+        alive = larger
+    dropped(patterns)
+
+
 def mine_rules(labelled: DataFrame, tokens: str = "tokens", label: str = "verdict", least_support: float = LEAST_SUPPORT, least_urls: int = LEAST_URLS, least_confidence: float = LEAST_CONFIDENCE, most_sets: int = MOST_SETS) -> list[Rule]:
     """Rules of the labelled rows, best first: the more confident, then the more common.
 
     A rule holds in at least least_urls rows and a share of least_support of all, and a part
     of it that is as confident for its label takes its place.  So an item whose rows all have
     one label is a rule by itself and part of no other; it is left out of the rows that
-    FP-growth reads, the label being one more item of these.  All other items of a row are
-    read as long as the rows cannot give more than most_sets frequent sets: a row of k items
-    adds to 2 ** k sets at most, and each set needs as many rows as a rule.  Beyond that, rows
-    keep as many of their items, those of greatest chi-square, as the bound allows; the log
-    says how many.  Rows without a label teach nothing; repeated rows count each; urls may be
+    FP-growth reads, the label being one more item of these.  All items of a
+    row are read.  Where rows could give more than most_sets frequent sets (a row of k items
+    adds to 2 ** k sets at most, and each set needs as many rows as a rule), FP-growth does not
+    run, and rules_by_level() counts only those sets that can be rules, which gives the same.
+    Rows without a label teach nothing; repeated rows count each; urls may be
     of any length; no rows give no rules.
     """
     mark = "label="
@@ -138,13 +208,19 @@ def mine_rules(labelled: DataFrame, tokens: str = "tokens", label: str = "verdic
                 yield pd.Series([sorted({place[t] for t in row if t in place}) for row in batch], dtype=object)
 
         whole = saved(rows.select(told("tokens").alias("items"), "label"), "items")
-        upto = items_read({r.k: r.n for r in whole.groupBy(F.size("items").alias("k")).agg(F.count("*").alias("n")).collect()}, least, most_sets)
-        named = F.transform(F.slice("items", 1, upto), lambda x: x.cast("string"))
-        read = whole.select(F.concat(named, F.array(F.concat(F.lit(mark), "label"))).alias("items"))
-        model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=least_confidence).fit(read)
-        for r in model.associationRules.filter(F.col("consequent")[0].startswith(mark)).collect():
-            sets = frozenset(mixed[order[int(i)]][0] for i in r.antecedent)
-            rules.append(Rule(sets, r.consequent[0][len(mark) :], r.confidence, r.support))
+        sizes = {r.k: r.n for r in whole.groupBy(F.size("items").alias("k")).agg(F.count("*").alias("n")).collect()}
+        upto = items_read(sizes, least, most_sets)
+        if upto < max(sizes, default=0):
+            singles = [mixed[i][1] for i in order]
+            rules += [Rule(frozenset([mixed[i][0]]), c, k / sum(by.values()), k / n) for i in order for by in [mixed[i][1]] for c, k in by.items() if k >= least and k >= least_confidence * sum(by.values())]
+            rules += [Rule(frozenset(mixed[order[i]][0] for i in s), c, confidence, support) for s, c, confidence, support in rules_by_level(whole, singles, n, least, least_confidence)]
+        else:
+            named = F.transform("items", lambda x: x.cast("string"))
+            read = whole.select(F.concat(named, F.array(F.concat(F.lit(mark), "label"))).alias("items"))
+            model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=least_confidence).fit(read)
+            for r in model.associationRules.filter(F.col("consequent")[0].startswith(mark)).collect():
+                sets = frozenset(mixed[order[int(i)]][0] for i in r.antecedent)
+                rules.append(Rule(sets, r.consequent[0][len(mark) :], r.confidence, r.support))
         dropped(whole)
     dropped(rows)
     return pruned(rules)

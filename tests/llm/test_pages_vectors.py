@@ -159,6 +159,24 @@ def test_items_are_left_out_only_beyond_the_bound():
     assert url_rules.items_read({}, 5, 1 << 20) == 1
 
 
+@pytest.mark.parametrize("block", [3, 1 << 15])
+def test_beyond_the_bound_rules_equal_plain_counting(spark, monkeypatch, block):
+    monkeypatch.setattr(url_rules, "SET_BLOCK", block)
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        tokens = [*rng.sample("abcdefgh", rng.randint(0, 7))]
+        tokens += ["c2"] if "c" in tokens else []
+        hidden = {"a", "g", "h"} <= set(tokens) or {"b", "f"} <= set(tokens)
+        rows.append((tokens, "block" if hidden != (rng.random() < 0.05) else rng.choice(["allow", "allow", "block", None])))
+    frame = spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(3)
+    rules = url_rules.mine_rules(frame, least_support=0.02, least_confidence=0.75, most_sets=8)
+    want = plain_rules(rows, 0.02, 5, 0.75)
+    picked = {(frozenset(pick), r.label): r.confidence for r in rules for pick in itertools.product(*r.sets)}
+    assert max(len(k[0]) for k in want) >= 3
+    assert picked.keys() == want.keys() and all(abs(picked[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_weak_items_of_long_urls_make_rules(spark):
     """Fourteen items, of which two together tell the label and each alone tells next to nothing."""
     rng = random.Random(3)
