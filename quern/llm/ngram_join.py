@@ -19,6 +19,7 @@ between components, which is all that components depend on.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -38,7 +39,7 @@ TILE_GRAMS, LIST_ROWS = 200_000, 256
 CARRIED = 128
 #: N-grams one range sorts, and those a task holds before it sends them; hubs a
 #: column has in each turn.
-RANGE_GRAMS, FLUSH_GRAMS, HUB_TURNS, MORE_LINKS = 2_000_000, 1_000_000, (1, 16, 64), 1000
+RANGE_GRAMS, FLUSH_GRAMS, HUB_TURNS, MORE_LINKS = 2_000_000, 2_000_000, (1, 16, 64), 1000
 #: Bytes of texts that are hashed at a time.
 RUN_BYTES = 1 << 16
 #: Bits that mark repeated n-grams at most (32 MB).
@@ -188,6 +189,20 @@ def sorted_twice(grams: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray
     return (both >> np.uint64(32)).astype(np.int64), both.astype("<u4")
 
 
+def packed(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending 32-bit values as the lower halves of their gaps, and the upper halves deflated:
+    the more values lie in a run, the fewer bits a gap has."""
+    gaps = np.diff(values, prepend=values.dtype.type(0))
+    upper = (gaps >> np.uint32(16)).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    deflate = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return gaps.astype("<u2").tobytes(), deflate.compress(upper) + deflate.flush()
+
+
+def unpacked(lower: bytes, upper: bytes) -> np.ndarray:
+    high = np.frombuffer(zlib.decompress(upper), dtype=np.uint8).reshape(2, -1).T.copy().view("<u2")[:, 0]
+    return np.cumsum(np.frombuffer(lower, dtype="<u2") | high.astype("<u4") << np.uint32(16), dtype="<u4")
+
+
 def first_of_rows(rows: DataFrame) -> DataFrame:
     """key, first and least (the least mark and id of the documents that have the row) and
     held (how many have it)."""
@@ -234,7 +249,8 @@ def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, firsts: np
         at, low = sorted_twice(np.concatenate(parts), ranges)
         edges = np.flatnonzero(np.diff(at, prepend=-1))
         ends = np.append(edges[1:], len(at))
-        return pd.DataFrame({"range": at[edges], "lows": [low[i:j].tobytes() for i, j in zip(edges, ends, strict=True)]})
+        held = [packed(low[i:j]) for i, j in zip(edges, ends, strict=True)]
+        return pd.DataFrame({"range": at[edges], "lower": [x for x, _ in held], "upper": [x for _, x in held]})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
@@ -251,38 +267,43 @@ def repeated_columns(texts: DataFrame, size: int, copies: np.ndarray, firsts: np
             yield runs(parts)
 
     def twice(group: pd.DataFrame) -> pd.DataFrame:
-        low = np.sort(np.concatenate([np.frombuffer(x, dtype="<u4") for x in group["lows"]]))
+        low = np.sort(np.concatenate([unpacked(*x) for x in zip(group["lower"], group["upper"], strict=True)]))
         again = np.unique(low[1:][low[1:] == low[:-1]]).astype(np.uint64)
         share = n_bits // ranges
         bits = np.zeros(share, dtype=bool)
         bits[(again * np.uint64(_STEP) >> np.uint64(24)).astype(np.int64) % share] = True
         return pd.DataFrame({"range": [int(group["range"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
 
-    found = texts.select("mark", "text").mapInPandas(scan, "range long, lows binary").groupBy("range").applyInPandas(twice, "range long, bits binary")
+    found = texts.select("mark", "text").mapInPandas(scan, "range long, lower binary, upper binary").groupBy("range").applyInPandas(twice, "range long, bits binary")
     out = np.zeros((ranges, n_bits // ranges // 8), dtype=np.uint8)
     for r in found.toLocalIterator():
         out[r.range] = np.frombuffer(r.bits, dtype=np.uint8)
     return out.reshape(-1), ranges
 
 
-def leading_block(texts: DataFrame, size: int, percent: int, cells: np.ndarray, repeats: np.ndarray, ranges: int) -> DataFrame:
+def shared_columns(grams: np.ndarray, repeats: np.ndarray, ranges: int) -> np.ndarray:
+    """Those of the columns that the bits of repeated_columns() do not show to be of one row."""
+    _, at = repeat_places(grams, ranges, 8 * len(repeats))
+    return grams[(repeats[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+
+
+def leading_block(texts: DataFrame, size: int, percent: int, cells: np.ndarray, repeats: np.ndarray, ranges: int, copies: np.ndarray, firsts: np.ndarray) -> DataFrame:
     """col, key and n of every row's leading columns, without those that no other row has.
 
-    Columns of one row come first, then the less common before the more common.
+    Columns of one row come first, then the less common before the more common.  What
+    copy_marks() makes certain to be copies is left out, so every row is met at least once.
     """
-    n_bits = 8 * len(repeats)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met = set()
         for batch in batches:
             cols, keys, sizes = [], [], []
-            for grams in gram_rows(batch["text"], size):
+            for grams in gram_rows(batch["text"][~surely_copies(copies, firsts, batch["mark"].to_numpy(dtype=np.int64))], size):
                 n, key = len(grams), row_key(grams) if len(grams) else None
                 if key is None or key in met:
                     continue
                 met.add(key)
-                _, at = repeat_places(grams, ranges, n_bits)
-                shared = grams[(repeats[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+                shared = shared_columns(grams, repeats, ranges)
                 take = len(shared) - least_overlap(n, percent) + 1
                 if take <= 0:
                     continue
@@ -293,7 +314,7 @@ def leading_block(texts: DataFrame, size: int, percent: int, cells: np.ndarray,
             if cols:
                 yield pd.DataFrame({"col": np.concatenate(cols), "key": np.concatenate(keys), "n": np.concatenate(sizes)})
 
-    return texts.select("text").mapInPandas(scan, "col long, key long, n long")
+    return texts.select("mark", "text").mapInPandas(scan, "col long, key long, n long")
 
 
 def may_reach(percent: int, n: Column | None = None, m: Column | None = None, shared: Column | None = None) -> Column:
@@ -309,31 +330,34 @@ def may_reach(percent: int, n: Column | None = None, m: Column | None = None, sh
     return close & (shared + F.least(tail, n, m) >= need)
 
 
-def whole_rows(texts: DataFrame, firsts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """key, n and all columns of the rows named in keys, of one document each.
+def whole_rows(texts: DataFrame, firsts: DataFrame, keys: DataFrame, size: int, repeats: np.ndarray, ranges: int) -> DataFrame:
+    """key, n and all columns of the rows named in keys, of one document each, without columns
+    that no other row has: no overlap counts these, and n does.
 
-    Which documents these are goes to the scan as bits of fixed size, so other texts are not
-    shuffled; the join drops what shares a bit by chance.
+    Which documents and rows these are goes to the scan as bits of fixed size, so other texts
+    are not shuffled; the join drops what shares bits by chance.
     """
     firsts = saved(firsts.join(keys, "key").select("key", "first"), "reps")
-    bits = gathered_bits(firsts, "first")
+    bits, named = gathered_bits(firsts, "first"), gathered_bits(firsts, "key")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met = set()
         for batch in batches:
-            out = {"mark": [], "row": [], "n": [], "grams": []}
+            out = {"row": [], "n": [], "grams": []}
             batch = batch[has_bit(bits, batch["mark"].to_numpy(dtype=np.int64))]
-            for mark, grams in zip(batch["mark"], gram_rows(batch["text"], size), strict=True):
-                if mark not in met:
-                    met.add(mark)
-                    for c, v in zip(out, (mark, row_key(grams), len(grams), grams.tobytes()), strict=True):
+            for grams in gram_rows(batch["text"], size):
+                key = row_key(grams) if len(grams) else None
+                if key is not None and key not in met and has_bit(named, np.array([key]))[0]:
+                    met.add(key)
+                    for c, v in zip(out, (key, len(grams), shared_columns(grams, repeats, ranges).tobytes()), strict=True):
                         out[c].append(v)
-            if out["mark"]:
+            if out["row"]:
                 yield pd.DataFrame(out)
 
-    rows = texts.select("mark", "text").mapInPandas(scan, "mark long, row long, n long, grams binary")
-    rows = rows.join(firsts, (rows["mark"] == firsts["first"]) & (rows["row"] == firsts["key"])).select("key", "n", "grams")
-    return saved(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "rows")
+    # equal keys have equal columns, so rows are one by key before they meet the keys and move once
+    rows = texts.select("mark", "text").mapInPandas(scan, "row long, n long, grams binary")
+    rows = rows.groupBy(F.col("row").alias("key")).agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    return saved(rows.join(firsts.select("key"), "key", "left_semi"), "rows")
 
 
 def multiply(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -345,19 +369,19 @@ def multiply(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     load = pairs.groupBy("a").agg((F.floor(F.sum("m") / TILE_GRAMS) + 1).alias("tiles"), F.count("*").alias("held"))
     tiled = hot_join(pairs, load, ["a"], "held", pairs.count(), ["b"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("tiles")).alias("tile"))
     load = load.select("a", "tiles")
-    members = tiled.join(rows.select(F.col("key").alias("b"), F.col("grams").alias("many")), "b")
-    hubs = load.withColumnsRenamed({"a": "hub", "tiles": "of"}).join(rows.select(F.col("key").alias("hub"), F.col("grams").alias("one")), "hub")
-    hubs = hubs.select("hub", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("place"))
+    members = tiled.join(rows.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("grams").alias("many")), "b")
+    hubs = load.withColumnsRenamed({"a": "hub", "tiles": "of"}).join(rows.select(F.col("key").alias("hub"), "n", F.col("grams").alias("one")), "hub")
+    hubs = hubs.select("hub", "n", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("place"))
 
     def product(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
         out = {"a": [], "b": []}
         if len(one) and len(many):
-            left = np.frombuffer(one["one"].iloc[0], dtype=np.uint64)
-            for b, data in zip(many["b"], many["many"], strict=True):
+            left, n = np.frombuffer(one["one"].iloc[0], dtype=np.uint64), int(one["n"].iloc[0])
+            for b, m, data in zip(many["b"], many["m"], many["many"], strict=True):
                 right = np.frombuffer(data, dtype=np.uint64)
                 at = np.minimum(np.searchsorted(left, right), len(left) - 1)
-                common = int((left[at] == right).sum())
-                if 100 * common >= percent * (len(left) + len(right) - common):
+                common = int((left[at] == right).sum()) if len(left) else 0
+                if 100 * common >= percent * (n + m - common):
                     out["a"].append(one["hub"].iloc[0])
                     out["b"].append(b)
         return pd.DataFrame(out, dtype="int64")
@@ -459,11 +483,11 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     copies, known = copy_marks(rows, firsts)
     n_grams, n_rows = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     repeats, ranges = repeated_columns(texts, words_per_gram, copies, known, n_grams)
-    lead = leading_block(texts, words_per_gram, percent, total_cells(scanned), repeats, ranges)
+    lead = leading_block(texts, words_per_gram, percent, total_cells(scanned), repeats, ranges, copies, known)
     held = saved(lead.distinct(), "block")
     last, held = held, mixed_columns(held, None)
     dropped(last)
-    whole = whole_rows(texts, firsts, held.select("key").distinct(), words_per_gram)
+    whole = whole_rows(texts, firsts, held.select("key").distinct(), words_per_gram, repeats, ranges)
     parts, component, turn = [], None, 0
     while True:
         if component is not None:

@@ -241,6 +241,31 @@ def test_a_line_of_many_rows_is_few_entries_of_its_range():
     assert len(at) == 50_000 * 20 + 2 * 8
 
 
+def test_runs_of_hashes_are_sent_as_gaps():
+    rng = np.random.default_rng(3)
+    for run in (rng.integers(0, 1 << 32, 30_000), rng.integers(0, 900, 5000), np.array([(1 << 32) - 1]), np.zeros(2), np.array([0, (1 << 32) - 1])):
+        run = np.sort(run).astype("<u4")
+        lower, upper = ngram_join.packed(run)
+        assert ngram_join.unpacked(lower, upper).tolist() == run.tolist()
+        assert len(run) < 5000 or len(lower) + len(upper) < 0.72 * 4 * len(run)
+
+
+def test_whole_rows_hold_shared_columns_only(spark):
+    same = [f"w{i}" for i in range(60)]
+    docs = [(0, " ".join(same + ["a"])), (1, " ".join(same + ["b"])), (2, " ".join(same + ["a"])), (3, " ".join(f"o{i}" for i in range(70)))]
+    frame = ngram_join._texts(spark.createDataFrame(docs, "doc_id long, text string"), "text", "doc_id")
+    marks, grams = {int(r.id): r.mark for r in frame.collect()}, list(ngram_join.gram_rows([t for _, t in docs], 5))
+    keys = [ngram_join.row_key(g) for g in grams]
+    firsts = spark.createDataFrame([(keys[0], marks[0]), (keys[1], marks[1]), (keys[3], marks[3])], "key long, first long")
+    none = np.zeros(1 << 15, dtype=np.uint8)
+    repeats, ranges = ngram_join.repeated_columns(frame, 5, none, none, 1000)
+    rows = ngram_join.whole_rows(frame, firsts, spark.createDataFrame([(keys[0],), (keys[1],)], "key long"), 5, repeats, ranges).collect()
+    assert sorted((r.key, r.n) for r in rows) == sorted((k, 57) for k in keys[:2])
+    common = set(grams[0].tolist()) & set(grams[1].tolist())
+    held = {r.key: set(np.frombuffer(r.grams, dtype=np.uint64).tolist()) for r in rows}
+    assert held[keys[1]] >= common and len(held[keys[1]]) == 56
+
+
 def test_ngram_join_of_no_rows(spark):
     assert ngram_join.near_components(empty(spark)).count() == 0
 
