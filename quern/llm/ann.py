@@ -5,7 +5,9 @@ start as k-means of residuals and are then refitted together by least squares; c
 beam search over partial sums.  The squared norm of a coded vector is stored, so a query
 scores a code by table look-ups alone.  Codes lie in coarse cells, and a query looks into the
 cells nearest to it.  The best codes are ranked again on whole vectors.  How many cells and how
-many codes is measured, by where true neighbours of some queries lie among all of them.
+many codes is measured, by where true neighbours of some queries lie among all of them.  Then
+every query asks on its own for all codes that, by their own error and by the alignment of
+errors with this query, may still be nearer than the k-th found.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ NEAREST = "query_id long, rank int, vec_id long, score double"
 #: share of true neighbours that must lie in the cells a query visits; codes of a cell that
 #: one task scores.
 LEAST_CELLS, MOST_CELLS, CELL_SHARE, CODE_BLOCK = 8, 1024, 0.99, 1 << 18
+#: How far errors may be aligned with a query, as a multiple of the most that the later half of
+#: its candidates shows; cosines that rounding of codes may hide, and those equal but for rounding.
+ALIGNED, ROUNDING, EQUAL = 1.25, 2e-6, 1e-12
 #: Bytes of query vectors up to which they are broadcast for the rerank.
 BROADCAST_BYTES = 32 << 20
 
@@ -129,8 +134,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def build_index(rows: DataFrame, model: Codebooks, centres: np.ndarray | None = None) -> DataFrame:
-    """Every usable row coded, many to a row: the cell they lie in, n, ids, codes and the coded
-    vectors' squared norms as packed arrays, so that blocks of codes are a few values."""
+    """Every usable row coded, many to a row: the cell they lie in, n, ids, codes, the coded
+    vectors' squared norms and the sines of their angles to the vectors (errors) as packed
+    arrays, so that blocks of codes are a few values."""
     centres = np.zeros((1, model.words.shape[2])) if centres is None else centres
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,11 +144,15 @@ def build_index(rows: DataFrame, model: Codebooks, centres: np.ndarray | None =
             if len(batch):
                 unit = _unit(_matrix(batch["v"]))
                 codes, cell = model.encode(unit), cells_of(unit, centres)[:, 0]
-                norm, ids = (model.decode(codes) ** 2).sum(1).astype("<f4"), batch["id"].to_numpy(dtype="<i8")
+                decoded = model.decode(codes).astype(np.float64)
+                norm, ids = (decoded**2).sum(1), batch["id"].to_numpy(dtype="<i8")
+                along = (unit * decoded).sum(1) / np.maximum(norm, 1e-12)
+                error = np.where(along > 0, np.sqrt(((unit - along[:, None] * decoded) ** 2).sum(1)), 1.0).astype("<f4")
+                norm = norm.astype("<f4")
                 held = [np.flatnonzero(cell == c) for c in np.unique(cell)]
-                yield pd.DataFrame({"cell": np.unique(cell), "n": [len(at) for at in held], **{c: [x[at].tobytes() for at in held] for c, x in (("ids", ids), ("codes", codes), ("norms", norm))}})
+                yield pd.DataFrame({"cell": np.unique(cell), "n": [len(at) for at in held], **{c: [x[at].tobytes() for at in held] for c, x in (("ids", ids), ("codes", codes), ("norms", norm), ("errors", error))}})
 
-    return rows.mapInPandas(coded, "cell int, n long, ids binary, codes binary, norms binary")
+    return rows.mapInPandas(coded, "cell int, n long, ids binary, codes binary, norms binary, errors binary")
 
 
 def cells_of(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -178,6 +188,17 @@ def _unpacked(codes: pd.Series, norms: pd.Series) -> tuple[np.ndarray, np.ndarra
     return np.ascontiguousarray(np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(norm), -1).T), norm
 
 
+def at_most(about: np.ndarray, error: np.ndarray, aligned: float) -> np.ndarray:
+    """The greatest cosine a vector may have with a query, by the cosine and error of its code.
+
+    A vector is its code's direction times the cosine of its error, plus an error of the stated
+    size across it; `aligned` is the greatest cosine of that error with what of the query is
+    across the code.  At 1 nothing can exceed this (Cauchy-Schwarz).
+    """
+    about = np.clip(about + ROUNDING, -1, 1)
+    return np.sqrt(np.maximum(1 - error.astype(np.float64) ** 2, 0)) * about + aligned * error * np.sqrt(1 - about**2 + ROUNDING) + ROUNDING
+
+
 def candidates_needed(rows: DataFrame, index: DataFrame, queries: DataFrame, model: Codebooks, k: int, tried: int = TRIED, share: float = SHARE, centres: np.ndarray | None = None) -> tuple[int, int]:
     """How many of a query's best codes hold `share` of the true k nearest, over all rows, and
     how many of its nearest cells hold CELL_SHARE of them.
@@ -255,7 +276,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", em
     Returns query_id, rank, vec_id and score, ties to the smaller id; a query is not its own
     candidate, and with at most `rerank` different vectors the answer is exact.  Of more,
     `rerank` or candidates_needed() are ranked again, whichever is greater; of codes that
-    score equally those of smaller id come first.  Null, empty, zero and non-finite vectors,
+    score equally those of smaller id come first.  Then each query ranks all further codes
+    that may reach its k-th score (at_most(), over all cells), so no list length is common to
+    all queries: members of a tight group, whose codes are alike, are all looked at.  Null, empty, zero and non-finite vectors,
     and null ids, take no part.  Vectors of different lengths are apart: each length is
     searched by itself, by comparison where at most `few` vectors have it and with codebooks
     of its own otherwise.  Rows of one id are each candidates and the id is listed once, with
@@ -286,6 +309,7 @@ def _nearest_of_length(every: DataFrame, queries: DataFrame, d: int, k: int, rer
     n_codes, n_queries = rows.count(), queries.count()
     cells = min(MOST_CELLS, len(x), max(LEAST_CELLS, int(n_codes**0.5 / 4)))
     centres = _kmeans(x, cells, np.random.default_rng(5)).astype(np.float64)
+    queries = saved(queries, "queries")
     index = saved(build_index(rows.select("id", "v"), model, centres), "codes")
     visited = cells
     if n_codes > rerank and n_queries:
@@ -316,36 +340,78 @@ def _nearest_of_length(every: DataFrame, queries: DataFrame, d: int, k: int, rer
     held = index.withColumn("part", F.pmod(F.xxhash64("ids"), many).cast("int"))
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "about": pd.Series(dtype="float64")})
-        if not len(left) or not len(right):
-            return empty
-        ids = np.frombuffer(b"".join(right["ids"]), dtype="<i8")
-        codes, norm = _unpacked(right["codes"], right["norms"])
-        keep, found, scores = min(rerank + 1, len(ids)), [], []
-        for vector in left["v"]:
-            table = model.words @ _unit(np.asarray(vector, dtype=np.float64)[None])[0].astype(np.float32)
-            about = _about(table, codes, norm)
-            best = np.flatnonzero(about >= np.partition(about, -keep)[-keep])
-            if len(best) > keep:
-                best = best[np.lexsort((ids[best], -about[best]))[:keep]]
-            found.append(ids[best])
-            scores.append(about[best].astype(np.float64))
-        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy(), keep), "id": np.concatenate(found), "about": np.concatenate(scores)})
-
-    near = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInPandas(scored, "query_id long, id long, about double")
-    near = near.groupBy("query_id", "id").agg(F.max("about").alias("about"))
-    first = Window.partitionBy("query_id").orderBy(F.desc("about"), "id")
-    near = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rerank).select("query_id", "id")
+        out = {"query_id": [], "ids": [], "abouts": [], "errors": []}
+        if len(left) and len(right):
+            ids, error = (np.frombuffer(b"".join(right[c]), dtype=t) for c, t in (("ids", "<i8"), ("errors", "<f4")))
+            codes, norm = _unpacked(right["codes"], right["norms"])
+            keep = min(rerank + 1, len(ids))
+            for query, vector in zip(left["id"], left["v"], strict=True):
+                table = model.words @ _unit(np.asarray(vector, dtype=np.float64)[None])[0].astype(np.float32)
+                about = _about(table, codes, norm)
+                best = np.flatnonzero(about >= np.partition(about, -keep)[-keep])
+                if len(best) > keep:
+                    best = best[np.lexsort((ids[best], -about[best]))[:keep]]
+                for c, x in zip(out, (query, ids[best].tobytes(), about[best].astype("<f4").tobytes(), error[best].tobytes()), strict=True):
+                    out[c].append(x)
+        return pd.DataFrame(out)
+
+    def first_of_cells(lists: pd.DataFrame) -> pd.DataFrame:
+        ids, about, error = (np.frombuffer(b"".join(lists[c]), dtype=t) for c, t in (("ids", "<i8"), ("abouts", "<f4"), ("errors", "<f4")))
+        best = np.lexsort((ids, -about))
+        # one id of several vectors is listed once, with its best code
+        best = best[np.sort(np.unique(ids[best], return_index=True)[1])][:rerank]
+        return pd.DataFrame({"query_id": lists["query_id"].iloc[0], "id": ids[best], "about": about[best], "error": error[best], "place": np.arange(len(best))})
+
+    near = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInPandas(scored, "query_id long, ids binary, abouts binary, errors binary")
+    near = near.groupBy("query_id").applyInPandas(first_of_cells, "query_id long, id long, about float, error float, place int")
     asking = queries.withColumnsRenamed({"id": "query_id", "v": "q"})
     if n_queries * d * 8 <= BROADCAST_BYTES:
         asking = F.broadcast(asking)
-    pairs = near.join(rows, "id").join(asking, "query_id")
-
     @F.pandas_udf("double")
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series((_unit(_matrix(a)) * _unit(_matrix(b))).sum(1) if len(a) else [], dtype=float)
 
-    exact = pairs.select("query_id", "ids", cosine("q", "v").alias("score")).select("query_id", F.explode("ids").alias("vec_id"), "score")
-    exact = exact.filter("query_id != vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def compared(pairs: DataFrame) -> DataFrame:
+        return pairs.join(rows, "id").join(asking, "query_id").withColumn("score", cosine("q", "v")).drop("q", "v")
+
+    def ranked(exact: DataFrame) -> DataFrame:
+        listed = exact.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("query_id != vec_id")
+        listed = listed.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        listed = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return listed.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    listed = saved(compared(near), "near")
+    if n_codes <= rerank or not n_queries:
+        return ranked(listed)
+    across = F.col("error") * F.sqrt(F.greatest(1 - F.col("about") ** 2, F.lit(ROUNDING)))
+    shown = F.greatest(F.lit(0.0), (F.col("score") - F.sqrt(F.greatest(1 - F.col("error") ** 2, F.lit(0.0))) * F.col("about")) / F.greatest(across, F.lit(1e-9)))
+    later = F.when((F.col("place") >= rerank // 2) & ~F.array_contains("ids", F.col("query_id")), shown)
+    limits = listed.groupBy("query_id").agg(F.least(F.lit(1.0), ALIGNED * F.coalesce(F.max(later), F.lit(1.0))).alias("aligned"), F.collect_list("id").alias("had"))
+    kth = ranked(listed).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    limits = limits.join(kth, "query_id", "left").select(F.col("query_id").alias("id"), "aligned", F.coalesce("least", F.lit(-2.0)).alias("least"), "had")
+    # nothing is nearer than a vector of the same direction
+    limits = saved(limits.filter(F.col("least") < 1 - EQUAL).join(queries, "id"), "limits")
+
+    def everywhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = [(c, p) for c in range(cells) for p in range(parts[c])]
+        for batch in batches:
+            for c, p in at:
+                yield batch.assign(cell=c, part=p)
+
+    def reaching(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "more": []}
+        if len(left) and len(right):
+            ids, error = (np.frombuffer(b"".join(right[c]), dtype=t) for c, t in (("ids", "<i8"), ("errors", "<f4")))
+            codes, norm = _unpacked(right["codes"], right["norms"])
+            for query, vector, aligned, least in zip(left["id"], left["v"], left["aligned"], left["least"], strict=True):
+                table = model.words @ _unit(np.asarray(vector, dtype=np.float64)[None])[0].astype(np.float32)
+                found = ids[at_most(_about(table, codes, norm), error, aligned) >= least]
+                if len(found):
+                    out["query_id"].append(query)
+                    out["more"].append(np.unique(found))
+        return pd.DataFrame(out)
+
+    asked = limits.drop("had").mapInPandas(everywhere, "id long, aligned double, least double, v array<double>, cell int, part int")
+    more = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInPandas(reaching, "query_id long, more array<long>")
+    more = more.join(limits.select(F.col("id").alias("query_id"), "had"), "query_id").select("query_id", F.explode(F.array_except("more", "had")).alias("id"))
+    return ranked(listed.select("query_id", "ids", "score").union(compared(more).select("query_id", "ids", "score")))

@@ -260,6 +260,32 @@ def test_recall_within_a_tight_cluster(spark):
     assert hit[True] >= 180 and hit[False] >= 180
 
 
+def test_recall_of_a_few_queries_in_a_tight_group(spark):
+    """One query of a hundred lies in a group longer than the list; the queries tried miss it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 32))
+    group = np.setdiff1d(np.arange(700), np.arange(50, 700, 50))[:400]
+    x[group] = x[0] + 1e-3 * rng.normal(size=(400, 32))
+    found = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda c: c % 50 == 0, rerank=60).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    missed = []
+    for q in range(0, 5000, 50):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        mine = sorted(r.score for r in found if r.query_id == q)
+        missed += [q] * int((np.array(mine) < np.sort(scores)[-5] - 1e-12).sum())
+    assert 0 not in missed and len(missed) <= 5
+
+
+def test_no_cosine_exceeds_its_bound():
+    rng = np.random.default_rng(6)
+    x, q = (ann._unit(rng.normal(size=(n, 8))) for n in (2000, 20))
+    code = ann._unit(x + 0.2 * rng.normal(size=x.shape))
+    error = np.sqrt(1 - (x * code).sum(1) ** 2)
+    for vector in np.vstack([q, x[:20]]):
+        assert (ann.at_most((code @ vector).astype(np.float32), error.astype(np.float32), 1.0) >= x @ vector).all()
+
+
 def test_candidates_needed_equals_a_plain_count(spark):
     rng = np.random.default_rng(13)
     x = rng.normal(size=(600, 8))
