@@ -152,3 +152,30 @@ def test_slices_of_a_batch_have_the_words_of_their_rows():
         words, owner = hmm.words_of(part["text"])
         want = [w for t in part["text"].to_pylist() for w in t.lower().split()]
         assert words.to_pylist() == want and owner.tolist() == [i for i in range(len(part)) for _ in range(3)]
+
+
+def test_every_round_goes_over_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "GATHERED", 3000)
+    rng, n = np.random.default_rng(8), 5000
+    texts = [rng.integers(0, 6, rng.integers(1, 6)).astype("<u2") for _ in range(n)]
+    learned = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "row long, symbols binary").repartition(2)
+    shares = np.full(6, 1 / 6)
+    want = hmm.first_model(shares, 2)
+    for _ in range(hmm.ROUNDS):
+        want = hmm.improved(*hmm.expected_counts(texts, want)[:3], shares)
+    got = hmm.train(learned, n, shares, states=2)
+    assert all(np.allclose(a, b, rtol=0, atol=1e-6) for a, b in ((got.start, want.start), (got.moves, want.moves), (got.emits, want.emits)))
+
+
+def test_rare_symbols_in_a_row_do_not_vanish():
+    model = hmm.Model(np.array([1 - 1e-12, 1e-12]), np.array([[1 - 1e-9, 1e-9], [1e-9, 1 - 1e-9]]), np.array([[1 - 1e-14, 1e-14], [1e-14, 1 - 1e-14]]))
+    text = np.array([0, 1] * 3, dtype="<u2")
+    plain = by_paths(text, model)
+    got = hmm.expected_counts([text] * 2, model)
+    assert all(np.allclose(a, 2 * b) for a, b in zip(got[:3], plain[:3], strict=True))
+    assert math.isclose(got[3], 2 * plain[3])
+    now, logs = model.start, 0.0
+    for x in np.tile(text, 500):
+        seen = now * model.emits[x]
+        now, logs = seen / seen.sum() @ model.moves, logs + math.log10(seen.sum())
+    assert math.isclose(hmm.log_probabilities([np.tile(text, 500)], model)[0], logs, rel_tol=1e-12)
