@@ -1,8 +1,8 @@
 """The ordered event channel of streamed answers.
 
 Pieces of many answers arrive in any order and in any micro-batch.  Per request, state holds
-the number of the next piece, the text that redaction still needs, and the pieces that came
-too early; a timer ends requests that have fallen silent.
+the number of the next piece, the text that redaction still needs, its timer and, in one value,
+the pieces that came too early; a timer ends requests that have fallen silent.
 """
 
 from __future__ import annotations
@@ -24,6 +24,20 @@ EVENT = "request_id string, n long, type string, text string, event string"
 #: Seconds without a piece after which a request is ended.
 IDLE_SECONDS = 120
 FAILED, TIMED_OUT = "generation failed", "generation timed out"
+_JSON = json.JSONEncoder(ensure_ascii=False).encode
+
+
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for the pieces of a request and time that lie together, as JSON: the channel's
+    cost is by rows, not by text.  Rows without seq have no piece."""
+    names = lambda x: "[]" if x is None else json.dumps([str(v) for v in x])
+    for batch in batches:
+        groups: dict[tuple, list] = {}
+        for request, seq, piece, last, failed, sources, entities, ts in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+            group = groups.setdefault((request, ts), [])
+            if not pd.isna(seq):
+                group.append((int(seq), piece or "", bool(last), bool(failed), names(sources), names(entities)))
+        yield pd.DataFrame([(request, json.dumps(group), ts) for (request, ts), group in groups.items()], columns=["request_id", "pieces", "ts"])
 
 
 class _Channel(StatefulProcessor):
@@ -32,23 +46,22 @@ class _Channel(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next long, sent long, held string, told int, entities string, ended boolean")
-        self.early = handle.getListState("early", "seq long, piece string, is_last boolean, failed boolean, sources string, entities string")
+        self.place = handle.getValueState("place", "next long, sent long, held string, told int, entities string, ended boolean, timer long, early string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came, latest = [], None
+        came, latest = {}, None
         for batch in rows:
-            for r in batch[batch["seq"].notna()].itertuples():
-                names = [json.dumps([] if x is None else [str(v) for v in x]) for x in (r.sources, r.entities)]
-                came.append((int(r.seq), r.piece or "", bool(r.is_last), bool(r.failed), *names))
+            came.update((seq, rest) for told in batch["pieces"] for seq, *rest in json.loads(told))
             latest = batch["ts"].max() if latest is None else max(latest, batch["ts"].max())
         if not came:
             return
-        next_, sent, held, told, found, ended = self.place.get() if self.place.exists() else (0, 0, "", 0, "[]", False)
-        self._wait(max(int(latest.timestamp() * 1000), timerValues.getCurrentWatermarkInMs()))
+        next_, sent, held, told, found, ended, timer, early = self.place.get() or (0, 0, "", 0, "[]", False, None, "[]")
+        timer = self._wait(timer, max(int(latest.timestamp() * 1000), timerValues.getCurrentWatermarkInMs()))
         if ended:
+            self.place.update((next_, sent, "", 0, found, True, timer, "[]"))
             return
-        waiting = {seq: rest for seq, *rest in [*(self.early.get() if self.early.exists() else ()), *came] if seq >= next_}
+        waiting = {seq: rest for seq, *rest in json.loads(early)}
+        waiting.update((seq, rest) for seq, rest in came.items() if seq >= next_)
         out, entities = [], set(json.loads(found))
         while next_ in waiting and not ended:
             piece, last, failed, sources, asked = waiting.pop(next_)
@@ -58,34 +71,35 @@ class _Channel(StatefulProcessor):
                 ended = True
                 break
             text, more, held, told = released(held, told, piece, last)
-            entities |= {*more}
+            entities.update(more)
             if text:
-                out.append({"type": "token", "text": text})
+                out.append(text)
             if last:
                 out.append({"type": "done", "sources": json.loads(sources), "pii_redacted": sorted(entities | {*json.loads(asked)})})
                 ended = True
-        if waiting and not ended:
-            self.early.put([(seq, *rest) for seq, rest in sorted(waiting.items())])
-        elif self.early.exists():
-            self.early.clear()
-        self.place.update((next_, sent + len(out), "" if ended else held, 0 if ended else told, json.dumps(sorted(entities)), ended))
+        kept = [] if ended else [(seq, *rest) for seq, rest in sorted(waiting.items())]
+        self.place.update((next_, sent + len(out), "" if ended else held, 0 if ended else told, json.dumps(sorted(entities)), ended, timer, json.dumps(kept)))
         yield self._events(key, sent, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, sent, held, told, _, ended = self.place.get()
+        _, sent, held, told, _, ended, _, _ = self.place.get()
         self.place.clear()
-        self.early.clear()
         if not ended:
             text = released(held, told, "", True)[0]
-            yield self._events(key, sent, [{"type": "token", "text": text}] * bool(text) + [{"type": "error", "message": TIMED_OUT}])
-
-    def _wait(self, now_ms: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(now_ms + self.idle_ms)
-
-    def _events(self, key, sent: int, out: list[dict]) -> pd.DataFrame:
-        rows = [(key[0], sent + i, e["type"], e.get("text"), json.dumps(e, ensure_ascii=False)) for i, e in enumerate(out)]
+            yield self._events(key, sent, [text] * bool(text) + [{"type": "error", "message": TIMED_OUT}])
+
+    def _wait(self, timer: int | None, now_ms: int) -> int:
+        """The timer of the request, which there is one of, set anew."""
+        if timer != now_ms + self.idle_ms:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(now_ms + self.idle_ms)
+        return now_ms + self.idle_ms
+
+    def _events(self, key, sent: int, out: list[str | dict]) -> pd.DataFrame:
+        """Rows of texts, which are tokens, and of other events."""
+        told = [("token", e, f'{{"type": "token", "text": {_JSON(e)}}}') if isinstance(e, str) else (e["type"], None, _JSON(e)) for e in out]
+        rows = [(key[0], sent + i, *e) for i, e in enumerate(told)]
         return pd.DataFrame(rows, columns=["request_id", "n", "type", "text", "event"])
 
     def close(self) -> None:
@@ -104,8 +118,9 @@ def answer_channel(pieces: DataFrame, idle_seconds: int = IDLE_SECONDS, late: st
     while the end is remembered, which is idle_seconds more.  Rows without seq only tell
     the time.
     """
-    timed = pieces.withWatermark("ts", late)
-    return timed.groupBy("request_id").transformWithStateInPandas(_Channel(1000 * idle_seconds), EVENT, "Append", "EventTime")
+    held = pieces.select("request_id", "seq", "piece", "is_last", "failed", "sources", "entities", F.unix_micros("ts").alias("ts"))
+    held = held.mapInPandas(_together, "request_id string, pieces string, ts long").withColumn("ts", F.timestamp_micros("ts"))
+    return held.withWatermark("ts", late).groupBy("request_id").transformWithStateInPandas(_Channel(1000 * idle_seconds), EVENT, "Append", "EventTime")
 
 
 def sse(events: DataFrame) -> DataFrame:

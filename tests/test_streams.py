@@ -149,3 +149,22 @@ def test_only_the_last_piece_of_an_answer_has_its_sources(spark):
     assert "".join(r.piece for r in got) == "what is said " * 9
     assert [(r.sources, r.entities) for r in got if r.is_last] == [(["a", "b"], ["EMAIL"]), ([], [])]
     assert all(r.sources is None and r.entities is None for r in got if not r.is_last)
+
+
+def test_a_very_long_answer_is_cut_without_copies_of_it(spark):
+    from quern.plans.flows import _in_pieces
+
+    said = spark.createDataFrame([(5, "answered", "ab\ncé\U0001f600 " * 40_000, [], []), (6, "answered", None, [], [])], "query_id long, status string, whole string, sources array<string>, asked_entities array<string>")
+    got = _in_pieces(said)
+    assert "Generate posexplode(cut" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "whole" not in plan.split("Generate posexplode")[0]
+    rows = sorted(got.collect(), key=lambda r: r.seq)
+    assert "".join(r.piece for r in rows) == "ab\ncé\U0001f600 " * 40_000 and [r.seq for r in rows] == list(range(len(rows)))
+    assert {len(r.piece) for r in rows} == set(range(1, 8)) and [r.is_last for r in rows].count(True) == 1
+
+
+def test_text_without_digits_or_address_is_not_searched(monkeypatch):
+    from quern.streaming import redaction
+
+    assert [e for *_, e in redaction.found_spans("٠١٠١٢٣٤٥٦٧٨ a@b.co")] == ["EG_PHONE", "EMAIL"]
+    monkeypatch.setattr(redaction, "_FINDERS", [("EMAIL", None)])
+    assert redaction.found_spans("no such thing, as was said") == []
