@@ -39,12 +39,14 @@ def build_chunks(articles: DataFrame, by: list[str], prefix: Column, threshold:
     pair by pair, without as first-language paragraphs and one chunk of the whole second
     text.  Everything else is one chunk.
     """
-    rows = repealed_runs(articles, by)
-    in_run = F.col("is_repealed") & (F.col("run_length") > 1) if dedupe_repealed else F.lit(False)
-    rows = rows.withColumn("__run", in_run)
+    dead = F.coalesce("is_repealed", F.lit(False))
+    live, rows = articles.filter(~dead), articles.filter(dead).withColumns({"run": F.lit(0), "__run": F.lit(False)})
+    if dedupe_repealed:  # runs need no text of what is in force
+        slim = articles.select(*(c if c in (*by, "article_number", "is_repealed") else F.when(dead, F.col(c)).alias(c) for c in articles.columns))
+        rows = repealed_runs(slim, by).filter(dead).withColumn("__run", F.col("run_length") > 1)
     collapsed = rows.filter("__run").groupBy(*by, "run").agg(F.array_sort(F.collect_list("article_number")).alias("article_numbers"), *(F.min_by(c, "article_number").alias(c) for c in (*HEADS, "text_ar", "text_en", "is_repealed", "source_page"))).drop("run")
     collapsed = collapsed.withColumns({"kind": F.lit("run"), "paragraph_index": F.lit(None).cast("int"), "flags": F.array(F.lit("deduped_repealed_range"))})
-    single = rows.filter("NOT __run").withColumn("article_numbers", F.array("article_number"))
+    single = live.unionByName(rows.filter("NOT __run").select(articles.columns)).withColumn("article_numbers", F.array("article_number"))
     first, second = paragraphs(F.col("text_ar"), T.PARAGRAPH_AR), paragraphs(F.col("text_en"), T.PARAGRAPH_EN)
     long = F.length("text_ar") > threshold
     single = single.withColumns({"__a": F.when(long, first), "__b": F.when(long, second)})

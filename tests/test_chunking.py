@@ -69,3 +69,19 @@ def test_a_model_embeds_batches_of_texts(spark):
     embed = embedding.embedder(embedding.hash_model(12), batch_size=4)
     for r in frame.select(embed(F.col("t")).alias("v"), V.hash_embedding(F.coalesce("t", F.lit("")), 12).alias("w")).collect():
         assert np.allclose(r.v, r.w)
+
+
+def test_texts_in_force_are_not_shuffled(spark):
+    rng = random.Random(6)
+    head = "doc string, article_number int, book string, chapter string, section string, topic string, text_ar string, text_en string, is_repealed boolean, source_page int"
+    rows = [("d", i, "b", "c", "s", "t", rng.randbytes(10_000).hex(), "", dead, 1) if not (dead := None if i % 50 == 0 else i % 5 > 2) else ("d", i, "b", "c", "s", "t", f"gone {i // 20}", "x", True, 1) for i in range(200)]
+
+    def sent():
+        ex = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(ex.apply(i).totalShuffleWrite() for i in range(ex.size()))
+
+    before = sent()
+    got = chunking.build_chunks(spark.createDataFrame(rows, head), ["doc"], F.lit("Law")).select("kind", "article_numbers", "text_ar").collect()
+    assert sent() - before < 500_000
+    assert sorted(n for r in got for n in r.article_numbers) == list(range(200))
+    assert {(r.kind, len(r.article_numbers)) for r in got} == {("whole", 1), ("run", 2)} and {r.text_ar for r in got if r.kind == "whole"} == {r[6] for r in rows if not r[8]}
